@@ -29,13 +29,13 @@ def band_difference(df: DataFrame, pairs: Sequence[str], offsets: Sequence[int]
 
 def fit_standard(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Standardise each column (each time step of a band on its own) with its own
-    mean and population standard deviation. The statistics are one row."""
-    stats = df.agg(
+    mean and population standard deviation. The statistics are a
+    scalar subquery of one row."""
+    fit = df.agg(
         F.struct(
             *[F.avg(q(c)).alias(f"m{i}") for i, c in enumerate(columns)],
             *[F.stddev_pop(q(c)).alias(f"s{i}") for i, c in enumerate(columns)],
-        ).alias("_fit")
-    )
-    joined = df.join(F.broadcast(stats))  # exactly one row
-    new = {c: scale_standard(q(c), F.col(f"_fit.m{i}"), F.col(f"_fit.s{i}")) for i, c in enumerate(columns)}
-    return joined.withColumns(new).drop("_fit")
+        )
+    ).scalar()
+    new = {c: scale_standard(q(c), fit.getField(f"m{i}"), fit.getField(f"s{i}")) for i, c in enumerate(columns)}
+    return df.withColumns(new)
