@@ -76,7 +76,7 @@ def _curve(df: DataFrame, score: str, y: str, group_by: Sequence[str]) -> tuple[
     base = df if group_by else df.withColumn("_all", F.lit(0))
     counts = _score_counts(base, score, y, group)
     curve = running_total(counts, ["_s"], {"_tp": "_p", "_fp": "_n"}, group, descending=True)
-    totals = curve.groupBy(*group).agg(F.max("_tp").alias("_P"), F.max("_fp").alias("_N"))
+    totals = curve.groupBy(*group).agg(F.max("_tp").alias("_all_p"), F.max("_fp").alias("_all_n"))
     return curve.join(totals, group), group
 
 
@@ -93,7 +93,7 @@ def pr_auc(df: DataFrame, score: str, y: str = "y", group_by: Sequence[str] = ()
     before_tp, before_fp = F.col("_tp") - F.col("_p"), F.col("_fp") - F.col("_n")
     here = F.col("_tp") / (F.col("_tp") + F.col("_fp"))
     before = F.coalesce(F.try_divide(before_tp.cast("double"), before_tp + before_fp), F.lit(1.0))
-    area = F.try_divide(F.col("_p").cast("double"), F.col("_P")) * (here + before) / 2
+    area = F.try_divide(F.col("_p").cast("double"), F.col("_all_p")) * (here + before) / 2
     return _result(curve, group, group_by, F.sum(area), "pr_auc")
 
 
@@ -101,7 +101,7 @@ def average_precision(df: DataFrame, score: str, y: str = "y", group_by: Sequenc
     """Sum of precision times the step in recall."""
     curve, group = _curve(df, score, y, group_by)
     here = F.col("_tp") / (F.col("_tp") + F.col("_fp"))
-    step = F.try_divide(F.col("_p").cast("double"), F.col("_P")) * here
+    step = F.try_divide(F.col("_p").cast("double"), F.col("_all_p")) * here
     return _result(curve, group, group_by, F.sum(step), "average_precision")
 
 
@@ -110,7 +110,7 @@ def roc_auc(df: DataFrame, score: str, y: str = "y", group_by: Sequence[str] = (
     when one class is absent."""
     curve, group = _curve(df, score, y, group_by)
     won = F.col("_n").cast("double") * (F.col("_tp") - F.col("_p")) + F.col("_n").cast("double") * F.col("_p") / 2
-    pairs = F.max(F.col("_P").cast("double") * F.col("_N"))
+    pairs = F.max(F.col("_all_p").cast("double") * F.col("_all_n"))
     return _result(curve, group, group_by, F.try_divide(F.sum(won), pairs), "roc_auc")
 
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scalars", "lookups", "profiles", "reshaping", "rasters", "scores", "files", "streams")
+MODULES = ("scalars", "lookups", "profiles", "reshaping", "rasters", "scores", "models", "files", "assembly", "streams")
 
 
 def load_all() -> None:
