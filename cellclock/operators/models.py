@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cellclock.names import HISTORY, lag_columns, q
 from cellclock.operators.metrics import average_precision, confusion_by_horizon, prf_zero_division
-from cellclock.operators.sampling import row_hash, stratified_folds
+from cellclock.operators.sampling import row_hash, stratified_folds, union_rows
 
 
 def with_class_weight(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
@@ -52,19 +52,30 @@ def positive_probability(predictions: DataFrame, name: str = "p") -> DataFrame:
     return predictions.withColumn(name, vector_to_array("probability")[1])
 
 
-def cross_val_score(
-    df: DataFrame, columns: Sequence[str], label: str, estimator: Estimator, fold: str = "fold", folds: int = 5
-) -> float:
-    """Mean average precision over the folds of the ``fold`` column. Each fold is a
-    Spark fit; only its score comes back."""
-    data = vectors(df, columns)
-    scores = []
-    for i in range(folds):
-        model = estimator.fit(data.where(F.col(fold) != i))
-        held = positive_probability(model.transform(data.where(F.col(fold) == i)))
-        # One pass over the held-out rows; the number is a single aggregate.
-        scores.append(average_precision(held, "p", label).first()[0])
-    return sum(scores) / folds
+def cross_val_scores(
+    df: DataFrame,
+    options: Sequence[Sequence[str]],
+    label: str,
+    estimator: Estimator,
+    fold: str = "fold",
+    folds: int = 5,
+) -> list[float]:
+    """Mean average precision over the folds, for several column sets.
+
+    Every fit is a Spark job. The held-out rows of all fits are scored in one job,
+    grouped by option and fold, of which one number per option comes back.
+    """
+    held = []
+    for o, columns in enumerate(options):
+        data = vectors(df, columns)
+        for i in range(folds):
+            model = estimator.fit(data.where(F.col(fold) != i))
+            scored = positive_probability(model.transform(data.where(F.col(fold) == i)))
+            held.append(scored.select(F.lit(o).alias("option"), F.lit(i).alias("fold"), "p", q(label).alias("y")))
+    together = union_rows(*held)
+    per_fold = average_precision(together, "p", "y", ["option", "fold"])
+    means = per_fold.groupBy("option").agg(F.avg("average_precision").alias("score")).collect()  # one row per option
+    return [score for _, score in sorted((r["option"], r["score"]) for r in means)]
 
 
 HISTORY_SCHEMA = "step int, bands array<string>, n_bands int, n_features int, score double"
@@ -83,8 +94,8 @@ def _selection(df, groups, label, estimator, key, folds, backward):
             options = [[g for g in current if g != gone] for gone in current]
         else:
             options = [[*current, g] for g in groups if g not in current]
-        scored = [(cross_val_score(data, flat(o), label, estimator, folds=folds), o) for o in options]
-        score, current = max(scored, key=lambda s: s[0])  # first option on a tie
+        scores = cross_val_scores(data, [flat(o) for o in options], label, estimator, folds=folds)
+        score, current = max(zip(scores, options), key=lambda s: s[0])  # first option on a tie
         history.append((len(history) + 1, list(current), len(current), len(flat(current)), score))
     data.unpersist()
     return df.sparkSession.createDataFrame(history, HISTORY_SCHEMA)

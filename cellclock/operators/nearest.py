@@ -111,6 +111,9 @@ def nearest_cloud_cell(
     asked, held = requests.select(*parts).distinct(), flags.select(*parts).distinct()
     flags = flags.join(asked, parts, "left_semi")
     requests = requests.join(held, parts, "left_semi")
+    # A fixed number of partitions: the work of a tile does not show in its bytes.
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    requests, flags = requests.repartition(n, *parts), flags.repartition(n, *parts)
     found = requests.groupBy(*parts).cogroup(flags.groupBy(*parts)).applyInPandas(search, schema)
     return df.join(found, keys, "left")
 

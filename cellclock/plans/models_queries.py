@@ -58,6 +58,21 @@ def mutual_information(spark, sf_dir):
     return rounded(scoring.mutual_information(fx.features(spark, sf_dir), ["A", "B"], "y", "id"))
 
 
+_JOINT_SQL = "l AS (" + " UNION ALL ".join(
+    f"""SELECT '{b}' AS f, id, y, [{", ".join(f'"{c}"' for c in lag_columns([b], HISTORY))}] AS x FROM features""" for b in ("A", "B")) + f"""),
+  pairs AS (SELECT a.f, a.id, a.y, list_max([{", ".join(f"abs(a.x[{i}] - b.x[{i}])" for i in range(1, 7))}]) AS d, a.y = b.y AS same FROM l a JOIN l b ON a.f = b.f AND a.id <> b.id),
+  r AS (SELECT f, id, y, d AS r FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY f, id ORDER BY d) = 3),
+  m AS (SELECT r.f AS f, r.id AS id, r.y AS y, count(*) FILTER (p.d < r.r) + 1 AS m FROM r JOIN pairs p ON p.f = r.f AND p.id = r.id GROUP BY 1, 2, 3),
+  n AS (SELECT f, y, count(*) AS ny FROM l GROUP BY 1, 2), t AS (SELECT f, count(*) AS n FROM l GROUP BY 1)"""
+
+
+@query("mutual_information_joint", views="features",
+       oracle=f"""WITH {_JOINT_SQL} SELECT f AS feature, round(greatest(0.0, {_psi('any_value(t.n)')} + {_psi('3')} - avg({_psi('n.ny')}) - avg({_psi('m.m')})), 6) AS MI_score
+         FROM m JOIN n USING (f, y) JOIN t USING (f) GROUP BY f""")
+def mutual_information_joint(spark, sf_dir):
+    return rounded(scoring.mutual_information_joint(fx.features(spark, sf_dir), ["A", "B"], "y", "id"))
+
+
 def _cells(spark, sf_dir):
     row, col = fx.POINT_GRID.cell("lon", "lat")
     cells = fx.points(spark, sf_dir).select("id", row.alias("row"), col.alias("col"))
