@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,15 +44,22 @@ def haversine_km(lat1, lon1, lat2, lon2) -> Column:
     return 2 * EARTH_RADIUS_KM * F.asin(F.sqrt(F.least(F.lit(1.0), chord)))
 
 
-def nearest_of(lat: Column | str, lon: Column | str, places=STATIONS) -> Column:
-    """struct(distance, ord, name) of the nearest listed place, first listed on a
-    tie. One narrow expression: the list is configuration, so nothing is joined."""
-    candidates = [
-        F.struct(
-            haversine_km(lat, lon, F.lit(p_lat), F.lit(p_lon)).alias("distance"),
-            F.lit(i).alias("ord"),
-            F.lit(name).alias("name"),
-        )
-        for i, (name, p_lat, p_lon) in enumerate(places)
-    ]
-    return F.array_min(F.array(*candidates))
+def unit_vector(lat: Column | str, lon: Column | str) -> dict[str, Column]:
+    """The point on the unit sphere, as columns _ux, _uy, _uz."""
+    la, lo = F.radians(_c(lat)), F.radians(_c(lon))
+    return {"_ux": F.cos(la) * F.cos(lo), "_uy": F.cos(la) * F.sin(lo), "_uz": F.sin(la)}
+
+
+def nearest_place(places=STATIONS) -> Column:
+    """1-based number of the place nearest to (_ux, _uy, _uz), the first on a tie.
+
+    Candidates are compared by the straight chord, which orders points as the great
+    circle does but needs no trigonometric call per candidate.
+    """
+    ranks = []
+    for i, (_, lat, lon) in enumerate(places, 1):
+        la, lo = math.radians(lat), math.radians(lon)
+        x, y, z = math.cos(la) * math.cos(lo), math.cos(la) * math.sin(lo), math.sin(la)
+        d2 = " + ".join(f"({u} - {v!r}D) * ({u} - {v!r}D)" for u, v in (("_ux", x), ("_uy", y), ("_uz", z)))
+        ranks.append(f"struct({d2} AS chord, {i} AS ord)")
+    return F.expr(f"array_min(array({', '.join(ranks)})).ord")

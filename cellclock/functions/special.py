@@ -16,6 +16,7 @@ def digamma(n: Column) -> Column:
     n = n.cast("double")
     x = n + 8
     series = F.log(x) - 1 / (2 * x) - 1 / (12 * x * x) + 1 / (120 * F.pow(x, F.lit(4))) - 1 / (252 * F.pow(x, F.lit(6)))
+    series = series + 1 / (240 * F.pow(x, F.lit(8)))
     for i in range(8):
         series = series - 1 / (n + i)
     return series

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -41,22 +40,22 @@ def pooled_windows(
         lags = [None] if band in static else range(-horizons, horizons - 1)
         for k in lags:
             inside = [i for i in range(horizons) if k is None or i - horizons <= k < i]
+            name = band if k is None else lag_name(band, k)
+            # All windows see a static value in each of their lags.
             times = horizons if k is None else 1
             for value in (0, 1):
-                weight = reduce(
-                    lambda a, b: a + b, [F.when(q(f"{label}{i}") == value, times).otherwise(0) for i in inside]
-                )
-                name = band if k is None else lag_name(band, k)
+                weight = " + ".join(f"CAST(`{label}{i}` <=> {value} AS int)" for i in inside)
                 cells.append(
-                    F.struct(
-                        F.lit(band).alias("band"),
-                        F.lit(value).alias("label"),
-                        q(name).cast("double").alias("value"),
-                        weight.cast("long").alias("weight"),
-                    )
+                    f"struct('{band}' AS band, {value} AS label, CAST(`{name}` AS double) AS value, "
+                    f"CAST(({weight}) * {times} AS bigint) AS weight)"
                 )
-    out = df.select(*keep, F.explode(F.array(*cells)).alias("_c")).select(*keep, "_c.*")
-    return out.where("weight > 0")
+    return df.select(*keep, F.expr(f"inline(array({', '.join(cells)}))")).where("weight > 0")
+
+
+def _with_bands(df: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
+    """Attach per-band numbers. Bands are column groups of a wide table, so the table
+    has at most as many rows as that has columns and is always broadcast."""
+    return df.join(F.broadcast(table.select("band", *columns)), "band")
 
 
 def _weight(df: DataFrame) -> Column:
@@ -86,7 +85,7 @@ def histogram_by_label(
     base = pooled.where(F.col("value").isNotNull())
     totals = base.groupBy("band", "label").agg(F.sum(_weight(base)).alias("_total"))
     n = band_bins(bins or {}, default_bins)
-    framed = base.join(frame.select("band", "lo", "hi"), "band").where(F.col("value").between(F.col("lo"), F.col("hi")))
+    framed = _with_bands(base, frame, "lo", "hi").where(F.col("value").between(F.col("lo"), F.col("hi")))
     where = F.floor((F.col("value") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * (n - 1))
     return _count_bins(framed, ["band", "label"], where, totals)
 
@@ -99,7 +98,7 @@ def histogram_clipped(
     ``raw`` clamps to [p2, p98], ``pct`` scales that range to [0, 1], ``maxabs``
     scales by the largest magnitude to [-1, 1].
     """
-    base = pooled.where(F.col("value").isNotNull()).join(scales.select("band", "p2", "p98", "max_abs"), "band")
+    base = _with_bands(pooled.where(F.col("value").isNotNull()), scales, "p2", "p98", "max_abs")
     n = band_bins(bins or {}, default_bins)
     v, p2, p98 = F.col("value"), F.col("p2"), F.col("p98")
     if mode == "raw":
@@ -136,7 +135,7 @@ def histogram_normalized(
 ) -> DataFrame:
     """Histogram of the normalised value among raw values within [min, max];
     percent of the rows of the label that are in range."""
-    base = pooled.join(scales.select("band", "min", "max"), "band")
+    base = _with_bands(pooled, scales, "min", "max")
     base = base.where(F.col("value").between(F.col("min"), F.col("max")))
     norm = _by_kind(kinds, lambda kind: normalized(F.col("value"), kind, F.col("min"), F.col("max")))
     lo = _by_kind(kinds, lambda kind: F.lit(display_range(kind)[0]))
@@ -150,7 +149,7 @@ def master_histogram(pooled: DataFrame, ranges: DataFrame, bins: int = MASTER_BI
     """Counts over fixed half-open ranges, fine enough to serve any later scale.
     ``ranges``: band, lo, hi. One scan, one aggregate with at most
     bands x labels x bins groups."""
-    base = pooled.join(ranges.select("band", "lo", "hi"), "band")
+    base = _with_bands(pooled, ranges, "lo", "hi")
     base = base.where((F.col("value") >= F.col("lo")) & (F.col("value") < F.col("hi")))
     where = F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins).cast("int")
     return base.groupBy("band", "label", "lo", "hi", where.alias("bin")).agg(F.sum(_weight(base)).alias("count"))
@@ -178,7 +177,7 @@ def rebin_histogram(
     """
     group = list(group_by)
     totals = master.groupBy(*group).agg(F.sum("count").alias("_total"))
-    base = _centres(master, master_bins).join(scales.select("band", "min", "max"), "band")
+    base = _with_bands(_centres(master, master_bins), scales, "min", "max")
     base = base.where((F.col("max") > F.col("min")) & F.col("_centre").between(F.col("min"), F.col("max")))
     n = band_bins(bins or {}, default_bins)
     if kinds is None:
@@ -198,7 +197,7 @@ def stats_from_histogram(
 ) -> DataFrame:
     """Lowest and highest non-empty centre within the scale, count-weighted mean,
     and the total count; zeros when the range holds nothing."""
-    base = _centres(master, master_bins).join(scales.select("band", "min", "max"), "band")
+    base = _with_bands(_centres(master, master_bins), scales, "min", "max")
     inside = F.col("_centre").between(F.col("min"), F.col("max")) & (F.col("count") > 0)
     hit = F.when(inside, F.col("_centre"))
     n = F.sum(F.when(inside, F.col("count")))

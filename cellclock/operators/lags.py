@@ -49,9 +49,5 @@ def lag_features(
         F.collect_list(F.struct(F.col("_slot"), F.struct(*[q(b) for b in bands]))).over(frame)
     )
     seen = spread.withColumn("_near", near).where(F.col("_chunk") == F.col("_own"))
-    cols = {
-        lag_name(b, k): F.try_element_at(F.col("_near"), F.col("_slot") + F.lit(k)).getField(b)
-        for b in bands
-        for k in offsets
-    }
+    cols = {lag_name(b, k): F.expr(f"try_element_at(_near, _slot + {k}).`{b}`") for b in bands for k in offsets}
     return seen.withColumns(cols).drop("_slot", "_own", "_chunk", "_near")

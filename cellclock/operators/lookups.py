@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellclock.functions.clock import shift_clock
-from cellclock.functions.geo import STATIONS, nearest_of
+from cellclock.functions.geo import STATIONS, haversine_km, nearest_place, unit_vector
 from cellclock.names import FULL, HORIZONS, lag_name, q
 
 CELL = ("row", "col")
@@ -55,10 +55,22 @@ def offset_vectors(
     # Inner join: a request without any hit still reaches the caller's left join.
     found = asked.join(facts, ["_at", *cell])
     return found.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_k") == k, q(c))).alias(name(c, k)) for k in offsets for c in columns]
+        *[F.expr(f"max(CASE WHEN _k = {k} THEN `{c}` END) AS `{name(c, k)}`") for k in offsets for c in columns]
     )
 
 
+def left_lookup(df: DataFrame, answers: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Left join with a side that is unique per key, safe for hot keys.
+
+    The keys are packed into one struct. The answers, fresh from an aggregate on the
+    same keys, are then shuffled for the join instead of keeping the aggregate's
+    partitioning; only between two shuffles can adaptive execution split a hot key
+    of ``df``. They are the small side: one row per distinct request.
+    """
+    packed = answers.select(F.struct(*keys).alias("_key"), *[q(c) for c in answers.columns if c not in keys])
+    return df.withColumn("_key", F.struct(*keys)).join(packed, "_key", "left").drop("_key")
+
+
 def attach_offsets(
     df: DataFrame,
     table: DataFrame,
@@ -70,7 +82,7 @@ def attach_offsets(
     cell: Sequence[str] = CELL,
 ) -> DataFrame:
     vectors = offset_vectors(df, table, columns, offsets, name, step, ts, cell)
-    return df.join(vectors, [ts, *cell], "left")
+    return left_lookup(df, vectors, [ts, *cell])
 
 
 def grid_time_lookup(
@@ -115,11 +127,11 @@ def hourly_lookup(
     keyed = df.withColumn("_hour", F.date_trunc("hour", F.col(ts)).cast("timestamp_ntz"))
     table = hourly.withColumnRenamed("ts", "_hour")
     near = offset_vectors(keyed, table, variables, hours, lambda v, h: f"_{v}_{h}", 60, "_hour")
-    joined = keyed.join(near, ["_hour", *CELL], "left")
+    joined = left_lookup(keyed, near, ["_hour", *CELL])
 
     def pick(var: str, k: int) -> Column:
-        ahead = F.floor((F.minute(ts) + F.lit(k * step)) / 60)
-        return F.coalesce(*[F.when(ahead == h, q(f"_{var}_{h}")) for h in hours])
+        cases = " ".join(f"WHEN {h} THEN `_{var}_{h}`" for h in hours)
+        return F.expr(f"CASE floor((minute(`{ts}`) + {k * step}) / 60) {cases} END")
 
     names = [lag_name(v, k) for v in variables for k in offsets]
     cols = {lag_name(v, k): pick(v, k) for v in variables for k in offsets}
@@ -171,7 +183,7 @@ def asof_backward_lookup(
     vectors = by_first.groupBy("_first", *CELL).agg(
         *[F.max(F.when(F.col("_ahead") == d, F.col("_value"))).alias(f"_d{d}") for d in range(span_days)]
     )
-    joined = keyed.join(vectors, ["_first", *CELL], "left")
+    joined = left_lookup(keyed, vectors, ["_first", *CELL])
 
     def pick(k: int) -> Column:
         ahead = F.datediff(F.to_date(shift_clock(ts, k, step)), F.col("_first"))
@@ -188,10 +200,14 @@ def static_lookup(df: DataFrame, static: DataFrame, name: str = "Dem_value") ->
 
 
 def nearest_station(df: DataFrame, lat: str = "lat", lon: str = "lon", places=STATIONS) -> DataFrame:
-    best = nearest_of(lat, lon, places)
-    return df.withColumn("_near", best).select(
-        *df.columns, F.col("_near.name").alias("station"), F.col("_near.distance").alias("distance_km")
-    )
+    """Name of and distance to the nearest listed place. The list is configuration
+    and stays in the expression, so nothing is joined or shuffled."""
+    numbered = df.withColumns(unit_vector(lat, lon)).withColumn("_place", nearest_place(places))
+    names, lats, lons = (F.array(*[F.lit(p[j]) for p in places]) for j in range(3))
+    place = F.col("_place")
+    distance = haversine_km(lat, lon, F.element_at(lats, place), F.element_at(lons, place))
+    out = numbered.withColumns({"station": F.element_at(names, place), "distance_km": distance})
+    return out.drop("_ux", "_uy", "_uz", "_place")
 
 
 def anti_join_missing(inputs: DataFrame, outputs: DataFrame, on: Sequence[str]) -> DataFrame:

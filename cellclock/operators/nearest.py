@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cellclock.grid import Grid
 from cellclock.names import q
+from cellclock.operators.lookups import left_lookup
 from cellclock.session import cut
 
 MAX_RADIUS = 200  # fixed value: cells searched around a strike
@@ -21,48 +22,52 @@ CELL_KM = 4  # fixed value: edge of a cell
 
 
 def _search_tile(requests: pd.DataFrame, flags: pd.DataFrame, radius: int, ring: bool) -> pd.DataFrame:
-    """Nearest flagged cell of each requested cell of one tile.
+    """Nearest flagged cell of each requested cell, for the scenes of one group.
 
-    In every raster row only the closest flag to the left and to the right can win,
-    so those are laid out once and the rows are then scanned outwards.
+    Scenes are laid out one below the other with a gap wider than the search. In
+    every raster row only the closest flag to the left and to the right can win, so
+    those are computed once and the rows are then scanned outwards.
     """
-    rows, cols = requests["row"].to_numpy(), requests["col"].to_numpy()
-    fr, fc = flags["row"].to_numpy(), flags["col"].to_numpy()
+    scene = requests.columns[0]
+    code, _ = pd.factorize(pd.concat([requests[scene], flags[scene]], ignore_index=True))
+    rows, cols = requests["row"].to_numpy(np.int64), requests["col"].to_numpy(np.int64)
+    fr, fc = flags["row"].to_numpy(np.int64), flags["col"].to_numpy(np.int64)
     r0, c0 = min(rows.min(), fr.min()), min(cols.min(), fc.min())
-    height, width = max(rows.max(), fr.max()) - r0 + 1, max(cols.max(), fc.max()) - c0 + 1
-    at = np.arange(width)
-    flagged = np.zeros((height, width), bool)
-    flagged[fr - r0, fc - c0] = True
-    far = 4 * (radius + width)
+    high, width = max(rows.max(), fr.max()) - r0 + 1, max(cols.max(), fc.max()) - c0 + 1
+    reach = int(min(radius, high - 1))
+    pitch = high + reach
+    y, x = code[: len(rows)] * pitch + reach + rows - r0, cols - c0
+    flagged = np.zeros(((code.max() + 1) * pitch + reach, width), bool)
+    flagged[code[len(rows) :] * pitch + reach + fr - r0, fc - c0] = True
+    far = np.int32(radius + width + 1)  # outside the search from any column
+    at = np.arange(width, dtype=np.int32)
     left = np.maximum.accumulate(np.where(flagged, at, -far), axis=1)
-    right = np.minimum.accumulate(np.where(flagged, at, far)[:, ::-1], axis=1)[:, ::-1]
+    right = np.minimum.accumulate(np.where(flagged, at, width + far)[:, ::-1], axis=1)[:, ::-1]
 
     # One sortable number per candidate: (ring or 0, squared distance, row, col).
     side = 2 * radius + 1
     worst = np.iinfo(np.int64).max
     best = np.full(len(rows), worst)
-    y, x = rows - r0, cols - c0
-    for step in range(min(radius, height - 1) + 1):
+    open_ = np.arange(len(rows))
+    for step in range(reach + 1):
         for dy in {step, -step}:
-            yy = y + dy
-            ok = (yy >= 0) & (yy < height)
             for nearest in (left, right):
-                dx = np.where(ok, nearest[np.clip(yy, 0, height - 1), x] - x, far)
-                near = np.abs(dx) <= radius
-                rank = (np.maximum(abs(dy), np.abs(dx)) if ring else 0) * np.int64(2 * side * side)
-                key = ((rank + dy * dy + dx * dx) * side + (dy + radius)) * side + (dx + radius)
-                best = np.where(near, np.minimum(best, key), best)
+                dx = nearest[y[open_] + dy, x[open_]] - x[open_]
+                rank = np.maximum(abs(dy), np.abs(dx)) if ring else 0
+                key = ((rank * (2 * side * side) + dy * dy + dx * dx) * side + (dy + radius)) * side + (dx + radius)
+                best[open_] = np.where(np.abs(dx) <= radius, np.minimum(best[open_], key), best[open_])
         # Rows further out lose against anything found within this distance.
-        found = best // (side * side)
+        found = best[open_] // (side * side)
         bound = found // (2 * side * side) if ring else np.sqrt(found)
-        if np.all((best < worst) & (bound <= step)):
+        open_ = open_[(best[open_] == worst) | (bound > step)]
+        if not len(open_):
             break
     hit = best < worst
-    dx = best % side - radius
-    dy = best // side % side - radius
+    dx = best[hit] % side - radius
+    dy = best[hit] // side % side - radius
     out = requests[hit].copy()
-    out["near_row"], out["near_col"] = rows[hit] + dy[hit], cols[hit] + dx[hit]
-    out["distance_km"] = CELL_KM * np.sqrt((dy[hit] ** 2 + dx[hit] ** 2).astype(float))
+    out["near_row"], out["near_col"] = rows[hit] + dy, cols[hit] + dx
+    out["distance_km"] = CELL_KM * np.sqrt((dy**2 + dx**2).astype(float))
     return out
 
 
@@ -73,6 +78,7 @@ def nearest_cloud_cell(
     metric: str = "ring",
     scene: str = "ts",
     tile: int = 512,
+    hours: int = 3,
 ) -> DataFrame:
     """Nearest flagged cell of the row's scene within a square of ``max_radius``:
     near_row, near_col, distance_km; NULL when the scene is absent or holds none.
@@ -80,10 +86,10 @@ def nearest_cloud_cell(
     ``ring`` takes the smallest square ring first, then the Euclidean distance,
     then row-major order; ``euclid`` the distance, then row-major order.
 
-    Requests are reduced to distinct cells and both sides to tiles; flags within
-    reach are copied to the neighbour tiles. A task then holds at most
-    (tile + 2 * max_radius)^2 cells, whatever the number of strikes or how much of
-    a scene is flagged.
+    Requests are reduced to distinct cells and both sides to tiles of the scenes of
+    a few hours; flags within reach are copied to the neighbour tiles. A group then
+    holds at most (tile + 2 * max_radius)^2 cells per scene, whatever the number of
+    strikes or how much of a scene is flagged.
     """
     if metric not in ("ring", "euclid"):
         raise ValueError(f"unknown metric: {metric}")
@@ -107,15 +113,18 @@ def nearest_cloud_cell(
         return _search_tile(wanted[keys], flagged, max_radius, ring)
 
     # Only tiles with both sides go to Python: most scenes have no strike at all.
-    parts = [scene, "_tr", "_tc"]
-    asked, held = requests.select(*parts).distinct(), flags.select(*parts).distinct()
-    flags = flags.join(asked, parts, "left_semi")
-    requests = requests.join(held, parts, "left_semi")
+    both = [scene, "_tr", "_tc"]
+    asked, held = requests.select(*both).distinct(), flags.select(*both).distinct()
+    flags = flags.join(asked, both, "left_semi")
+    requests = requests.join(held, both, "left_semi")
+    span = F.floor(F.unix_seconds(F.col(scene).cast("timestamp")) / (3600 * hours))
+    requests, flags = requests.withColumn("_span", span), flags.withColumn("_span", span)
+    parts = ["_span", "_tr", "_tc"]
     # A fixed number of partitions: the work of a tile does not show in its bytes.
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     requests, flags = requests.repartition(n, *parts), flags.repartition(n, *parts)
     found = requests.groupBy(*parts).cogroup(flags.groupBy(*parts)).applyInPandas(search, schema)
-    return df.join(found, keys, "left")
+    return left_lookup(df, found, keys)
 
 
 # ---- pairs of nearby cells ---------------------------------------------------

@@ -22,13 +22,9 @@ def pool_lags(
         for k in [None] if band in static else offsets:
             name = band if k is None else lag_name(band, k)
             if name in have:
-                cells.append(
-                    F.struct(
-                        F.lit(band).alias("band"), F.lit(k).cast("int").alias("lag"), q(name).cast("double").alias("value")
-                    )
-                )
-    out = df.select(*keep, F.explode(F.array(*cells)).alias("_c"))
-    return out.select(*keep, "_c.band", "_c.lag", "_c.value")
+                lag = "CAST(NULL AS int)" if k is None else k
+                cells.append(f"struct('{band}' AS band, {lag} AS lag, CAST(`{name}` AS double) AS value)")
+    return df.select(*keep, F.expr(f"inline(array({', '.join(cells)}))"))
 
 
 def valid(value: Column) -> Column:
@@ -159,7 +155,7 @@ def range_violations(pooled: DataFrame, scales: DataFrame) -> DataFrame:
     """Actual against stored bounds per band, and how much is missing or outside."""
     v = F.col("value")
     bounds = scales.select("band", F.col("min").alias("info_min"), F.col("max").alias("info_max"))
-    joined = pooled.join(bounds, "band")  # a scale table has a few dozen rows
+    joined = pooled.join(F.broadcast(bounds), "band")  # one row per band, i.e. per column group
     outside = (v < F.col("info_min")) | (v > F.col("info_max"))
     return joined.groupBy("band", "info_min", "info_max").agg(
         F.min(F.when(valid(v), v)).alias("actual_min"),

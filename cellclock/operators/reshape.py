@@ -22,14 +22,15 @@ def horizon_slices(
 ) -> DataFrame:
     """One row per sample and horizon h: lags [h-n, h) renamed to t-n..t-1, the
     static bands repeated, and the label of that horizon as ``label``."""
-    moving = [b for b in bands if b not in static]
     rows = []
     for h in range(horizons):
-        fields = [F.lit(h).alias("horizon")]
-        fields += [q(lag_name(b, k + h)).alias(lag_name(b, k)) for b in moving for k in range(-horizons, 0)]
-        fields += [q(b).alias(b) for b in bands if b in static]
-        rows.append(F.struct(*fields, q(f"{label}{h}").alias("label")))
-    return df.select(*key, F.explode(F.array(*rows)).alias("_r")).select(*key, "_r.*")
+        fields = [f"{h} AS horizon"]
+        fields += [
+            f"`{lag_name(b, k + h)}` AS `{lag_name(b, k)}`" for b in bands if b not in static for k in range(-horizons, 0)
+        ]
+        fields += [f"`{b}`" for b in bands if b in static]
+        rows.append(f"struct({', '.join(fields)}, `{label}{h}` AS label)")
+    return df.select(*key, F.expr(f"inline(array({', '.join(rows)}))"))
 
 
 def sliding_training_rows(

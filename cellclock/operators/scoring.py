@@ -89,19 +89,26 @@ def mutual_information_features(
     w = Window.partitionBy("feature", "_y", "_blk").orderBy("_rn")
     gaps = []
     for d in range(1, k + 1):
-        gaps += [F.col("x") - F.lag("x", d).over(w), F.lead("x", d).over(w) - F.col("x")]
+        for other in (F.lag("x", d).over(w), F.lead("x", d).over(w)):
+            gaps.append(F.when(other.isNotNull(), F.struct(F.abs(F.col("x") - other).alias("r"), other.alias("v"))))
     ranked = F.array_sort(F.array_compact(F.array(*gaps)))
     spread = spread.withColumn("_gaps", ranked).where(F.col("_blk") == F.col("_own"))
-    radius = spread.select("feature", "_y", "_key", "x", "_ny", "_k", F.element_at("_gaps", F.col("_k")).alias("_r"))
+    at, kth = F.col("x"), F.col("_kth")
+    spread = spread.withColumn("_kth", F.element_at("_gaps", F.col("_k")))
+    # The k-th neighbour itself is one end of the interval, without rounding.
+    radius = spread.select(
+        "feature", "_y", "_key", "x", "_ny", "_k", kth["r"].alias("_r"),
+        F.when(kth["v"] <= at, kth["v"]).otherwise(at - kth["r"]).alias("_lo"),
+        F.when(kth["v"] >= at, kth["v"]).otherwise(at + kth["r"]).alias("_hi"),
+    )
     radius = cut(radius)
 
-    # Distinct places: points, and both ends of each open interval (x-r, x+r).
-    at = F.col("x")
+    # Distinct places: points, and both ends of each open interval.
     zero = F.col("_r") == 0
     ends = F.array(
         F.struct(at.alias("v"), F.lit(1).alias("n")),
-        F.struct(F.when(zero, at).otherwise(at - F.col("_r")).alias("v"), F.lit(0).alias("n")),
-        F.struct(F.when(zero, at).otherwise(at + F.col("_r")).alias("v"), F.lit(0).alias("n")),
+        F.struct(F.col("_lo").alias("v"), F.lit(0).alias("n")),
+        F.struct(F.col("_hi").alias("v"), F.lit(0).alias("n")),
     )
     places = radius.select("feature", F.explode(ends).alias("_e")).groupBy("feature", F.col("_e.v").alias("_v")).agg(
         F.sum("_e.n").alias("_n")
@@ -112,11 +119,8 @@ def mutual_information_features(
     ties = radius.groupBy("feature", "_y", "x").agg(F.count(F.lit(1)).alias("_same"))
     low = counts.select("feature", F.col("_v").alias("_lo"), F.col("_below").alias("_b_lo"), F.col("_upto").alias("_u_lo"))
     high = counts.select("feature", F.col("_v").alias("_hi"), F.col("_below").alias("_b_hi"), F.col("_upto").alias("_u_hi"))
-    # Equal (feature, label, x, r) rows are answered once.
-    unique = radius.groupBy("feature", "_y", "x", "_ny", "_k", "_r").agg(F.count(F.lit(1)).alias("_times"))
-    unique = unique.withColumns(
-        {"_lo": F.when(zero, at).otherwise(at - F.col("_r")), "_hi": F.when(zero, at).otherwise(at + F.col("_r"))}
-    )
+    # Equal rows are answered once.
+    unique = radius.groupBy("feature", "_y", "x", "_ny", "_k", "_r", "_lo", "_hi").agg(F.count(F.lit(1)).alias("_times"))
     answered = unique.join(low, ["feature", "_lo"]).join(high, ["feature", "_hi"]).join(ties, ["feature", "_y", "x"])
     m = F.when(zero, F.col("_u_hi") - F.col("_b_lo")).otherwise(F.col("_b_hi") - F.col("_u_lo"))
     kk = F.when(zero, F.col("_same")).otherwise(F.col("_k"))

@@ -152,14 +152,8 @@ def samples(spark, sf_dir) -> DataFrame:
         "col",
         *names,
         (F.pmod(F.col("row") * 7 + F.col("col") * 5, F.lit(11)) - 4).cast("double").alias("Dem_value"),
-        *[
-            (F.coalesce(F.col(f"`{lag_name('n_err', i)}`"), F.lit(0)) > 0).cast("int").alias(f"output_{i}")
-            for i in range(HORIZONS)
-        ],
-        *[
-            F.coalesce(F.col(f"`{lag_name('amount', i)}`"), F.lit(0.0)).alias(f"lightning_{i}")
-            for i in range(HORIZONS)
-        ],
+        *[F.expr(f"CAST(coalesce(`{lag_name('n_err', i)}`, 0) > 0 AS int) AS output_{i}") for i in range(HORIZONS)],
+        *[F.expr(f"coalesce(`{lag_name('amount', i)}`, 0D) AS lightning_{i}") for i in range(HORIZONS)],
     )
 
 

@@ -21,15 +21,26 @@ RUNTIME_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+# Settings that can only be given when the session is built.
+BUILD_CONF = {
+    # Plans here are built from thousands of column calls; recording the Python call
+    # site of each one costs more than the planning itself.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+    # Lag tables have hundreds of columns, and HotSpot leaves methods above 8000
+    # bytecodes interpreted unless told otherwise.
+    "spark.driver.extraJavaOptions": "-XX:-DontCompileHugeMethods",
+    "spark.executor.extraJavaOptions": "-XX:-DontCompileHugeMethods",
+}
+
 
 def build_session(app: str = "cellclock", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with the settings above; ``conf`` keys use ``__`` for dots."""
+    """A session with the settings above; keyword names use ``__`` for dots."""
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in RUNTIME_CONF.items():
+    for key, value in {**RUNTIME_CONF, **BUILD_CONF}.items():
         builder = builder.config(key, value)
-    builder = builder.config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
