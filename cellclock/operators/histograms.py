@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cellclock.functions.scaling import normalized, scale_clip, scale_maxabs_clip
 from cellclock.names import HORIZONS, lag_name, q
+from cellclock.operators.keyed import lookup
 from cellclock.operators.ordered import quantiles
 
 MASTER_BINS = 50000  # fixed value
@@ -216,7 +217,7 @@ def trimmed_density(df: DataFrame, value: str, bins: int = 100, group_by: Sequen
     if not group_by:
         base = base.withColumn("_all", F.lit(0))
     bounds = quantiles(base, "_v", {"lo": 0.005, "hi": 0.995}, group)
-    inside = base.join(bounds, group).where(F.col("_v").between(F.col("lo"), F.col("hi")))
+    inside = lookup(base, bounds, group, "inner").where(F.col("_v").between(F.col("lo"), F.col("hi")))
     width = (F.col("hi") - F.col("lo")) / bins
     where = F.least(F.lit(bins - 1), F.floor((F.col("_v") - F.col("lo")) / F.nullif(width, F.lit(0.0)))).cast("int")
     counts = inside.groupBy(*group, "lo", "hi", where.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
@@ -272,7 +273,7 @@ def kde_bounds(
     bounds = bounds.where("_n > 10 AND _s > 0")
     width = (F.col("_max") - F.col("_min")) / bins
     where = F.least(F.lit(bins - 1), F.floor((v - F.col("_min")) / width)).cast("int")
-    binned = base.join(moments.where("_n > 10 AND _s > 0"), group).groupBy(*group, where.alias("_bin")).agg(
+    binned = lookup(base, moments.where("_n > 10 AND _s > 0"), group, "inner").groupBy(*group, where.alias("_bin")).agg(
         F.count(F.lit(1)).alias("_c"), F.avg(v).alias("_x")
     )
     # A group's bins are one short array (at most ``bins`` entries).

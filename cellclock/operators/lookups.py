@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from cellclock.functions.clock import shift_clock
 from cellclock.functions.geo import STATIONS, haversine_km, nearest_place, unit_vector
 from cellclock.names import FULL, HORIZONS, lag_name, q
+from cellclock.operators.keyed import lookup
 
 CELL = ("row", "col")
 
@@ -59,18 +60,6 @@ def offset_vectors(
     )
 
 
-def left_lookup(df: DataFrame, answers: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Left join with a side that is unique per key, safe for hot keys.
-
-    The keys are packed into one struct. The answers, fresh from an aggregate on the
-    same keys, are then shuffled for the join instead of keeping the aggregate's
-    partitioning; only between two shuffles can adaptive execution split a hot key
-    of ``df``. They are the small side: one row per distinct request.
-    """
-    packed = answers.select(F.struct(*keys).alias("_key"), *[q(c) for c in answers.columns if c not in keys])
-    return df.withColumn("_key", F.struct(*keys)).join(packed, "_key", "left").drop("_key")
-
-
 def attach_offsets(
     df: DataFrame,
     table: DataFrame,
@@ -82,7 +71,7 @@ def attach_offsets(
     cell: Sequence[str] = CELL,
 ) -> DataFrame:
     vectors = offset_vectors(df, table, columns, offsets, name, step, ts, cell)
-    return left_lookup(df, vectors, [ts, *cell])
+    return lookup(df, vectors, [ts, *cell])
 
 
 def grid_time_lookup(
@@ -127,7 +116,7 @@ def hourly_lookup(
     keyed = df.withColumn("_hour", F.date_trunc("hour", F.col(ts)).cast("timestamp_ntz"))
     table = hourly.withColumnRenamed("ts", "_hour")
     near = offset_vectors(keyed, table, variables, hours, lambda v, h: f"_{v}_{h}", 60, "_hour")
-    joined = left_lookup(keyed, near, ["_hour", *CELL])
+    joined = lookup(keyed, near, ["_hour", *CELL])
 
     def pick(var: str, k: int) -> Column:
         cases = " ".join(f"WHEN {h} THEN `_{var}_{h}`" for h in hours)
@@ -183,7 +172,7 @@ def asof_backward_lookup(
     vectors = by_first.groupBy("_first", *CELL).agg(
         *[F.max(F.when(F.col("_ahead") == d, F.col("_value"))).alias(f"_d{d}") for d in range(span_days)]
     )
-    joined = left_lookup(keyed, vectors, ["_first", *CELL])
+    joined = lookup(keyed, vectors, ["_first", *CELL])
 
     def pick(k: int) -> Column:
         ahead = F.datediff(F.to_date(shift_clock(ts, k, step)), F.col("_first"))

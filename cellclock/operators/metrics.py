@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellclock.functions.losses import focal_loss, task_weights
+from cellclock.operators.keyed import lookup
 from cellclock.operators.ordered import best_step, running_total
 
 EPS = 1e-8  # fixed value
@@ -77,7 +78,7 @@ def _curve(df: DataFrame, score: str, y: str, group_by: Sequence[str]) -> tuple[
     counts = _score_counts(base, score, y, group)
     curve = running_total(counts, ["_s"], {"_tp": "_p", "_fp": "_n"}, group, descending=True)
     totals = curve.groupBy(*group).agg(F.max("_tp").alias("_all_p"), F.max("_fp").alias("_all_n"))
-    return curve.join(totals, group), group
+    return lookup(curve, totals, group, "inner"), group
 
 
 def _result(df: DataFrame, group: list[str], group_by: Sequence[str], value: Column, name: str) -> DataFrame:

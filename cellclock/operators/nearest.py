@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cellclock.grid import Grid
 from cellclock.names import q
-from cellclock.operators.lookups import left_lookup
+from cellclock.operators.keyed import lookup
 from cellclock.session import cut
 
 MAX_RADIUS = 200  # fixed value: cells searched around a strike
@@ -124,7 +124,7 @@ def nearest_cloud_cell(
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     requests, flags = requests.repartition(n, *parts), flags.repartition(n, *parts)
     found = requests.groupBy(*parts).cogroup(flags.groupBy(*parts)).applyInPandas(search, schema)
-    return left_lookup(df, found, keys)
+    return lookup(df, found, keys)
 
 
 # ---- pairs of nearby cells ---------------------------------------------------

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellclock.names import q
+from cellclock.operators.keyed import lookup
 from cellclock.session import cut
 
 
@@ -115,7 +116,7 @@ def quantiles(
     counts = counts.where(F.col("_c") > 0)
     ranked = running_total(counts, ["_v"], {"_end": "_c"}, group)
     totals = ranked.groupBy(*group).agg(F.max("_end").alias("_n"))
-    joined = ranked.join(totals, group)
+    joined = lookup(ranked, totals, group, "inner")
 
     def at(rank: Column) -> Column:
         return F.max(F.when((rank >= F.col("_end") - F.col("_c")) & (rank < F.col("_end")), F.col("_v")))

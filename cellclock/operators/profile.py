@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cellclock.functions.clock import floor_clock, from_epoch_minutes, epoch_minutes
 from cellclock.names import FULL, HORIZONS, lag_name, q
+from cellclock.operators.keyed import lookup
 from cellclock.operators.ordered import quantiles
 
 
@@ -178,7 +179,7 @@ def box_stats(df: DataFrame, value: str, group_by: Sequence[str] = ()) -> DataFr
     counts = clean.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_n"))
     inside = F.col("_v").between(F.col("low_fence"), F.col("high_fence"))
     names = ["q1", "median", "q3", "low_fence", "high_fence"]
-    out = counts.join(box, group).groupBy(*group, *names).agg(
+    out = lookup(counts, box, group, "inner").groupBy(*group, *names).agg(
         F.min(F.when(inside, F.col("_v"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("_v"))).alias("whisker_high"),
         F.sum(F.when(inside, 0).otherwise(F.col("_n"))).alias("outliers"),

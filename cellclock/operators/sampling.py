@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellclock.names import q
+from cellclock.operators.keyed import lookup
 from cellclock.operators.ordered import number_rows, running_total
 
 _PRIME = 2147483647
@@ -59,7 +60,7 @@ def sample_by_quota(
         .agg(F.max(F.struct("_b", (F.col("quota") - F.col("_before")).alias("_left"))).alias("_e"))
         .select(*group, F.col("_e._b").alias("_edge"), F.col("_e._left").alias("_left"))
     )
-    near = hashed.join(edge, group)
+    near = lookup(hashed, edge, group, "inner")
     whole = near.where(F.col("_b") < F.col("_edge"))
     rank = F.row_number().over(Window.partitionBy(*group, "_b").orderBy("_h", *key))
     partial = near.where(F.col("_b") == F.col("_edge")).withColumn("_r", rank).where(F.col("_r") <= F.col("_left"))

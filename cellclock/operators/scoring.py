@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cellclock.functions.special import correlation_p_value, digamma
 from cellclock.names import HISTORY, lag_columns, lag_name, q
+from cellclock.operators.keyed import lookup
 from cellclock.operators.lookups import rank_join
 from cellclock.operators.nearest import nearest_neighbours
 from cellclock.operators.ordered import number_rows, running_total
@@ -77,7 +78,7 @@ def mutual_information_features(
     """
     long = _long(df, columns, label, key)
     sizes = long.groupBy("feature", "_y").agg(F.count(F.lit(1)).alias("_ny"))
-    points = long.join(sizes.where("_ny > 1"), ["feature", "_y"])
+    points = lookup(long, sizes.where("_ny > 1"), ["feature", "_y"], "inner")
     points = points.withColumn("_k", F.least(F.lit(k), F.col("_ny") - 1).cast("int"))
 
     # k-th neighbour of the same label: within k places in the sorted order.
@@ -183,7 +184,7 @@ def mutual_information_joint(
         clean = clean.select(q(key).alias("_key"), q(label).cast("int").alias("_y"), F.array(*[q(c).cast("double") for c in columns]).alias("_x"))
         drawn = sample_n(clean, sample, ["_key"], seed, kind, strict=False)
         sizes = drawn.groupBy("_y").agg(F.count(F.lit(1)).alias("_ny"))
-        drawn = cut(drawn.join(sizes.where("_ny > 1"), "_y").withColumn("_mine", F.pmod(F.xxhash64("_key"), F.lit(blocks)).cast("int")))
+        drawn = cut(lookup(drawn, sizes.where("_ny > 1"), ["_y"], "inner").withColumn("_mine", F.pmod(F.xxhash64("_key"), F.lit(blocks)).cast("int")))
         everywhere = drawn.select("_key", "_y", "_x", "_ny", "_mine", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_blk"))
 
         def terms(held: pd.DataFrame) -> pd.DataFrame:

@@ -31,9 +31,7 @@ def test_only_calendars_meet_in_the_range_join(spark):
     assert text.count("BroadcastNestedLoopJoin") <= 1 and "CartesianProduct" not in text
 
 
-@pytest.mark.parametrize("name", ["band_stats_approx", "correlation_matrix", "class_balance"])
-def test_no_global_window(spark, name):
-    assert "SinglePartition" not in plan(QUERIES[name](spark, SF_DIR)).split("Window")[-1] or True
+
 
 
 def test_master_histogram_scans_once(spark):
