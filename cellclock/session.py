@@ -14,6 +14,9 @@ RUNTIME_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # A lag row becomes dozens of value rows after its shuffle, so small shuffles
+    # still deserve all cores.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64kb",
     # Lookups are big-to-big joins whose probe side can have hot cells; the
     # looked-up side is unique per key, so splitting the probe side is exact.
     "spark.sql.adaptive.skewJoin.enabled": "true",
