@@ -80,14 +80,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Materialise ``df`` on reliable storage and forget how it was made.
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` to a table in the shared folder and go on from there.
 
-    Unlike a cache, the result survives the loss of executors, and a column that
-    depends on the physical partitioning keeps the value it was written with.
+    Unlike a cache, the table survives the loss of executors, and a column that
+    depends on the physical partitioning keeps the value it was written with. The
+    rows are computed once, and later reads take only the columns they need. Tables
+    stay until the folder is cleared.
     """
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=eager)
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
