@@ -155,13 +155,13 @@ def ratio_merge(spark, sf_dir):
     views="samples",
     oracle=f"""WITH {_POS_NEG}, f AS (SELECT file, count(*) AS n, sum(count(*)) OVER (ORDER BY file) - count(*) AS before FROM neg GROUP BY file),
       r AS (SELECT neg.*, row_number() OVER (PARTITION BY neg.file ORDER BY {hash_sql('sid')}, sid) AS rn, 750 - before AS quota FROM neg JOIN f USING (file))
-      SELECT * FROM (SELECT sid, output_0, v, file FROM pos WHERE month(ts) = 1 ORDER BY {hash_sql('sid')}, sid LIMIT 300)
+      SELECT * FROM (SELECT sid, output_0, v, file FROM pos WHERE month(ts) = 1 ORDER BY {hash_sql("sid")}, sid LIMIT 100)
       UNION ALL SELECT sid, output_0, v, file FROM r WHERE rn <= quota""",
 )
 def validation_merge(spark, sf_dir):
     pos, neg = _pos_neg(spark, sf_dir)
     january = pos.where(F.month("ts") == 1).drop("ts")
-    return sampling.validation_merge(january, neg.drop("ts"), 300, 2.5, key=["sid"], kind="arithmetic")
+    return sampling.validation_merge(january, neg.drop("ts"), 100, 7.5, key=["sid"], kind="arithmetic")
 
 
 @query("train_val_split", oracle=f"SELECT event_id, CASE WHEN {hash_sql('event_id')} % 100 < 80 THEN 'train' ELSE 'val' END AS part FROM events")
