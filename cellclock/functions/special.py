@@ -22,6 +22,14 @@ def digamma(n: Column) -> Column:
     return series
 
 
+def pearson(a: Column, b: Column) -> Column:
+    """Correlation over rows where both are present; NULL when one is constant
+    (the built-in fails with a division by zero in ANSI mode)."""
+    both = a.isNotNull() & b.isNotNull()
+    spread = F.stddev_pop(F.when(both, a)) * F.stddev_pop(F.when(both, b))
+    return F.try_divide(F.covar_pop(a, b), spread)
+
+
 def _beta_fraction(a: float, b: float, x: float) -> float:
     """Continued fraction of the incomplete beta function (Lentz's method)."""
     tiny = 1e-300

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellclock.functions.losses import focal_loss, task_weights
+from cellclock.functions.special import pearson
 from cellclock.operators.keyed import lookup
 from cellclock.operators.ordered import best_step, running_total
 
@@ -137,7 +138,7 @@ def regression_metrics(
         F.count(tp).alias("positives"),
         F.avg(F.abs(tp - pp)).alias("_mae"),
         F.sqrt(F.avg((tp - pp) * (tp - pp))).alias("_rmse"),
-        F.corr(tp, pp).alias("_r"),
+        pearson(tp, pp).alias("_r"),
         F.avg(tp).alias("_mt"),
         F.avg(pp).alias("_mp"),
         F.stddev_pop(tp).alias("_st"),

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellclock.functions.clock import floor_clock, from_epoch_minutes, epoch_minutes
+from cellclock.functions.special import pearson
 from cellclock.names import FULL, HORIZONS, lag_name, q
 from cellclock.operators.keyed import lookup
 from cellclock.operators.ordered import quantiles
@@ -192,7 +193,7 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     ``feature_a, feature_b, corr`` (upper triangle). One aggregate, one pass."""
     clean = [F.when(valid(q(c).cast("double")), q(c).cast("double")) for c in columns]
     pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
-    row = df.agg(*[F.corr(clean[i], clean[j]).alias(f"c{i}_{j}") for i, j in pairs])
+    row = df.agg(*[pearson(clean[i], clean[j]).alias(f"c{i}_{j}") for i, j in pairs])
     cells = [
         F.struct(
             F.lit(columns[i]).alias("feature_a"), F.lit(columns[j]).alias("feature_b"), F.col(f"c{i}_{j}").alias("corr")

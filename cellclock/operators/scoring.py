@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cellclock.functions.special import correlation_p_value, digamma
+from cellclock.functions.special import correlation_p_value, digamma, pearson
 from cellclock.names import HISTORY, lag_columns, lag_name, q
 from cellclock.operators.keyed import lookup
 from cellclock.operators.lookups import rank_join
@@ -37,7 +37,7 @@ def point_biserial_features(df: DataFrame, columns: Sequence[str], label: str) -
     aggs = []
     for i, c in enumerate(columns):
         v = F.when(valid(q(c).cast("double")) & q(label).isNotNull(), q(c).cast("double"))
-        aggs += [F.corr(v, q(label).cast("double")).alias(f"r{i}"), F.count(v).alias(f"n{i}")]
+        aggs += [pearson(v, q(label).cast("double")).alias(f"r{i}"), F.count(v).alias(f"n{i}")]
     rows = _columns_to_rows(df.agg(*aggs), columns, r="r", n="n")
     return rows.select("feature", F.abs("r").alias("corr"), correlation_p_value("r", "n").alias("p_value"))
 

@@ -301,7 +301,7 @@ _CORR = ["V_t-2", "V_t-1", "K_t-1", "Dem_value"]
 
 @query("correlation_matrix", views="samples",
        oracle=" UNION ALL ".join(
-           f"""SELECT '{a}' AS feature_a, '{b}' AS feature_b, round(corr("{a}", "{b}"), 6) AS corr FROM samples"""
+           f"""SELECT '{a}' AS feature_a, '{b}' AS feature_b, CASE WHEN isfinite(corr("{a}", "{b}")) THEN round(corr("{a}", "{b}"), 6) END AS corr FROM samples"""
            for i, a in enumerate(_CORR) for b in _CORR[i + 1:]))
 def correlation_matrix(spark, sf_dir):
     return rounded(profile.correlation_matrix(samples(spark, sf_dir), _CORR))

@@ -290,3 +290,9 @@ def test_asof_clips_before_the_first_raster(spark):
     df = spark.createDataFrame(days, "t string").select(F.col("t").cast("timestamp_ntz").alias("ts"), F.lit(0).alias("row"), F.lit(0).alias("col"))
     out = lookups.asof_backward_lookup(df, rasters_, "value", "ndvi").orderBy("ts").collect()
     assert [r["ndvi"] for r in out] == [1.0, 1.0, 1.0, 2.0, 2.0]
+
+
+def test_correlation_with_a_constant_column_is_null(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 5.0), (2.0, 4.0, 5.0), (3.0, 6.5, 5.0)], "a double, b double, c double")
+    got = {(r[0], r[1]): r[2] for r in profile.correlation_matrix(df, ["a", "b", "c"]).collect()}
+    assert got[("a", "c")] is None and got[("a", "b")] == pytest.approx(np.corrcoef([1, 2, 3], [2, 4, 6.5])[0, 1])
