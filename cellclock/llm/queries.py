@@ -41,3 +41,10 @@ def _token_files(spark, sf_dir):
     from cellclock.llm.token_files import token_file_digests
 
     return token_file_digests(table(spark, sf_dir, "documents"), vocabulary(), end_id=1)
+
+
+@query("op1_near_dedup")
+def _near_dedup(spark, sf_dir):
+    from cellclock.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
