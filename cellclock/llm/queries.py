@@ -48,3 +48,23 @@ def _near_dedup(spark, sf_dir):
     from cellclock.llm.near_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+@query("op6_fingerprints")
+def _fingerprints(spark, sf_dir):
+    from cellclock.llm.fingerprints import edited_fingerprints
+
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+def _decontaminate_sql():
+    from cellclock.llm.decontaminate import ORACLE_SQL
+
+    return ORACLE_SQL
+
+
+@query("op5_decontaminate", _decontaminate_sql())
+def _decontaminate(spark, sf_dir):
+    from cellclock.llm.decontaminate import contamination_digests
+
+    return contamination_digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
