@@ -68,3 +68,10 @@ def _decontaminate(spark, sf_dir):
     from cellclock.llm.decontaminate import contamination_digests
 
     return contamination_digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op8_context_tree")
+def _context_tree(spark, sf_dir):
+    from cellclock.llm.context_tree import scores
+
+    return scores(table(spark, sf_dir, "documents"), held_modulus=10)
