@@ -75,3 +75,10 @@ def _context_tree(spark, sf_dir):
     from cellclock.llm.context_tree import scores
 
     return scores(table(spark, sf_dir, "documents"), held_modulus=10)
+
+
+@query("op4_quality")
+def _quality(spark, sf_dir):
+    from cellclock.llm.quality import quality_scores
+
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
