@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellclock.llm.common import written
+from cellclock.llm.common import fresh, written
 
 SPAN = 10  # words that make an occurrence
 GRAM = 5  # words of a hashed gram
@@ -186,9 +186,10 @@ def contamination_digests(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark passage, with all their columns."""
-    bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("h").alias("_h")).distinct()
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    return keyed.join(bad, keyed["doc_id"].eqNullSafe(bad["_id"]) & (keyed["_key"] == bad["_h"]), "left_anti").select(docs.columns)
+    key, i, h = fresh(docs, "_key", "_id", "_h")
+    bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias(i), F.col("h").alias(h)).distinct()
+    keyed = docs.withColumn(key, F.xxhash64("text"))
+    return keyed.join(bad, keyed["doc_id"].eqNullSafe(bad[i]) & (keyed[key] == bad[h]), "left_anti").select(docs.columns)
 
 
 ORACLE_SQL = r"""

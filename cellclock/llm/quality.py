@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellclock.llm.common import crc_bucket, string_bytes
+from cellclock.llm.common import crc_bucket, fresh, string_bytes
 
 PASSAGE = 512  # bytes of a passage
 TRAIN_ROWS = 4000
@@ -293,5 +293,6 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = THRESH
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject."""
-    scored = score(docs, train(docs, labels), "_quality")
-    return scored.where(F.col("_quality") >= threshold).select(docs.columns)
+    (column,) = fresh(docs, "_quality")
+    scored = score(docs, train(docs, labels), column)
+    return scored.where(F.col(column) >= threshold).select(docs.columns)

@@ -47,7 +47,7 @@ def _token_files(spark, sf_dir):
 def _near_dedup(spark, sf_dir):
     from cellclock.llm.near_dedup import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85, bands=21, rows=6)
 
 
 @query("op6_fingerprints")
@@ -82,3 +82,11 @@ def _quality(spark, sf_dir):
     from cellclock.llm.quality import quality_scores
 
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op3_pii_surrogates")
+def _pii_surrogates(spark, sf_dir):
+    from cellclock.llm.pii import replace_entities
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return replace_entities(docs, key="corpus-2024", count="n_replaced")
