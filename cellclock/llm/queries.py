@@ -90,3 +90,24 @@ def _pii_surrogates(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return replace_entities(docs, key="corpus-2024", count="n_replaced")
+
+
+def _url_lists_sql():
+    from cellclock.llm.url_lists import ORACLE_SQL
+
+    return ORACLE_SQL
+
+
+@query("op10_url_lists", _url_lists_sql())
+def _url_lists(spark, sf_dir):
+    from cellclock.llm.url_lists import evaluate, page_captures, page_entries
+
+    pages = table(spark, sf_dir, "pages")
+    return evaluate(page_captures(pages), page_entries(pages))
+
+
+@query("op2_language")
+def _language(spark, sf_dir):
+    from cellclock.llm.language import languages
+
+    return languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
