@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import cache
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,9 +15,27 @@ from cellclock.session import prepare, scratch_path
 BATCH_ROWS = 500
 
 
+_shipped: set[str] = set()
+
+
+def _ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python workers, once per application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent.parent
+    path = Path(tempfile.mkdtemp(prefix="spark-")) / f"{root.name}.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    context.addPyFile(str(path))
+    _shipped.add(context.applicationId)
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """Apply the settings the text operators assume."""
+    """Apply the settings the text operators assume, and bring the package to the workers."""
     prepare(spark)
+    _ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 
@@ -57,17 +76,9 @@ def crc_bucket(doc_id: Column | str, modulus: int) -> Column:
     return F.crc32(F.coalesce(value.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def per_process(build: Callable) -> Callable:
-    """Build an object once in each Python worker; ``build`` needs hashable arguments."""
-    return cache(build)
-
-
 def string_bytes(column) -> list[bytes]:
     """An Arrow string column as bytes objects; null is empty."""
     import pyarrow as pa
 
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()
     return [v or b"" for v in column.cast(kind).to_pylist()]
-
-
-Batches = Iterator  # of pyarrow.RecordBatch

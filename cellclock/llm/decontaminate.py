@@ -71,14 +71,18 @@ def prints(w: Column, lengths: list[int]) -> Column:
                 )
             )
         else:
-            # An odd length marker keeps these apart from winnowed grams of as many words.
-            found.append(F.transform(_upto(F.size(w) - n + 1), lambda i, n=n: _short(w, i, n)))
+            found.append(F.transform(_upto(F.size(w) - n + 1), _short(w, n)))
     return F.concat(*found)
 
 
-def _short(w: Column, i: Column, n: int) -> Column:
-    h = F.xxhash64(F.lit(-n), *[F.get(w, i + j if j else i) for j in range(n)])
-    return h.bitwiseAND(F.lit(HASH_MASK)).bitwiseOR((F.lit(PLACE_MASK) - i).cast("long"))
+def _short(w: Column, n: int):
+    """As ``_gram`` for whole short items; another seed keeps the two kinds apart."""
+
+    def gram(i: Column) -> Column:
+        h = F.xxhash64(F.lit(-n), *[F.get(w, i + j if j else i) for j in range(n)])
+        return h.bitwiseAND(F.lit(HASH_MASK)).bitwiseOR((F.lit(PLACE_MASK) - i).cast("long"))
+
+    return gram
 
 
 def _place(p: Column) -> Column:
