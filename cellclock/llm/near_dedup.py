@@ -10,7 +10,8 @@ classes' signatures make buckets. Pairs are not formed inside a bucket at large:
 2. Every class of a bucket is compared with the bucket's hub, the class with the least
    such shingles, that is the most typical one. Links make components.
 3. Classes outside their bucket's main component are compared with the classes of other
-   components there, if their sizes and unshared shingles leave a link possible.
+   components there, if their sizes, their unshared shingles and their distances from the
+   hub leave a link possible.
 
 Together these steps settle every pair that shares a bucket: two classes are already
 connected, or can't be linked, or are compared. With 21 bands of 6 minima a pair at the
@@ -117,8 +118,9 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SETS)
 
 
-def verified(pairs: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose signatures agree well enough and whose full sets are linked."""
+def compared(pairs: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose signatures agree well enough, with the Jaccard distance of their
+    full sets and whether they are linked."""
 
     def side(frame, name, value):
         return frame.select(F.col("doc_id").alias(name), F.col(value).alias(f"_{name}"))
@@ -144,7 +146,9 @@ def verified(pairs: DataFrame, signatures: DataFrame, sets: DataFrame, percent:
     )
     both = F.size(F.array_intersect("_a", "_b"))
     linked = likely.join(side(sets, "a", "shingles"), "a").join(side(sets, "b", "shingles"), "b")
-    return linked.where(100 * both >= percent * (F.size("_a") + F.size("_b") - both)).select("a", "b").distinct()
+    linked = linked.select("a", "b", both.alias("_i"), (F.size("_a") + F.size("_b") - both).alias("_u"))
+    far = linked.select("a", "b", (1 - F.col("_i") / F.col("_u")).alias("distance"), (100 * F.col("_i") >= percent * F.col("_u")).alias("linked"))
+    return far.groupBy("a", "b").agg(F.min("distance").alias("distance"), F.max("linked").alias("linked"))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
@@ -210,7 +214,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows
     shared = placed.groupBy("bucket").agg(F.count("*").alias("_c")).where("_c > 1").select("bucket")
     crowded = written(placed.join(shared, "bucket", "left_semi"), "crowded")
     candidates = crowded.select(F.col("rep").alias("doc_id")).distinct()
-    sets = written(full_sets(docs.join(candidates, "doc_id", "left_semi")).dropDuplicates(["doc_id", "shingles"]), "sets")
+    # By sort and merge at every size: candidates grow with the corpus.
+    sets = written(full_sets(docs.join(candidates.hint("merge"), "doc_id", "left_semi")).dropDuplicates(["doc_id", "shingles"]), "sets")
 
     # Shingles that only one candidate has.
     lone = (
@@ -238,25 +243,32 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows
         .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
         .distinct()
     )
-    links = written(verified(first, nodes, sets, percent), "links-hub")
+    near = written(compared(first, nodes, sets, percent), "near-hub")
+    links = near.where("linked").select("a", "b")
     found = components(links)
 
     # Classes that their buckets' hubs did not connect.
     spread = alive.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    away = near.select(F.col("a").alias("rep"), F.col("b").alias("hub"), "distance").union(near.select("b", "a", "distance"))
+    spread = spread.join(hubs.select("bucket", F.col("rep").alias("hub")), "bucket").join(away, ["rep", "hub"], "left")
+    spread = spread.withColumn("distance", F.when(F.col("rep") == F.col("hub"), 0.0).otherwise(F.col("distance")))
     sizes = spread.groupBy("bucket", "component").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("k")).where("k > 1")
     spread = written(spread.join(mixed.select("bucket", F.col("m.component").alias("main")), "bucket"), "spread")
+    # Distances keep the triangle inequality: two classes are at least as far from each
+    # other as their distances from the hub differ.
+    reachable = F.coalesce(F.abs(F.col("x.distance") - F.col("y.distance")) <= 1 - percent / 100 + 1e-9, F.lit(True))
     second = (
         spread.where("component <> main")
         .alias("x")
         .join(
             spread.alias("y"),
-            F.expr("x.bucket = y.bucket AND x.component <> y.component AND (y.component = y.main OR x.rep < y.rep)") & possible("x", "y"),
+            F.expr("x.bucket = y.bucket AND x.component <> y.component AND (y.component = y.main OR x.rep < y.rep)") & possible("x", "y") & reachable,
         )
         .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
         .distinct()
     )
-    more = written(verified(second, nodes, sets, percent), "links-rest")
+    more = written(compared(second, nodes, sets, percent).where("linked").select("a", "b"), "links-rest")
     if more.limit(1).count():
         found = components(links.union(more))
 
