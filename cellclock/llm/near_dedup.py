@@ -9,13 +9,13 @@ classes' signatures make buckets. Pairs are not formed inside a bucket at large:
    is left out; that bound is exact.
 2. Every class of a bucket is compared with the bucket's hub, the class with the least
    such shingles, that is the most typical one. Links make components.
-3. Classes outside their bucket's main component are compared with the classes of other
-   components there, if their sizes, their unshared shingles and their distances from the
-   hub leave a link possible.
+3. Classes outside their bucket's main component are compared with those classes of
+   other components that share one of their rarest shingles, which every link needs.
 
 Together these steps settle every pair that shares a bucket: two classes are already
-connected, or can't be linked, or are compared. With 21 bands of 6 minima a pair at the
-threshold of 0.85 shares no bucket with a chance of 1 in 20,000.
+connected, or can't be linked, or are compared. A pair right at the threshold shares no
+bucket with a chance of 1 in 20,000: with 25 bands of 5 minima for 0.8, and with 21 bands
+of 6 for 0.85.
 """
 
 from __future__ import annotations
@@ -28,9 +28,10 @@ from pyspark.sql import types as T
 
 from cellclock.llm.common import string_bytes, written
 
-BANDS, ROWS = 21, 6
-# Four standard deviations of the estimate from 126 minima at the threshold.
-SLACK = 0.13
+PERCENT = 80
+BANDS, ROWS = 25, 5
+# Four standard deviations of the estimate from 125 minima at the threshold.
+SLACK = 0.145
 
 _SIGNED = T.StructType(
     [
@@ -118,9 +119,8 @@ def full_sets(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SETS)
 
 
-def compared(pairs: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose signatures agree well enough, with the Jaccard distance of their
-    full sets and whether they are linked."""
+def verified(pairs: DataFrame, signatures: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) whose signatures agree well enough and whose full sets are linked."""
 
     def side(frame, name, value):
         return frame.select(F.col("doc_id").alias(name), F.col(value).alias(f"_{name}"))
@@ -146,9 +146,7 @@ def compared(pairs: DataFrame, signatures: DataFrame, sets: DataFrame, percent:
     )
     both = F.size(F.array_intersect("_a", "_b"))
     linked = likely.join(side(sets, "a", "shingles"), "a").join(side(sets, "b", "shingles"), "b")
-    linked = linked.select("a", "b", both.alias("_i"), (F.size("_a") + F.size("_b") - both).alias("_u"))
-    far = linked.select("a", "b", (1 - F.col("_i") / F.col("_u")).alias("distance"), (100 * F.col("_i") >= percent * F.col("_u")).alias("linked"))
-    return far.groupBy("a", "b").agg(F.min("distance").alias("distance"), F.max("linked").alias("linked"))
+    return linked.where(100 * both >= percent * (F.size("_a") + F.size("_b") - both)).select("a", "b").distinct()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
@@ -192,7 +190,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     return pairs.union(pairs.select("component", "component").distinct())
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def rarest(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Each class's rarest shingles with their places (from 0) in the order of frequency.
+
+    Of two linked sets of n and m shingles, at least k = percent (n + m) / (100 + percent)
+    are shared, so in one order for all sets the first shared one stands among the first
+    n - k + 1 of one and the first m - k + 1 of the other; no more than the part returned
+    here. Shingles that all copies of a group have stand last.
+    """
+    members = classes.join(sets.withColumnRenamed("doc_id", "rep"), "rep")
+    rows = members.select("rep", F.explode("shingles").alias("shingle"))
+    common = rows.groupBy("shingle").agg(F.count("*").alias("df"))
+    ordered = rows.join(common, "shingle").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("o"))
+    head = F.slice("o", 1, F.floor(F.size("o") * (100 - percent) / 100).cast("int") + 1)
+    return classes.join(ordered, "rep").select(*classes.columns, F.posexplode(head["shingle"]).alias("place", "shingle"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Documents are linked when 100 * intersection >= ``percent`` * union of their sets of
@@ -232,8 +246,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows
     def possible(x, y):
         """Whether sizes and unshared shingles allow a link."""
         most = F.least(F.col(f"{x}.n") - F.col(f"{x}.lone"), F.col(f"{y}.n") - F.col(f"{y}.lone"))
-        least = F.greatest(F.col(f"{x}.n") + F.col(f"{y}.lone"), F.col(f"{y}.n") + F.col(f"{x}.lone"))
-        return 100 * most >= percent * least
+        return 100 * most >= percent * (F.col(f"{x}.n") + F.col(f"{y}.n") - most)
 
     hubs = alive.groupBy("bucket").agg(F.min(F.struct((F.col("lone") / F.col("n")).alias("r"), "rep", "n", "lone")).alias("h"))
     hubs = hubs.select("bucket", F.col("h.rep").alias("rep"), F.col("h.n").alias("n"), F.col("h.lone").alias("lone"))
@@ -243,32 +256,30 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows
         .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
         .distinct()
     )
-    near = written(compared(first, nodes, sets, percent), "near-hub")
-    links = near.where("linked").select("a", "b")
+    links = written(verified(first, nodes, sets, percent), "links-hub")
     found = components(links)
 
-    # Classes that their buckets' hubs did not connect.
+    # Classes that their buckets' hubs did not connect, and what they share buckets with.
     spread = alive.join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    away = near.select(F.col("a").alias("rep"), F.col("b").alias("hub"), "distance").union(near.select("b", "a", "distance"))
-    spread = spread.join(hubs.select("bucket", F.col("rep").alias("hub")), "bucket").join(away, ["rep", "hub"], "left")
-    spread = spread.withColumn("distance", F.when(F.col("rep") == F.col("hub"), 0.0).otherwise(F.col("distance")))
     sizes = spread.groupBy("bucket", "component").agg(F.count("*").alias("c"))
     mixed = sizes.groupBy("bucket").agg(F.max(F.struct("c", "component")).alias("m"), F.count("*").alias("k")).where("k > 1")
-    spread = written(spread.join(mixed.select("bucket", F.col("m.component").alias("main")), "bucket"), "spread")
-    # Distances keep the triangle inequality: two classes are at least as far from each
-    # other as their distances from the hub differ.
-    reachable = F.coalesce(F.abs(F.col("x.distance") - F.col("y.distance")) <= 1 - percent / 100 + 1e-9, F.lit(True))
+    spread = spread.join(mixed.select("bucket", F.col("m.component").alias("main")), "bucket")
+    rest = spread.groupBy("rep", "n", "component").agg(F.max(F.col("component") != F.col("main")).alias("apart"))
+    rare = written(rarest(rest, sets, percent), "rarest")
+    least = F.ceil(percent * (F.col("x.n") + F.col("y.n")) / (100 + percent))  # shared shingles of a link
     second = (
-        spread.where("component <> main")
+        rare.where("apart")
         .alias("x")
         .join(
-            spread.alias("y"),
-            F.expr("x.bucket = y.bucket AND x.component <> y.component AND (y.component = y.main OR x.rep < y.rep)") & possible("x", "y") & reachable,
+            rare.alias("y"),
+            F.expr("x.shingle = y.shingle AND x.component <> y.component AND (NOT y.apart OR x.rep < y.rep)")
+            & (F.col("x.place") <= F.col("x.n") - least)
+            & (F.col("y.place") <= F.col("y.n") - least),
         )
         .select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
         .distinct()
     )
-    more = written(compared(second, nodes, sets, percent).where("linked").select("a", "b"), "links-rest")
+    more = written(verified(second, nodes, sets, percent), "links-rest")
     if more.limit(1).count():
         found = components(links.union(more))
 
@@ -283,11 +294,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def drop_near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Keep one row of each group of near-duplicates: that with the smallest doc_id.
 
     Of rows that share a doc_id one is kept, and all rows with a null doc_id.
     """
-    kept = near_duplicates(docs, percent).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    kept = near_duplicates(docs, percent, bands, rows).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
     named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(docs.columns).union(docs.where("doc_id IS NULL"))
