@@ -25,6 +25,19 @@ BAND_ALIASES = {
     "L2B": "B14B",
     "COB": "B16B",
     "albedo_03": "VSB",
+    "albedo_04": "B04B",
+    "albedo_05": "B05B",
+    "albedo_06": "B06B",
+    "tbb_07": "I4B",
+    "tbb_08": "WVB",
+    "tbb_09": "B09B",
+    "tbb_10": "B10B",
+    "tbb_11": "B11B",
+    "tbb_12": "B12B",
+    "tbb_13": "IRB",
+    "tbb_14": "B14B",
+    "tbb_15": "I2B",
+    "tbb_16": "B16B",
 }
 
 # Bands whose pairwise differences are candidate features.
@@ -54,6 +67,12 @@ def lag_columns(
     return list(dict.fromkeys(names))
 
 
+def archive_name(band: str) -> str:
+    """The name that archive files give a band, or the band itself."""
+    found = [old for old, new in BAND_ALIASES.items() if new == band and "_" in old]
+    return found[0] if found else band
+
+
 def canonical_name(name: str, minutes_per_step: int = 10) -> str:
     """``B(10)`` and ``B_10p`` (minutes back) and old band codes -> ``B_t-1``."""
     found = re.fullmatch(r"(.+?)(?:\((\d+)\)|_(\d+)p|_t([+-]\d+))", name)

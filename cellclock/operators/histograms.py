@@ -56,7 +56,7 @@ def pooled_windows(
 def _with_bands(df: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
     """Attach per-band numbers. Bands are column groups of a wide table, so the table
     has at most as many rows as that has columns and is always broadcast."""
-    return df.join(F.broadcast(table.select("band", *columns)), "band")
+    return lookup(df, table.select("band", *columns), ["band"], "inner")
 
 
 def _weight(df: DataFrame) -> Column:
@@ -74,7 +74,7 @@ def band_bins(bins: Mapping[str, int], default: int) -> Column:
 def _count_bins(df: DataFrame, group: list[str], bin_index: Column, share: DataFrame) -> DataFrame:
     counts = df.groupBy(*group, bin_index.cast("int").alias("bin")).agg(F.sum(_weight(df)).alias("count"))
     # One total per group of a histogram: bands times labels.
-    out = counts.join(share, group)
+    out = lookup(counts, share, group, "inner")
     return out.withColumn("pct", F.col("count") * 100.0 / F.col("_total")).drop("_total")
 
 
@@ -189,7 +189,7 @@ def rebin_histogram(
         hi = _by_kind(kinds, lambda kind: F.lit(display_range(kind)[1]))
     where = F.greatest(F.lit(0), F.least(n - 1, F.floor((x - lo) / (hi - lo) * n)))
     counts = base.groupBy(*group, where.cast("int").alias("bin")).agg(F.sum("count").alias("count"))
-    out = counts.join(totals, group)
+    out = lookup(counts, totals, group, "inner")
     return out.withColumn("pct", F.col("count") * 100.0 / F.col("_total")).drop("_total")
 
 
@@ -222,7 +222,7 @@ def trimmed_density(df: DataFrame, value: str, bins: int = 100, group_by: Sequen
     where = F.least(F.lit(bins - 1), F.floor((F.col("_v") - F.col("lo")) / F.nullif(width, F.lit(0.0)))).cast("int")
     counts = inside.groupBy(*group, "lo", "hi", where.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     totals = counts.groupBy(*group).agg(F.sum("count").alias("_total"))
-    out = counts.join(totals, group)
+    out = lookup(counts, totals, group, "inner")
     out = out.withColumn("density", F.col("count") / (F.col("_total") * F.nullif(width, F.lit(0.0)))).drop("_total")
     return out.drop("_all") if not group_by else out
 
@@ -255,7 +255,7 @@ def kde_bounds(
 ) -> DataFrame:
     """Where a Gaussian KDE (Scott bandwidth, std * n^(-1/5)) on ``points`` places
     between the 0.5 and 99.5 percentiles first and last exceeds ``threshold`` of
-    its peak; NULL when that is the end of the range.
+    its peak; NULL when that is the end of the range, or when a group has no spread.
 
     The data is first reduced to ``bins`` counts over its full range, at bin means,
     so the kernel sums take at most bins x points steps per group, whatever the
@@ -269,19 +269,20 @@ def kde_bounds(
     moments = base.groupBy(*group).agg(
         F.count(v).alias("_n"), F.stddev_samp(v).alias("_s"), F.min(v).alias("_min"), F.max(v).alias("_max")
     )
-    bounds = quantiles(base, "_v", {"lo": 0.005, "hi": 0.995}, group).join(moments, group)
-    bounds = bounds.where("_n > 10 AND _s > 0")
+    bounds = quantiles(base, "_v", {"lo": 0.005, "hi": 0.995}, group)
+    bounds = lookup(bounds, moments, group, "inner")
     width = (F.col("_max") - F.col("_min")) / bins
     where = F.least(F.lit(bins - 1), F.floor((v - F.col("_min")) / width)).cast("int")
-    binned = lookup(base, moments.where("_n > 10 AND _s > 0"), group, "inner").groupBy(*group, where.alias("_bin")).agg(
+    binned = lookup(base, moments.where("_s > 0"), group, "inner").groupBy(*group, where.alias("_bin")).agg(
         F.count(F.lit(1)).alias("_c"), F.avg(v).alias("_x")
     )
     # A group's bins are one short array (at most ``bins`` entries).
     packed = binned.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_x", "_c"))).alias("_bins"))
     h = F.col("_s") * F.pow(F.col("_n"), F.lit(-0.2))
     ends = _density_ends(points, threshold)
-    out = bounds.join(packed, group).select(
+    density = lookup(bounds.where("hi > lo"), packed, group, "inner").select(
         *group, ends(F.col("_bins._x"), F.col("_bins._c"), "lo", "hi", h).alias("_ends")
     )
-    out = out.select(*group, "_ends.x_left", "_ends.x_right")
+    # A group of one row or of equal values has no density, hence no bounds.
+    out = lookup(bounds.select(*group), density.select(*group, "_ends.x_left", "_ends.x_right"), group)
     return out.drop("_all") if not group_by else out

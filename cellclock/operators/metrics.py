@@ -65,7 +65,7 @@ def _score_counts(df: DataFrame, score: str, y: str, group: list[str], weight: s
     """Positives and negatives per distinct score: ties and hot scores collapse
     before anything is sorted."""
     w = F.col(weight) if weight else F.lit(1)
-    clean = df.where(_finite(F.col(score)))
+    clean = df.where(_finite(F.col(score)) & F.col(y).isNotNull())
     return clean.groupBy(*group, F.col(score).cast("double").alias("_s")).agg(
         F.sum(F.when(F.col(y) == 1, w).otherwise(0)).alias("_p"),
         F.sum(F.when(F.col(y) == 1, 0).otherwise(w)).alias("_n"),
@@ -189,7 +189,7 @@ def threshold_sweep(
     base = df if group_by else df.withColumn("_all", F.lit(0))
     cuts = sorted(thresholds)
     passed = sum((F.when(F.col(score) >= t, 1).otherwise(0) for t in cuts), F.lit(0))
-    counts = base.where(_finite(F.col(score))).groupBy(*group, passed.alias("_k")).agg(
+    counts = base.where(_finite(F.col(score)) & F.col(y).isNotNull()).groupBy(*group, passed.alias("_k")).agg(
         F.sum(F.when(F.col(y) == 1, 1).otherwise(0)).alias("_p"),
         F.sum(F.when(F.col(y) == 1, 0).otherwise(1)).alias("_n"),
     )

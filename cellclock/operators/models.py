@@ -17,14 +17,15 @@ from cellclock.operators.sampling import row_hash, stratified_folds, union_rows
 
 
 def with_class_weight(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
-    """n / (2 * n_class): both classes weigh the same. Counts are a scalar row."""
+    """n / (2 * n_class): both classes weigh the same, a NULL label nothing. Counts are
+    a scalar row."""
     counts = df.agg(
         F.struct(
-            F.count(F.lit(1)).alias("n"), F.sum(F.when(q(label) == 1, 1).otherwise(0)).alias("p")
+            F.count(q(label)).alias("n"), F.sum(F.when(q(label) == 1, 1).otherwise(0)).alias("p")
         )
     ).scalar()
     mine = F.when(q(label) == 1, counts.getField("p")).otherwise(counts.getField("n") - counts.getField("p"))
-    return df.withColumn(name, counts.getField("n") / (2 * mine))
+    return df.withColumn(name, F.when(q(label).isNull(), 0.0).otherwise(F.try_divide(counts.getField("n").cast("double"), 2 * mine)))
 
 
 def forest(label: str = "y", features: str = "features", trees: int = 120, depth: int = 10, seed: int = 42):
@@ -60,16 +61,19 @@ def cross_val_scores(
     fold: str = "fold",
     folds: int = 5,
 ) -> list[float]:
-    """Mean average precision over the folds, for several column sets.
+    """Mean average precision over the folds, for several column sets. ``estimator`` may
+    be a function of the number of training rows.
 
     Every fit is a Spark job. The held-out rows of all fits are scored in one job,
     grouped by option and fold, of which one number per option comes back.
     """
     held = []
+    sizes = dict(df.groupBy(fold).count().collect()) if callable(estimator) else {}
     for o, columns in enumerate(options):
         data = vectors(df, columns)
         for i in range(folds):
-            model = estimator.fit(data.where(F.col(fold) != i))
+            fresh = estimator(sum(sizes.values()) - sizes.get(i, 0)) if callable(estimator) else estimator
+            model = fresh.fit(data.where(F.col(fold) != i))
             scored = positive_probability(model.transform(data.where(F.col(fold) == i)))
             held.append(scored.select(F.lit(o).alias("option"), F.lit(i).alias("fold"), "p", q(label).alias("y")))
     together = union_rows(*held)
@@ -198,16 +202,19 @@ def random_search(
     seed: int = 42,
     threshold: float = 0.5,
 ) -> DataFrame:
-    """Seeded random choices from ``space``; ``make(**choice)`` builds the estimator.
+    """Seeded random choices from ``space``; ``make(n, **choice)`` builds the
+    estimator for ``n`` training rows.
     One history row per trial with its F1 on the held-out fifth."""
     import random
 
     rng = random.Random(seed)
     data = vectors(with_class_weight(df, label), columns).withColumn("_h", F.pmod(row_hash([key], seed), F.lit(5))).cache()
     rows = []
+    train = data.where("_h > 0")
+    n = train.count()
     for step in range(1, trials + 1):
         choice = {name: rng.choice(list(values)) for name, values in space.items()}
-        model = make(**choice).fit(data.where("_h > 0"))
+        model = make(n, **choice).fit(train)
         held = positive_probability(model.transform(data.where("_h = 0"))).withColumn("horizon", F.lit(0))
         f1 = prf_zero_division(confusion_by_horizon(held, "p", threshold, label)).first()["f1_1"]
         rows.append((step, {k: str(v) for k, v in choice.items()}, float(f1)))

@@ -238,7 +238,8 @@ def nearest_neighbours(
     cells = reps.select("row", "col").distinct()
     bounds = cells.agg(F.min("row"), F.max("row"), F.min("col"), F.max("col")).first()
     if bounds[0] is None:
-        return points.withColumn("neighbours", F.lit(None))
+        entry = F.struct(F.lit(0).cast("long").alias("d2"), q(key).alias("key"), *[q(c).alias(c) for c in columns])
+        return points.withColumn("neighbours", F.when(F.lit(False), F.array(entry)))
     limit = max(bounds[1] - bounds[0], bounds[3] - bounds[2], 1)
     candidates = reps.select(
         F.col("row").alias("_r"), F.col("col").alias("_c"), F.struct(q(key).alias("key"), *[q(c).alias(c) for c in columns]).alias("_p")
@@ -265,4 +266,4 @@ def nearest_neighbours(
     for more in done[1:]:
         lists = lists.unionByName(more)
     others = F.slice(F.filter("_list", lambda n: n["key"] != q(key)), 1, k)
-    return points.join(lists, ["row", "col"]).withColumn("neighbours", others).drop("_list")
+    return points.join(lists, ["row", "col"], "left").withColumn("neighbours", others).drop("_list")

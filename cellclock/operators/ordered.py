@@ -50,7 +50,7 @@ def running_total(
         .orderBy(*_sorted(order_by, descending))
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    out = placed.join(offsets, [*group, "_range"])
+    out = lookup(placed, offsets, [*group, "_range"], "inner")
     return out.withColumns(
         {n: F.sum(q(v)).over(local) + q(f"_before_{n}") for n, v in values.items()}
     ).drop("_range", *[f"_before_{n}" for n in values])
@@ -78,7 +78,7 @@ def number_rows(
         *group, "_range", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_add")
     )
     return (
-        placed.join(offsets, [*group, "_range"])
+        lookup(placed, offsets, [*group, "_range"], "inner")
         .withColumn(name, F.col("_pos") + F.col("_add"))
         .drop("_mid", "_range", "_pos", "_add")
     )

@@ -53,7 +53,7 @@ def describe(df: DataFrame, value: str = "value", group_by: Sequence[str] = ())
     if not group_by:
         clean = clean.withColumn("_all", F.lit(0))
     stats = clean.groupBy(*group).agg(*_moments(q(value)))
-    out = stats.join(quantiles(clean, value, QUARTILES, group), group)
+    out = lookup(stats, quantiles(clean, value, QUARTILES, group), group, "inner")
     return out.select(*group_by, "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
@@ -107,7 +107,7 @@ def band_stats(
     ]
     if exact:
         stats = clean.groupBy(*group).agg(*aggs)
-        out = stats.join(quantiles(clean, "value", BAND_QUANTILES, group, weight), group)
+        out = lookup(stats, quantiles(clean, "value", BAND_QUANTILES, group, weight), group, "inner")
     else:
         if weight:
             raise ValueError("the quantile sketch takes no weights; use exact=True")
@@ -157,7 +157,7 @@ def range_violations(pooled: DataFrame, scales: DataFrame) -> DataFrame:
     """Actual against stored bounds per band, and how much is missing or outside."""
     v = F.col("value")
     bounds = scales.select("band", F.col("min").alias("info_min"), F.col("max").alias("info_max"))
-    joined = pooled.join(F.broadcast(bounds), "band")  # one row per band, i.e. per column group
+    joined = lookup(pooled, bounds, ["band"], "inner")
     outside = (v < F.col("info_min")) | (v > F.col("info_max"))
     return joined.groupBy("band", "info_min", "info_max").agg(
         F.min(F.when(valid(v), v)).alias("actual_min"),

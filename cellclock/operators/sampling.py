@@ -52,7 +52,8 @@ def sample_by_quota(
     hashed = hashed.withColumn("_b", F.shiftright("_h", _BUCKET_BITS).cast("int"))
     counts = hashed.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
     upto = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0))).join(quotas, group)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
+    counts = lookup(counts, quotas, group, "inner")
     # One row per group: the last bucket needed and what is still wanted from it.
     edge = (
         counts.where(F.col("_before") < F.col("quota"))
@@ -110,7 +111,7 @@ def ratio_merge(
     parts = parts.select(
         file, "_chunk", (F.col("_part") - 1).alias("part"), (F.col("_hi") - F.col("_need")).alias("_lo"), "_hi"
     )
-    taken = pos.join(parts.select(file, "_chunk", "part"), [file, "_chunk"]).drop("_chunk")
+    taken = lookup(pos, parts.select(file, "_chunk", "part"), [file, "_chunk"], "inner").drop("_chunk")
 
     neg = number_rows(negatives, [file, key], "_at")
     columns = negatives.columns

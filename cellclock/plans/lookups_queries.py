@@ -139,23 +139,26 @@ def haversine(spark, sf_dir):
     return s.select("event_id", F.round(haversine_km("lat", "lon", F.lit(21.0), F.lit(105.8)), 6).alias("km"))
 
 
-def _month(spark):
-    return lookups.calendar(spark, "2024-01-01", "2024-01-31")
+def _days(spark, scenes):
+    """All slots of the days from the first scene to the last."""
+    a, b = scenes.agg(F.date_format(F.min("ts"), "yyyy-MM-dd"), F.date_format(F.max("ts") + F.expr("INTERVAL 1 DAY"), "yyyy-MM-dd")).first()
+    return lookups.calendar(spark, a, b)
 
 
 @query(
     "availability_calendar",
     views="strikes px10",
-    oracle="""WITH slots AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30 23:50:00', INTERVAL 10 MINUTE)) AS ts),
+    oracle="""WITH slots AS (SELECT unnest(generate_series(date_trunc('day', a), date_trunc('day', b) + INTERVAL '23 hours 50 minutes', INTERVAL 10 MINUTE)) AS ts FROM (SELECT min(ts) AS a, max(ts) AS b FROM px10)),
       known AS (SELECT DISTINCT ts, band FROM px10),
-      names(band, other) AS (VALUES ('click', 'view'), ('signup', NULL))
+      names(band, other) AS (VALUES ('click', 'view'), ('error', NULL), ('purchase', NULL), ('signup', NULL), ('view', NULL))
       SELECT s.ts, n.band, CASE WHEN a.band IS NOT NULL THEN 'ok' WHEN b.band IS NOT NULL THEN 'alias' ELSE 'absent' END AS status
       FROM slots s CROSS JOIN names n
       LEFT JOIN known a ON a.ts = s.ts AND a.band = n.band
       LEFT JOIN known b ON b.ts = s.ts AND b.band = n.other""",
 )
 def availability_calendar(spark, sf_dir):
-    return lookups.availability_calendar(_month(spark), ["click", "signup"], fx.px10(spark, sf_dir), {"click": "view"})
+    scenes = fx.px10(spark, sf_dir)
+    return lookups.availability_calendar(_days(spark, scenes), ["click", "error", "purchase", "signup", "view"], scenes, {"click": "view"})
 
 
 @query(

@@ -132,19 +132,19 @@ def class_weight(spark, sf_dir):
 
 
 def _logistic(n):
-    return models.scaled_logistic("y", c=1.0, n=n, iterations=20)
+    return models.scaled_logistic("y", c=1.0, n=n, iterations=100)
 
 
 @query("forward_selection")
 def forward_selection(spark, sf_dir):
     f = fx.features(spark, sf_dir)
-    return models.forward_selection(f, models.band_groups(["A", "B"]), "y", _logistic(500), "id", folds=3)
+    return models.forward_selection(f, models.band_groups(["A", "B"]), "y", _logistic, "id")
 
 
 @query("backward_selection")
 def backward_selection(spark, sf_dir):
     f = fx.features(spark, sf_dir)
-    return models.backward_selection(f, models.band_groups(["A", "B"]), "y", _logistic(500), "id", folds=3)
+    return models.backward_selection(f, models.band_groups(["A", "B"]), "y", _logistic, "id")
 
 
 @query("rfe_bands")
@@ -166,7 +166,7 @@ def baseline_models(spark, sf_dir):
     data = models.vectors(models.with_class_weight(fx.features(spark, sf_dir), "y"), COLS)
     train, test = train_val_split(data, ["id"])
     out = None
-    for name, est in (("forest", models.forest(trees=20, depth=5)), ("logistic", _logistic(500))):
+    for name, est in (("forest", models.forest()), ("logistic", _logistic(train.count()))):
         scored = models.positive_probability(est.fit(train).transform(test))
         row = average_precision(scored, "p").withColumn("model", F.lit(name))
         out = row if out is None else out.unionByName(row)
@@ -180,7 +180,7 @@ SLICE = [*lag_columns(["V", "K"], HISTORY)]
 def gbt_classifier(spark, sf_dir):
     s = fx.samples(spark, sf_dir)
     train = reshape.sliding_training_rows(s, ["V", "K"], ["sid"])
-    model = models.fit_gbt(train, SLICE, "output_0", ["sid"], iterations=5, depth=3)
+    model = models.fit_gbt(train, SLICE, "output_0", ["sid"])
     return models.score_horizons(model, reshape.horizon_slices(s, ["V", "K"], ["sid"]), SLICE, threshold=0.4)
 
 
@@ -188,7 +188,7 @@ def gbt_classifier(spark, sf_dir):
 def score_horizons(spark, sf_dir):
     s = fx.samples(spark, sf_dir)
     train = models.vectors(reshape.sliding_training_rows(s, ["V", "K"], ["sid"]), SLICE)
-    model = models.scaled_logistic("output_0", iterations=20).fit(train)
+    model = models.scaled_logistic("output_0", n=train.count()).fit(train)
     return models.score_horizons(model, reshape.horizon_slices(s, ["V", "K"], ["sid"]), SLICE, threshold=0.35)
 
 
@@ -196,5 +196,5 @@ def score_horizons(spark, sf_dir):
 def random_search(spark, sf_dir):
     f = fx.features(spark, sf_dir)
     space = {"c": [0.1, 1.0, 10.0], "iterations": [10, 20]}
-    trials = models.random_search(f, COLS, "y", "id", space, lambda c, iterations: models.scaled_logistic("y", c=c, n=500, iterations=iterations), trials=3)
+    trials = models.random_search(f, COLS, "y", "id", space, lambda n, c, iterations: models.scaled_logistic("y", c=c, n=n, iterations=iterations))
     return best_step(trials, "step", "score")

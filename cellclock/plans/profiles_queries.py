@@ -320,8 +320,10 @@ def _ranking(spark, sf_dir):
     """Lags of two bands by correlation with the label; a dozen rows."""
     from pyspark.sql import Window
 
+    from cellclock.functions.special import pearson
+
     cols = lag_columns(["V", "K"], HISTORY)
-    row = samples(spark, sf_dir).agg(*[F.abs(F.corr(q(c), q("output_0"))).alias(f"s{i}") for i, c in enumerate(cols)])
+    row = samples(spark, sf_dir).agg(*[F.abs(pearson(q(c), q("output_0"))).alias(f"s{i}") for i, c in enumerate(cols)])
     long = row.select(
         F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.round(f"s{i}", 9).alias("s")) for i, c in enumerate(cols)])).alias("c")
     ).select("c.*")

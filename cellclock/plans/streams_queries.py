@@ -31,15 +31,16 @@ def incremental_clean(spark, sf_dir):
 
 
 @query("scene_gap_monitor", views="px10",
-       oracle="""WITH slots AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30 23:50:00', INTERVAL 10 MINUTE)) AS ts), b(band) AS (VALUES ('click'), ('error'))
+       oracle="""WITH slots AS (SELECT unnest(generate_series(date_trunc('day', a), date_trunc('day', b) + INTERVAL '23 hours 50 minutes', INTERVAL 10 MINUTE)) AS ts FROM (SELECT min(ts) AS a, max(ts) AS b FROM px10)), b AS (SELECT DISTINCT band FROM px10)
          SELECT s.ts AS ts, b.band AS band FROM slots s CROSS JOIN b WHERE NOT EXISTS (SELECT 1 FROM px10 p WHERE p.ts = s.ts AND p.band = b.band)""")
 def scene_gap_monitor(spark, sf_dir):
     source, counts, state = (scratch_path(spark, n) for n in ("index", "counts", "state"))
     index = fx.px10(spark, sf_dir).select("ts", "band").distinct()
     index.write.parquet(source)
     stream = spark.readStream.schema(index.schema).parquet(source)
-    slots = calendar(spark, "2024-01-01", "2024-01-31")
-    return incremental.scene_gap_monitor(stream, slots, ["click", "error"], counts, state, "40 days")
+    a, b = index.agg(F.date_format(F.min("ts"), "yyyy-MM-dd"), F.date_format(F.max("ts") + F.expr("INTERVAL 1 DAY"), "yyyy-MM-dd")).first()
+    bands = sorted(r[0] for r in index.select("band").distinct().collect())  # one for each kind of event
+    return incremental.scene_gap_monitor(stream, calendar(spark, a, b), bands, counts, state, "40 days")
 
 
 @query("scene_counts", oracle="""SELECT time_bucket(INTERVAL 10 MINUTE, ts) AS ts, event_type AS band, count(*) AS scenes FROM events GROUP BY ALL""")

@@ -27,6 +27,7 @@ FILE_PATTERNS = (
     r"([A-Za-z0-9]+)_(\d{4})(\d{2})(\d{2})\.Z(\d{2})(\d{2})\.(?:tif|zip|nc)$",
     r"([A-Za-z0-9]+)_(\d{4})(\d{2})(\d{2})_Z(\d{2})(\d{2})\.tif$",
     r"([A-Za-z0-9]+)_(\d{4})(\d{2})(\d{2})\.tif$",
+    r"NC_([A-Z0-9]+)_(\d{4})(\d{2})(\d{2})_(\d{2})(\d{2})_[^/]*\.nc$",
 )
 
 

@@ -296,3 +296,48 @@ def test_correlation_with_a_constant_column_is_null(spark):
     df = spark.createDataFrame([(1.0, 2.0, 5.0), (2.0, 4.0, 5.0), (3.0, 6.5, 5.0)], "a double, b double, c double")
     got = {(r[0], r[1]): r[2] for r in profile.correlation_matrix(df, ["a", "b", "c"]).collect()}
     assert got[("a", "c")] is None and got[("a", "b")] == pytest.approx(np.corrcoef([1, 2, 3], [2, 4, 6.5])[0, 1])
+
+
+def test_null_groups_are_groups(spark):
+    from cellclock.operators import ordered, profile, sampling
+
+    rows = [(i, "a" if i % 2 else None, float(i)) for i in range(8)]
+    df = spark.createDataFrame(rows, "k long, g string, value double")
+    numbered = ordered.number_rows(df, ["k"], partition_by=["g"]).collect()
+    assert sorted((str(r.g), r.rn) for r in numbered) == sorted((g, n) for g in ("a", "None") for n in (1, 2, 3, 4))
+    assert {r.g: r["count"] for r in profile.describe(df, "value", ["g"]).collect()} == {"a": 4, None: 4}
+    stats = profile.band_stats(df.withColumnRenamed("g", "band")).collect()
+    assert {r.band: r["max"] for r in stats} == {"a": 7.0, None: 6.0}
+    quotas = spark.createDataFrame([("a", 1), (None, 3)], "g string, quota int")
+    assert sorted(str(r.g) for r in sampling.sample_by_quota(df, quotas, ["g"], ["k"]).collect()) == ["None"] * 3 + ["a"]
+    folded = sampling.stratified_folds(df, ["k"], "g", 2).count()
+    assert folded == 8
+
+
+def test_null_labels_are_left_out(spark):
+    from cellclock.operators import metrics, models
+
+    df = spark.createDataFrame([(0.9, 1), (0.8, None), (0.7, 0), (0.2, None), (0.1, 0)], "p double, y int")
+    swept = metrics.threshold_sweep(df, "p", [0.5]).first()
+    assert (swept.tp, swept.fp, swept.fn, swept.tn) == (1, 1, 0, 1)
+    assert metrics.roc_auc(df, "p").first().roc_auc == 1.0
+    weights = [r.weight for r in models.with_class_weight(df, "y").orderBy("p").collect()]
+    assert weights == [0.75, 0.0, 0.75, 0.0, 1.5]
+
+
+def test_kde_keeps_small_and_constant_groups(spark):
+    from cellclock.operators.histograms import kde_bounds
+
+    rows = [("big", float(i % 23)) for i in range(200)] + [("small", float(i)) for i in range(5)] + [("flat", 3.0)] * 4 + [("one", 1.0)]
+    got = {r.g: (r.x_left, r.x_right) for r in kde_bounds(spark.createDataFrame(rows, "g string, v double"), "v", ["g"]).collect()}
+    assert set(got) == {"big", "small", "flat", "one"}
+    assert got["flat"] == got["one"] == (None, None)
+
+
+def test_archive_names_and_neighbours_of_nothing(spark):
+    from cellclock.names import archive_name, canonical_name
+    from cellclock.operators.nearest import nearest_neighbours
+
+    assert canonical_name("tbb_13") == "IRB" and archive_name("B04B") == "albedo_04" and archive_name("X") == "X"
+    none = spark.createDataFrame([], "id long, row int, col int, v double")
+    assert nearest_neighbours(none, 2, ["v"]).schema["neighbours"].dataType.typeName() == "array"
