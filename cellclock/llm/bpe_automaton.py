@@ -270,10 +270,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
     ids; rows, repeated ones too, are kept as they are; columns named like the new ones
     are replaced.
     """
-    from pyspark.sql import SparkSession
-
     docs = docs.drop(ids, "n_tokens")
-    definition = SparkSession.getActiveSession().sparkContext.broadcast(read_definition(path))
+    definition = docs.sparkSession.sparkContext.broadcast(read_definition(path))
     schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.BinaryType()), T.StructField("n_tokens", T.LongType())])
     at = docs.columns.index(text)
 
@@ -293,10 +291,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids") ->
 
 def decode(tokens: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """Add ``decoded``: the arc labels of ``ids`` (null ids give the empty text)."""
-    from pyspark.sql import SparkSession
-
     tokens = tokens.drop(decoded)
-    definition = SparkSession.getActiveSession().sparkContext.broadcast(read_definition(path))
+    definition = tokens.sparkSession.sparkContext.broadcast(read_definition(path))
     schema = T.StructType([*tokens.schema.fields, T.StructField(decoded, T.StringType())])
     at = tokens.columns.index(ids)
 
