@@ -113,29 +113,27 @@ def read_time_list(spark, sf_dir):
     return readers.read_time_list(spark, path)
 
 
-@query("file_index", views="px10", oracle="SELECT DISTINCT band, CAST(date_trunc('day', ts) AS TIMESTAMP) AS ts FROM px10 WHERE band IN ('click', 'error')")
+@query("file_index", views="px10", oracle="SELECT DISTINCT band, CAST(date_trunc('day', ts) AS TIMESTAMP) AS ts FROM px10")
 def file_index(spark, sf_dir):
     """Scene folders named like scene files; one file per band and day."""
     path = scratch_path(spark, "scenes")
-    px = fx.px10(spark, sf_dir).where(F.col("band").isin("click", "error"))
+    px = fx.px10(spark, sf_dir)
     name = F.concat(F.col("band"), F.lit("_"), F.date_format("ts", "yyyyMMdd"), F.lit(".Z0000.tif"))
     days = px.select(name.alias("scene"), F.date_format("ts", "yyyyMMdd").alias("day")).distinct()
-    days.repartition(1, "scene").write.partitionBy("scene").text(path)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
-    folder = F.regexp_extract("path", r"scene=([^/]+)/", 1)
-    band, ts = readers.parse_file_name(folder)
-    return files.select(band.alias("band"), ts.alias("ts"))
+    days.repartition("scene").write.partitionBy("scene").text(path)
+    return readers.file_index(spark, path, folders=True).select("band", "ts")
 
 
 @query("small_file_filter",
-       oracle="SELECT event_type, count(*) * 2 >= 1000 AS kept FROM events WHERE event_id % 40 = 0 OR event_type = 'click' GROUP BY 1 HAVING count(*) * 2 >= 1000")
+       oracle="SELECT CAST(bit_count((event_id & -event_id) - 1) AS INT) AS file, true AS kept FROM events GROUP BY 1 HAVING count(*) * 2 >= 1000")
 def small_file_filter_query(spark, sf_dir):
-    """One file per event type with two bytes per event."""
+    """Files that halve in size, from the zeros at the end of the event's number, with
+    two bytes per event."""
     path = scratch_path(spark, "sizes")
-    e = fx.table(spark, sf_dir, "events").where("event_id % 40 = 0 OR event_type = 'click'")
-    e.select("event_type", F.lit("x").alias("value")).repartition("event_type").write.partitionBy("event_type").text(path)
+    e = fx.table(spark, sf_dir, "events").select(F.expr("bit_count((event_id & -event_id) - 1)").alias("file"), F.lit("x").alias("value"))
+    e.repartition("file").write.partitionBy("file").text(path)
     kept = small_file_filter(readers.file_index(spark, path))
-    return kept.select(F.regexp_extract("path", r"event_type=(\w+)/", 1).alias("event_type"), F.lit(True).alias("kept"))
+    return kept.select(F.regexp_extract("path", r"file=(\w+)/", 1).cast("int").alias("file"), F.lit(True).alias("kept"))
 
 
 @query("pixels_table", views="px10",

@@ -110,11 +110,12 @@ def parse_file_name(path) -> tuple:
     return band, ts
 
 
-def file_index(spark: SparkSession, path: str) -> DataFrame:
-    """path, length, modificationTime, band and ts of every file below ``path``. The
-    content column is not selected, so file contents are not read."""
+def file_index(spark: SparkSession, path: str, folders: bool = False) -> DataFrame:
+    """path, length, modificationTime, band and ts of every file below ``path``; with
+    ``folders`` the scene's name is that of the file's folder. The content column is not
+    selected, so file contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    band, ts = parse_file_name(F.col("path"))
+    band, ts = parse_file_name(F.regexp_extract("path", r"([^/=]+)/[^/]*$", 1) if folders else F.col("path"))
     return files.select("path", "length", "modificationTime", band.alias("band"), ts.alias("ts"))
 
 
