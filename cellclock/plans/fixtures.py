@@ -105,17 +105,19 @@ PX_HOUR = """px_hour AS (
 
 
 def px_day(spark, sf_dir) -> DataFrame:
-    """Rasters dated the 3rd and the 19th; earlier days test the clip."""
-    s = strikes(spark, sf_dir).where(F.dayofmonth("ts").isin(3, 19))
-    return s.groupBy(F.to_date("ts").alias("date"), F.col("crow").alias("row"), F.col("ccol").alias("col")).agg(
+    """Rasters dated the 3rd and the 19th, each from all events of its part of the month;
+    events before the 3rd test the clip."""
+    s = strikes(spark, sf_dir)
+    dated = F.date_add(F.trunc("ts", "month"), F.when(F.dayofmonth("ts") < 19, 2).otherwise(18))
+    return s.groupBy(dated.alias("date"), F.col("crow").alias("row"), F.col("ccol").alias("col")).agg(
         mean_of_cents("current").alias("value")
     )
 
 
 PX_DAY = """px_day AS (
-  SELECT CAST(ts AS DATE) AS date, crow AS "row", ccol AS col,
+  SELECT CAST(CAST(date_trunc('month', ts) AS DATE) + CASE WHEN day(ts) < 19 THEN 2 ELSE 18 END AS DATE) AS date, crow AS "row", ccol AS col,
     CAST(sum(CAST(round(current * 100) AS BIGINT)) AS BIGINT) / (count(current) * 100) AS value
-  FROM strikes WHERE day(ts) IN (3, 19) GROUP BY ALL)"""
+  FROM strikes GROUP BY ALL)"""
 
 
 def static(spark, sf_dir, coarse: bool = True) -> DataFrame:
