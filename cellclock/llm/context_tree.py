@@ -9,13 +9,13 @@ against the product over its longer contexts, half and half before the data. Tra
 counts are frozen when texts are scored; where a longer context was never seen, the mix
 ends with the node before it.
 
-How it is spread. Documents are dealt into blocks. A block reports its distinct grams
+How it is spread. Documents are packed into blocks. A block reports its distinct grams
 (DEPTH + 1 bytes) and words with their training counts; sums of these are the corpus
 counts. Nodes from depth SPLIT on lie wholly with one run of the last SPLIT bytes, so
 partitions by that run build them alone; the few above are built from sums of what the
 partitions report. Every gram's probability is then joined back to the blocks that hold
-it. Nothing whole passes through one task: the model is a table as large as the corpus
-makes it.
+it; only what most blocks hold, COMMON entries at most, is broadcast instead. Nothing
+whole passes through one task: the model is a table as large as the corpus makes it.
 """
 
 from __future__ import annotations
@@ -30,11 +30,20 @@ from cellclock.llm.common import crc_bucket, partitions, string_bytes, written
 
 DEPTH = 5  # bytes of context
 SPLIT = 3  # bytes of context that a partition has for itself
-BLOCK_DOCS = 2500
+BLOCK_DOCS = 6000
+BLOCK_BYTES = 24 << 20  # a block ends at either bound
+COMMON = 1 << 18  # entries broadcast at most
 CHUNK = 1 << 20  # bytes looked at together
 END = -1  # code of the end token; other words have negative codes below it, grams none
 
-_ITEMS = T.StructType([T.StructField("block", T.LongType()), T.StructField("code", T.LongType()), T.StructField("n", T.LongType())])
+_ITEMS = T.StructType(
+    [
+        T.StructField("block", T.LongType()),
+        T.StructField("code", T.LongType()),
+        T.StructField("n", T.LongType()),
+        T.StructField("pack", T.BinaryType()),
+    ]
+)
 _NODES = T.StructType(
     [
         T.StructField("run", T.LongType()),
@@ -76,16 +85,16 @@ def gram_codes(data: bytes, depth: int):
     return code
 
 
-def word_codes(text: bytes):
-    """Codes of the words of a canonical text and of its end."""
+def word_codes(group: list[bytes]):
+    """Codes of the words of canonical texts, each with its end, and their numbers."""
     import numpy as np
 
     from cellclock.llm.shingles import word_hashes
 
-    hashes, _ = word_hashes([text])
-    codes = np.append(hashes | np.uint64(1 << 63), np.uint64((1 << 64) - 1)).view(np.int64)
-    codes[:-1][codes[:-1] == END] -= 1
-    return codes
+    hashes, bounds = word_hashes(group)
+    codes = (hashes | np.uint64(1 << 63)).view(np.int64)
+    codes[codes == END] -= 1
+    return np.insert(codes, bounds[1:], END), np.diff(bounds) + 1
 
 
 def runs(documents: list[bytes]):
@@ -113,19 +122,17 @@ def _counted(parts):
     return codes[starts], np.add.reduceat(counts, starts) if len(starts) else counts
 
 
-def block_items(texts: list[bytes], train: list[bool], depth: int):
-    """Distinct grams and words of some documents with their counts in training texts."""
+def block_items(documents: list[bytes], train: list[bool], depth: int):
+    """Distinct grams and words of canonical documents with their counts in training texts."""
     import numpy as np
 
-    documents = [canonical(t) for t in texts]
     grams, words = [], []
     for first, group in runs(documents):
-        for kind, out, codes in (
-            ("g", grams, [gram_codes(d, depth) for d in group]),
-            ("w", words, [word_codes(d) for d in group]),
-        ):
-            flags = np.repeat(np.array(train[first : first + len(group)], np.int64), [len(c) for c in codes])
-            both = np.concatenate(codes)
+        flagged = np.array(train[first : first + len(group)], np.int64)
+        word, sizes = word_codes(group)
+        gram = np.concatenate([gram_codes(d, depth) for d in group])
+        for kind, out, both, lengths in (("g", grams, gram, [len(d) for d in group]), ("w", words, word, sizes)):
+            flags = np.repeat(flagged, lengths)
             if kind == "g":  # grams leave room for the flag
                 both = np.sort(both << 1 | flags)
                 both, flags = both >> 1, both & 1
@@ -278,28 +285,64 @@ def short_contexts(nodes: DataFrame, split: int = SPLIT) -> DataFrame:
 # --- the operator ---------------------------------------------------------------------------
 
 
-def _blocks(docs: DataFrame, n_blocks: int, held_modulus: int) -> DataFrame:
-    """Documents with a block by a hash of their text and id, and the held-out flag."""
-    held = crc_bucket("doc_id", held_modulus) == 0
-    return docs.select(
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).alias("block"), F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), "text"
+def pack(ids, held: list[bool], documents: list[bytes]) -> bytes:
+    """Documents of a block as one compressed record."""
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(documents, pa.large_binary())], names=["doc_id", "held_out", "text"]
     )
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
 
 
-def count_items(blocks: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(block, code, n): distinct grams and words of each block with training counts."""
+def unpack(data: bytes):
+    import pyarrow as pa
 
-    def run(held):
-        import numpy as np
-        import pyarrow as pa
+    with pa.ipc.open_stream(data) as held:
+        return held.read_next_batch()
 
-        texts = string_bytes(held.column("text").combine_chunks() if held.num_rows else pa.array([], pa.string()))
-        train = [not h for h in held.column("held_out").to_pylist()]
-        codes, counts = block_items(texts, train, depth)
-        block = held.column("block")[0].as_py()
-        return pa.table({"block": pa.array(np.full(len(codes), block, np.int64)), "code": codes.astype(np.int64), "n": counts.astype(np.int64)})
 
-    return blocks.groupBy("block").applyInArrow(run, _ITEMS)
+def packed_blocks(docs: DataFrame, held_modulus: int, depth: int = DEPTH, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    """Blocks of documents as they are read: a row with the packed documents, and a row
+    (block, code, n) for each distinct gram and word with its count in training texts."""
+    held = crc_bucket("doc_id", held_modulus) == 0
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        part, seq = TaskContext.get().partitionId(), 0
+        ids, flags, documents, size = [], [], [], 0
+
+        def block():
+            number = part << 32 | seq
+            codes, counts = block_items(documents, [not f for f in flags], depth)
+            names = _ITEMS.names
+            none = pa.nulls(1, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array([number]), none, none, pa.array([pack(ids, flags, documents)], pa.binary())], names=names)
+            for at in range(0, len(codes), 1 << 16):
+                some = codes[at : at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(some), number)), pa.array(some), pa.array(counts[at : at + (1 << 16)]), pa.nulls(len(some), pa.binary())], names=names
+                )
+
+        for batch in batches:
+            for i, f, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), string_bytes(batch.column(2))):
+                ids.append(i)
+                flags.append(f)
+                documents.append(canonical(t))
+                size += len(documents[-1])
+                if len(ids) >= block_docs or size >= BLOCK_BYTES:
+                    yield from block()
+                    ids, flags, documents, size, seq = [], [], [], 0, seq + 1
+        if ids:
+            yield from block()
+
+    return docs.select(F.col("doc_id").cast("long"), held.alias("held_out"), "text").mapInArrow(run, _ITEMS)
 
 
 def _by_run(grams: DataFrame, extra: DataFrame | None, parts: int, split: int):
@@ -381,58 +424,82 @@ def scores(docs: DataFrame, held_modulus: int = 10, depth: int = DEPTH, block_do
     the split. Without training texts every byte costs eight bits. An empty table gives no
     rows. Repeated rows count and are scored as often as they occur.
     """
-    n = docs.count()
-    blocks = _blocks(docs, max(1, -(-n // block_docs)), held_modulus)
-    items = written(count_items(blocks, depth), "items")
-    totals = written(items.groupBy("code").agg(F.sum("n").alias("n")), "totals")
+    blocks = written(packed_blocks(docs, held_modulus, depth, block_docs), "blocks")
+    packs, items = blocks.where("pack IS NOT NULL").select("block", "pack"), blocks.where("pack IS NULL").select("block", "code", "n")
+    totals = written(items.groupBy("code").agg(F.sum("n").alias("n"), F.count("*").alias("blocks")), "totals")
     size = totals.where("code < 0 AND n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     train_tokens, vocabulary = int(size[0]), int(size[1])
 
     # A word's value is its training count, a gram's its log probability.
-    values = gram_scores(totals.where("code >= 0"), depth).union(totals.where("code < 0").select("code", F.col("n").cast("double")))
-    wanted = items.select("block", "code").join(values, "code")
+    words = totals.where("code < 0").select("code", F.col("n").cast("double").alias("value"), "blocks")
+    grams = totals.where("code >= 0")
+    values = written(gram_scores(grams, depth).join(grams.select("code", "blocks"), "code").union(words), "values")
+
+    # The number of blocks from which on an entry is broadcast, so that COMMON hold.
+    room, least = COMMON, None
+    for row in values.where("blocks > 1").groupBy("blocks").count().orderBy(F.desc("blocks")).toLocalIterator():
+        if row["count"] > room:
+            break
+        room, least = room - row["count"], row["blocks"]
+    common = values.where(F.col("blocks") >= least) if least else values.limit(0)
+    held = common.select("code", "value").toPandas().sort_values("code")
+    shared = docs.sparkSession.sparkContext.broadcast((held["code"].to_numpy("int64"), held["value"].to_numpy("float64")))
+    rare = values.where(F.col("blocks") < least) if least else values
+    wanted = items.select("block", "code").join(F.broadcast(common.select("code")), "code", "left_anti")
+    wanted = wanted.join(rare.select("code", F.col("value").cast("float")), "code").select(F.col("block").alias("owner"), "code", "value")
 
     def run(key, texts, table):
         import numpy as np
         import pyarrow as pa
 
-        codes = table.column("code").to_numpy()
+        codes = np.concatenate([shared.value[0], table.column("code").to_numpy()])
         order = np.argsort(codes)
-        codes, value = codes[order], table.column("value").to_numpy()[order]
+        value = np.concatenate([shared.value[1], table.column("value").to_numpy().astype(np.float64)])[order]
+        codes = codes[order]
         grams_from = int(np.searchsorted(codes, 0))
         gram_code, gram_value = codes[grams_from:], value[grams_from:]
         word_code, word_count = codes[:grams_from], value[:grams_from]
-        documents = [canonical(t) for t in string_bytes(texts.column("text").combine_chunks())] if texts.num_rows else []
-        out = np.zeros((5, len(documents)))
-        floor = train_tokens + 0.1 * (vocabulary + 1)
-        for first, group in runs(documents):
-            lengths = np.array([len(d) for d in group])
-            grams = np.concatenate([gram_codes(d, depth) for d in group])
-            got = gram_value[np.searchsorted(gram_code, grams)]
-            starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-            last = first + len(group)
-            out[3, first:last] = np.add.reduceat(got, starts)
-            out[4, first:last] = lengths
-            words = [word_codes(d) for d in group]
-            sizes = np.array([len(w) for w in words])
-            count = word_count[np.searchsorted(word_code, np.concatenate(words))]
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            out[0, first:last] = sizes
-            out[1, first:last] = np.add.reduceat((count > 0).astype(float), starts)
-            out[2, first:last] = np.add.reduceat(np.log10((count + 0.1) / floor), starts)
-        return pa.table(
-            {
-                "doc_id": texts.column("doc_id"),
-                "held_out": texts.column("held_out"),
-                "n_tokens": out[0].astype(np.int64),
-                "n_known": out[1].astype(np.int64),
-                "base_score": out[2],
-                "score": out[3],
-                "n_bytes": out[4].astype(np.int64),
-            }
-        )
-
-    scored = blocks.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(run, _SCORED)
+        parts = []
+        for data in texts.column("pack").to_pylist():
+            batch = unpack(data)
+            documents = batch.column(2).to_pylist()
+            out = np.zeros((5, len(documents)))
+            floor = train_tokens + 0.1 * (vocabulary + 1)
+            for first, group in runs(documents):
+                lengths = np.array([len(d) for d in group])
+                grams = np.concatenate([gram_codes(d, depth) for d in group])
+                got = gram_value[np.searchsorted(gram_code, grams)]
+                starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+                last = first + len(group)
+                out[3, first:last] = np.add.reduceat(got, starts)
+                out[4, first:last] = lengths
+                words, sizes = word_codes(group)
+                count = word_count[np.searchsorted(word_code, words)]
+                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+                out[0, first:last] = sizes
+                out[1, first:last] = np.add.reduceat((count > 0).astype(float), starts)
+                out[2, first:last] = np.add.reduceat(np.log10((count + 0.1) / floor), starts)
+            parts.append(
+                pa.table(
+                    {
+                        "doc_id": batch.column(0),
+                        "held_out": batch.column(1),
+                        "n_tokens": out[0].astype(np.int64),
+                        "n_known": out[1].astype(np.int64),
+                        "base_score": out[2],
+                        "score": out[3],
+                        "n_bytes": out[4].astype(np.int64),
+                    }
+                )
+            )
+        if not parts:
+            return pa.table({f.name: [] for f in _SCORED}, schema=empty)
+        return pa.concat_tables(parts)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    empty = to_arrow_schema(_SCORED)
+    scored = packs.groupBy("block").cogroup(wanted.groupBy("owner")).applyInArrow(run, _SCORED)
     return scored.select(
         "doc_id",
         "held_out",
