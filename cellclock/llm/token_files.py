@@ -30,7 +30,7 @@ from cellclock.session import scratch_path
 
 MAGIC = b"CCEF0001"
 SEGMENT_IDS = 1 << 21  # ids after which a segment is closed
-WORDS_KEPT = 400_000
+WORDS_KEPT = 800_000
 NEW_WORDS = 20_000  # words given to the library at a time
 
 SEGMENT = T.StructType(
@@ -152,8 +152,8 @@ class Segment:
 class LibraryEncoder:
     """Texts to ids with the ``tokenizers`` library, which sees each word once.
 
-    Words are cut at ASCII white space, which no token spans and no rule of the
-    vocabulary's normalizer looks across; the library gets every new word whole.
+    With a vocabulary of words, texts are cut at ASCII white space, which no token spans
+    and no rule of the normalizer looks across; the library gets every new word whole.
     """
 
     def __init__(self, definition: str):
@@ -164,15 +164,29 @@ class LibraryEncoder:
         self.library.no_padding()
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
         self.words: dict[bytes, bytes] = {}
+        ids = lambda text: self.library.encode(text, add_special_tokens=False).ids
+        # Whether white space ends every token, as in word vocabularies; else texts go whole.
+        self.by_word = ids("ab c\n d") == ids("ab") + ids("c") + ids("d")
+        # Whether these texts are the same to the library, as they are to word vocabularies.
+        probe = ("Ab9.", "ab9", ".", "x,", "x", ",")
+        a, b, dot, c, d, comma = map(ids, probe)
+        self.lower = a == b + dot and c == d + comma
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         import numpy as np
 
-        cut = [t.split() for t in texts]
+        if not self.by_word:
+            got = self.library.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+            return [np.array(g.ids, f"<u{self.width}").tobytes() for g in got]
+        # The vocabulary lower-cases; doing it here for ASCII halves the words to see.
+        cut = [(t if b"<|" in t or not self.lower else t.lower()).split() for t in texts]
         if len(self.words) >= WORDS_KEPT:
             self.words.clear()
         words = self.words
-        new = list({w for c in cut for w in c if w not in words})
+        missing = {w for c in cut for w in c if w not in words}
+        # A full stop or comma after a letter or digit is a piece of its own.
+        ended = {w for w in missing if len(w) > 1 and w[-1] in b".," and w[-2:-1].isalnum()} if self.lower else set()
+        new = list((missing - ended | {w[:-1] for w in ended} | {w[-1:] for w in ended}) - words.keys())
         for at in range(0, len(new), NEW_WORDS):
             some = new[at : at + NEW_WORDS]
             got = self.library.encode([w.decode("utf-8", "replace") for w in some], is_pretokenized=True, add_special_tokens=False)
@@ -187,6 +201,8 @@ class LibraryEncoder:
             data = ids.tobytes()
             for w, a, b in zip(some, bounds[:-1].tolist(), bounds[1:].tolist()):
                 words[w] = data[a:b]
+        for w in ended:
+            words[w] = words[w[:-1]] + words[w[-1:]]
         return [b"".join([words[w] for w in c]) for c in cut]
 
 
