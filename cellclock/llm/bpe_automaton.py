@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 
 from cellclock.llm.common import string_bytes
 
-WORDS_KEPT = 400_000  # entries of the per-process word table before it starts anew
-PIECES_KEPT = 100_000
+WORDS_KEPT = 100_000  # entries of the per-process word table before it starts anew
+PIECES_KEPT = 30_000
 FOREVER = 1 << 60
 START = -1
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 WIDTH = 5
-CHUNK = 1 << 20  # bytes hashed at a time
+CHUNK = 1 << 19  # bytes hashed at a time
 SEED = 20_240_229
 
 
