@@ -1,5 +1,5 @@
 """Document fingerprints: universal hash minima over word shingles, in numpy; signature
-bands are joined in Spark and the Jaccard likeness of every match is verified.
+bands are joined in Spark and the Jaccard likeness of every match is verified on full sets.
 
 A fingerprint is 128 minima of 16 bits, written as 512 hexadecimal digits. The share of
 equal minima, corrected for chance agreement, estimates the Jaccard likeness of the two
@@ -19,6 +19,8 @@ from cellclock.llm.common import partitions, string_bytes
 
 MINIMA = 128
 DIGITS = 4  # hexadecimal digits of a minimum
+BANDS, ROWS = 32, 4
+SLACK = 0.142  # four standard deviations of the estimate at a likeness of 0.8
 
 
 @lru_cache(maxsize=2)
@@ -28,14 +30,19 @@ def _minhash(minima: int):
     return MinHash(minima)
 
 
-def print_of(texts: list[bytes]):
-    """A row of 16-bit minima for every text."""
+def print_of_sets(sets: list):
+    """A row of 16-bit minima for every shingle set."""
     import numpy as np
 
+    hasher = _minhash(MINIMA)
+    return np.stack([hasher.signature(s) for s in sets]).astype(">u2")
+
+
+def print_of(texts: list[bytes]):
+    """A row of 16-bit minima for every text."""
     from cellclock.llm.shingles import shingle_sets
 
-    hasher = _minhash(MINIMA)
-    return np.stack([hasher.signature(s) for s in shingle_sets(texts)]).astype(">u2")
+    return print_of_sets(shingle_sets(texts))
 
 
 def likeness(a: Column | str, b: Column | str) -> Column:
@@ -56,30 +63,44 @@ def _corrected(share):
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fingerprint of every row of ``docs`` (doc_id, text).
+    """doc_id, fingerprint and shingles (distinct hashes) of every row of ``docs`` (doc_id, text).
 
     Null and empty texts have the fingerprint of the empty set, rows are kept as they
     are, equal texts have equal fingerprints, an empty table gives no rows.
     """
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
+        from cellclock.llm.shingles import shingle_sets
+
         for batch in batches:
             if batch.num_rows:
-                marks = [row.tobytes().hex() for row in print_of(string_bytes(batch.column(1)))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.string())], names=["doc_id", "fingerprint"])
+                sets = shingle_sets(string_bytes(batch.column(1)))
+                marks = [row.tobytes().hex() for row in print_of_sets(sets)]
+                offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
+                shingles = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sets).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.string()), shingles], names=schema.names)
 
     id_type = docs.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("doc_id", id_type), T.StructField("fingerprint", T.StringType())])
+    schema = T.StructType(
+        [
+            T.StructField("doc_id", id_type),
+            T.StructField("fingerprint", T.StringType()),
+            T.StructField("shingles", T.ArrayType(T.LongType(), False)),
+        ]
+    )
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
-def matches(left: DataFrame, right: DataFrame, least: float = 0.8, bands: int = 32, rows: int = 4) -> DataFrame:
-    """Pairs (fingerprint, matched, likeness) of different fingerprints of two tables
-    that share a band of minima and whose likeness, verified on whole fingerprints, is
-    at least ``least``. Equal fingerprints are one key here, so copies cost nothing;
-    join the result back to documents by fingerprint."""
+def matches(left: DataFrame, right: DataFrame, least: float = 0.8, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """Pairs (fingerprint, matched, likeness) of different fingerprints of two tables of
+    ``fingerprints`` that share a band of minima and whose Jaccard likeness is at least
+    ``least``. The estimate only leaves out pairs more than four standard deviations
+    below; likeness is that of the full shingle sets, the largest if texts with different
+    sets share a fingerprint. Equal fingerprints are one key here, so copies cost
+    nothing; join the result back to documents by fingerprint."""
     width = rows * DIGITS
 
     def banded(prints, name):
@@ -87,8 +108,15 @@ def matches(left: DataFrame, right: DataFrame, least: float = 0.8, bands: int =
         keys = F.expr(f"transform(sequence(0, {bands - 1}), i -> xxhash64(i, substring({name}, i * {width} + 1, {width})))")
         return once.select(name, F.explode(keys).alias("band"))
 
+    def sets(prints, name, value):
+        return prints.select(F.col("fingerprint").alias(name), F.col("shingles").alias(value)).dropDuplicates([name, value])
+
     near = banded(left, "fingerprint").join(banded(right, "matched"), "band").where("fingerprint <> matched")
-    return near.select("fingerprint", "matched").distinct().withColumn("likeness", likeness("fingerprint", "matched")).where(F.col("likeness") >= least)
+    near = near.select("fingerprint", "matched").distinct().where(likeness("fingerprint", "matched") >= least - SLACK)
+    both = F.size(F.array_intersect("_a", "_b"))
+    held = near.join(sets(left, "fingerprint", "_a"), "fingerprint").join(sets(right, "matched", "_b"), "matched")
+    held = held.withColumn("likeness", both / (F.size("_a") + F.size("_b") - both)).where(F.col("likeness") >= least)
+    return held.groupBy("fingerprint", "matched").agg(F.max("likeness").alias("likeness"))
 
 
 def _placed(docs: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:

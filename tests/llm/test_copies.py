@@ -116,3 +116,18 @@ def test_matches_are_verified(make, odd, empty):
     assert got == {(by_id[1], by_id[3]), (by_id[3], by_id[1])}
     assert fingerprints.fingerprints(odd).count() == len(ODD)
     assert fingerprints.fingerprints(empty).collect() == []
+
+
+def test_matches_near_the_threshold(make):
+    texts = []
+    for b in range(10):
+        base = prose(400, 40 + b)
+        texts += [(10 * b, base)] + [(10 * b + n - 5, edited(base, n, 100 * b + n)) for n in range(6, 12)]
+    sets = {i: sets_of(t) for i, t in texts}
+    true = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in sets for b in sets if a < b}
+    close = [j for j in true.values() if 0.78 <= j <= 0.86]
+    assert min(close) < 0.8 and sum(j >= 0.8 for j in close) > 10
+    prints = fingerprints.fingerprints(make(texts))
+    by_print = {r.fingerprint: r.doc_id for r in prints.collect()}
+    got = [(by_print[r.fingerprint], by_print[r.matched], r.likeness) for r in fingerprints.matches(prints, prints).collect()]
+    assert {(a, b): j for a, b, j in got if a < b} == {p: j for p, j in true.items() if j >= 0.8}
