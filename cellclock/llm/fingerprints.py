@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellclock.llm.common import partitions, string_bytes
+from cellclock.llm.common import partitions, string_bytes, written
 
 MINIMA = 128
 DIGITS = 4  # hexadecimal digits of a minimum
@@ -135,15 +135,8 @@ def _placed(docs: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
     return rows, rows.groupBy("place").agg(F.min(F.struct("doc_id", F.xxhash64("text").alias("h"))).alias("k"))
 
 
-def edited_fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """Each document's fingerprint beside that of its edited text and of the next document.
-
-    The edited text has its last floor(n_chars / 4) code points replaced by as many of
-    the first of the next document in ascending doc_id, or all it has; the last document
-    is followed by the first. Null texts are empty; ties of doc_id follow a hash of
-    their texts; null ids come first. Tasks stream over sorted ranges and hold two
-    documents at a time; the first document of a range is also sent to the range before.
-    """
+def _edited(docs: DataFrame, parts: int | None = None) -> DataFrame:
+    """``edited_fingerprints`` with two hashes of each text's shingle set, set_a and set_b."""
     rows, firsts = _placed(docs, parts or partitions(docs.sparkSession))
     heads = sorted((r["place"], r["k"]["doc_id"], r["k"]["h"]) for r in firsts.collect())  # one for each range
     if not heads:
@@ -170,6 +163,8 @@ def edited_fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
             T.StructField("edited_fingerprint", T.StringType()),
             T.StructField("same_edited", T.DoubleType()),
             T.StructField("same_next", T.DoubleType()),
+            T.StructField("set_a", T.LongType()),
+            T.StructField("set_b", T.LongType()),
         ]
     )
 
@@ -179,23 +174,26 @@ def edited_fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        held = None  # (doc_id, text, fingerprint) that waits for its next document
+        from cellclock.llm.shingles import set_hashes, shingle_sets
+
+        held = None  # (doc_id, text, fingerprint, hashes of the set) that waits for its next document
         for batch in batches:
             if not batch.num_rows:
                 continue
             guest = batch.column(1).to_pylist()
             ids = batch.column(2).to_pylist()
             texts = batch.column(3).to_pylist()
-            marks = print_of([t.encode() for t in texts])
+            sets = shingle_sets([t.encode() for t in texts])
+            marks, hashes = print_of_sets(sets), zip(*set_hashes(sets))
             owners, edited, nexts = [], [], []
-            for g, i, t, m in zip(guest, ids, texts, marks):
+            for g, i, t, m, s in zip(guest, ids, texts, marks, hashes):
                 if held is not None:
                     n = len(held[1])
                     cut = n // 4
                     owners.append(held)
                     edited.append((held[1][: n - cut] + t[:cut]).encode())
                     nexts.append(m)
-                held = None if g else (i, t, m)
+                held = None if g else (i, t, m, s)
             if not owners:
                 continue
             own = np.stack([o[2] for o in owners])
@@ -209,6 +207,8 @@ def edited_fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
                     pa.array([m.tobytes().hex() for m in other], pa.string()),
                     pa.array((own == other).mean(axis=1), pa.float64()),
                     pa.array((own == np.stack(nexts)).mean(axis=1), pa.float64()),
+                    pa.array([o[3][0] for o in owners], pa.int64()),
+                    pa.array([o[3][1] for o in owners], pa.int64()),
                 ],
                 names=schema.names,
             )
@@ -222,4 +222,45 @@ def edited_fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
         "edited_fingerprint",
         _corrected(F.col("same_edited")).alias("near_edited"),
         _corrected(F.col("same_next")).alias("near_next"),
+        "set_a",
+        "set_b",
+    )
+
+
+def edited_fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
+    """Each document's fingerprint beside that of its edited text and of the next document.
+
+    The edited text has its last floor(n_chars / 4) code points replaced by as many of
+    the first of the next document in ascending doc_id, or all it has; the last document
+    is followed by the first. Null texts are empty; ties of doc_id follow a hash of
+    their texts; null ids come first. Tasks stream over sorted ranges and hold two
+    documents at a time; the first document of a range is also sent to the range before.
+    """
+    return _edited(docs, parts).drop("set_a", "set_b")
+
+
+def matched_fingerprints(docs: DataFrame, percent: int = 80) -> DataFrame:
+    """``edited_fingerprints`` with class_id and n_links, from the band join of all documents.
+
+    Texts with one shingle set are one key. Keys that share a band of minima are compared
+    as in ``near_dedup``: with the band's representative, and with each other where that
+    leaves them apart; a link is verified on full sets. class_id is the smallest doc_id
+    that links reach, n_links the number of links found of the document's key, which is
+    not that of all its near texts where a band has a representative. Texts without words
+    are a class of their own; null ids have a null class and no links.
+    """
+    from cellclock.llm.near_dedup import linked
+
+    _, classes, links, found = linked(docs, percent, BANDS, ROWS)
+    ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
+    member = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").join(ends, "rep", "left")
+    member = written(member.select("set_a", "set_b", F.coalesce("component", "rep").alias("_c"), "n_links"), "members")
+    named = F.col("doc_id").isNotNull()
+    return (
+        _edited(docs)
+        .join(member, ["set_a", "set_b"], "left")
+        .drop("set_a", "set_b")
+        .withColumn("class_id", F.when(named, F.coalesce("_c", "doc_id")))
+        .withColumn("n_links", F.when(named, F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)))
+        .drop("_c")
     )

@@ -60,7 +60,7 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        from cellclock.llm.shingles import band_keys, mixed, shingle_sets
+        from cellclock.llm.shingles import band_keys, set_hashes, shingle_sets
 
         hasher = _minhash(bands * rows)
         for batch in batches:
@@ -69,15 +69,14 @@ def signed(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
             sets = shingle_sets(string_bytes(batch.column(1)))
             minima = np.stack([hasher.signature(s) for s in sets])
             keys = band_keys(minima, bands, rows)
-            once = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-            twice = np.array([mixed(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+            once, twice = set_hashes(sets)
             offsets = np.arange(0, keys.size + 1, bands, dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).cast(pa.int64()),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array(once),
-                    pa.array(twice),
+                    pa.array(once, pa.int64()),
+                    pa.array(twice, pa.int64()),
                     pa.array([m.tobytes() for m in minima], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.ravel())),
                 ],
@@ -206,15 +205,9 @@ def rarest(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return classes.join(ordered, "rep").select(*classes.columns, F.posexplode(head["shingle"]).alias("place", "shingle"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
-
-    Documents are linked when 100 * intersection >= ``percent`` * union of their sets of
-    distinct five-word shingles; component_id is the smallest doc_id reachable. Null and
-    empty texts have no shingles and no links. Rows with a null doc_id are linked with
-    nothing: component_id is null, and they are kept. Rows that share a doc_id count as
-    one document. Other columns are not looked at. An empty table gives no rows.
-    """
+def linked(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """What ``near_duplicates`` finds: signed rows, classes (set_a, set_b, rep), verified
+    links (a, b) between representatives, and (node, component) of those with a link."""
     base = written(signed(docs, bands, rows), "signed")
     usable = base.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = usable.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
@@ -281,8 +274,21 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS,
     )
     more = written(verified(second, nodes, sets, percent), "links-rest")
     if more.limit(1).count():
-        found = components(links.union(more))
+        links = links.union(more)
+        found = components(links)
+    return base, classes, links, found
+
 
+def near_duplicates(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
+
+    Documents are linked when 100 * intersection >= ``percent`` * union of their sets of
+    distinct five-word shingles; component_id is the smallest doc_id reachable. Null and
+    empty texts have no shingles and no links. Rows with a null doc_id are linked with
+    nothing: component_id is null, and they are kept. Rows that share a doc_id count as
+    one document. Other columns are not looked at. An empty table gives no rows.
+    """
+    base, classes, _, found = linked(docs, percent, bands, rows)
     member = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(
         "set_a", "set_b", F.coalesce("component", "rep").alias("_c")
     )

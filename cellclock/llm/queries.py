@@ -52,9 +52,9 @@ def _near_dedup(spark, sf_dir):
 
 @query("op6_fingerprints")
 def _fingerprints(spark, sf_dir):
-    from cellclock.llm.fingerprints import edited_fingerprints
+    from cellclock.llm.fingerprints import matched_fingerprints
 
-    return edited_fingerprints(table(spark, sf_dir, "documents"))
+    return matched_fingerprints(table(spark, sf_dir, "documents"))
 
 
 def _decontaminate_sql():

@@ -132,6 +132,15 @@ def shingle_sets(texts: list[bytes]) -> list:
     return out
 
 
+def set_hashes(sets: list):
+    """Two 64-bit hashes of every shingle set."""
+    import numpy as np
+
+    once = np.array([s.sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+    twice = np.array([mixed(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+    return once.tolist(), twice.tolist()
+
+
 class MinHash:
     """Signatures by many universal hash functions x -> a x + b on 32-bit words."""
 

@@ -131,3 +131,17 @@ def test_matches_near_the_threshold(make):
     by_print = {r.fingerprint: r.doc_id for r in prints.collect()}
     got = [(by_print[r.fingerprint], by_print[r.matched], r.likeness) for r in fingerprints.matches(prints, prints).collect()]
     assert {(a, b): j for a, b, j in got if a < b} == {p: j for p, j in true.items() if j >= 0.8}
+
+
+def test_matched_fingerprints(make, odd, empty):
+    texts = [(i, prose(300, 60)) for i in (1, 2, 3)]
+    texts += [(10 + n, edited(prose(300, 60), 3, 700 + n)) for n in range(8)]
+    texts += [(30 + n, prose(200, 70 + n)) for n in range(4)] + [(40, edited(prose(200, 70), 2, 9)), (50, ""), (51, None)]
+    got = {r.doc_id: r for r in fingerprints.matched_fingerprints(make(texts)).collect()}
+    assert {i: r.class_id for i, r in got.items()} == brute(texts, 80)
+    assert all((got[i].n_links > 0) == (i < 20 or i in (30, 40)) for i in got)
+    assert got[1].n_links == got[2].n_links
+    plain = {r.doc_id: r for r in fingerprints.edited_fingerprints(make(texts)).collect()}
+    assert all(got[i].asDict() | plain[i].asDict() == got[i].asDict() for i in got)
+    assert fingerprints.matched_fingerprints(odd).count() == len(ODD)
+    assert fingerprints.matched_fingerprints(empty).collect() == []
