@@ -16,7 +16,6 @@ from cellclock.operators.lookups import rank_join
 from cellclock.operators.nearest import nearest_neighbours
 from cellclock.operators.ordered import number_rows, running_total
 from cellclock.operators.profile import feature_rank_sum, valid
-from cellclock.operators.sampling import sample_n
 from cellclock.session import cut
 
 BAND_OF = r"_t[+-]\d+$"
@@ -140,65 +139,142 @@ def mutual_information(
     return per.groupBy(band.alias("feature")).agg(F.max("mi").alias("MI_score")).orderBy(F.desc("MI_score"), "feature")
 
 
-def _joint_terms(x: np.ndarray, y: np.ndarray, mine: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(neighbours used, points counted) of the rows ``mine`` among all rows, with
-    the largest coordinate difference as distance."""
-    used, counted = np.empty(len(mine), np.int64), np.empty(len(mine), np.int64)
-    for at, i in enumerate(mine):
-        d = np.abs(x - x[i]).max(axis=1)
-        same = np.flatnonzero(y == y[i])
-        want = min(k, len(same) - 1)
-        radius = np.partition(d[same], want)[want]  # the row itself is at distance 0
-        if radius > 0:
-            used[at], counted[at] = want, (d < radius).sum()
-        else:
-            used[at], counted[at] = (d[same] == 0).sum(), (d == 0).sum()
-    return used, counted
+TILE = 1024  # points of a tile
+
+
+def _distances(x: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Largest coordinate differences of all rows of ``x`` and ``other``."""
+    d = np.zeros((len(x), len(other)))
+    for j in range(x.shape[1]):
+        np.maximum(d, np.abs(x[:, j, None] - other[None, :, j]), out=d)
+    return d
+
+
+def _nearest(d: np.ndarray, weight: np.ndarray, most: int) -> np.ndarray:
+    """The ``most`` smallest distances of each row, a point of weight w counting w times;
+    infinite where there are fewer."""
+    first = np.argsort(d, axis=1, kind="stable")[:, :most]
+    near = np.hstack([np.take_along_axis(d, first, axis=1), np.full((len(d), 1), np.inf)])
+    upto = np.cumsum(weight[first], axis=1)
+    return np.stack([near[np.arange(len(d)), (upto <= j).sum(axis=1)] for j in range(most)], axis=1)
+
+
+def _tiles(points: DataFrame, dims: int, size: int) -> DataFrame:
+    """Points (feature, _y, _x, _w, _ny) as rows of at most ``size`` points of one class
+    and their box: slabs of the widest lag, each cut by the next widest."""
+    at = lambda i: F.get("_x", F.lit(i))
+    widths = F.array(*[F.struct((F.max(at(i)) - F.min(at(i))).alias("w"), F.lit(i).alias("i")) for i in range(dims)])
+    widest = points.groupBy("feature").agg(F.sort_array(widths, asc=False)["i"].alias("_wide"))
+    counts = points.groupBy("feature", "_y").agg(F.count(F.lit(1)).alias("_m"))
+    by = lookup(lookup(points, widest, ["feature"], "inner"), counts, ["feature", "_y"], "inner")
+    by = by.withColumns({"_v1": F.get("_x", F.get("_wide", F.lit(0))), "_v2": F.get("_x", F.get("_wide", F.lit(min(1, dims - 1))))})
+    slabs = F.ceil(F.sqrt(F.ceil(F.col("_m") / size)))
+    by = number_rows(by, ["_v1", "_x"], "_rn", ["feature", "_y"]).withColumn("_slab", F.floor((F.col("_rn") - 1) / F.ceil(F.col("_m") / slabs)))
+    by = number_rows(by.drop("_rn"), ["_v2", "_x"], "_rn", ["feature", "_y", "_slab"]).withColumn("_no", F.floor((F.col("_rn") - 1) / size))
+    held = by.groupBy("feature", "_y", "_slab", "_no").agg(
+        F.first("_ny").alias("_ny"),
+        F.collect_list(F.struct("_x", "_w")).alias("_p"),
+        F.array(*[F.min(at(i)) for i in range(dims)]).alias("_lo"),
+        F.array(*[F.max(at(i)) for i in range(dims)]).alias("_hi"),
+    )
+    name = F.concat_ws("/", "feature", "_y", "_slab", "_no").alias("_t")
+    return held.select("feature", "_y", name, "_ny", "_lo", "_hi", F.flatten("_p._x").alias("_xs"), F.col("_p._w").alias("_ws"))
+
+
+def _tile_pairs(tiles: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Every tile with every one whose box its points' reach ``_r`` may touch, and what
+    both hold; the second has the prefix ``o``. Boxes are a row per tile."""
+    boxes = tiles.select("feature", "_y", "_t", "_lo", "_hi", F.array_max("_r").alias("_far"))
+    other = boxes.select(*keys, *[F.col(c).alias(f"o{c}") for c in ("_t", "_lo", "_hi")])
+    gap = F.array_max(F.zip_with(F.zip_with("o_lo", "_hi", lambda a, b: a - b), F.zip_with("_lo", "o_hi", lambda a, b: a - b), lambda a, b: F.greatest(a, b)))
+    near = boxes.join(F.broadcast(other), list(keys)).where(gap <= F.col("_far")).select("_t", "o_t")
+    own = tiles.select("_t", "_ny", "_xs", "_ws", "_r")
+    return near.join(own, "_t").join(tiles.select(F.col("_t").alias("o_t"), F.col("_xs").alias("o_xs"), F.col("_ws").alias("o_ws"), F.col("_lo").alias("o_lo"), F.col("_hi").alias("o_hi")), "o_t")
 
 
 def mutual_information_joint(
-    df: DataFrame,
-    bands: Sequence[str],
-    label: str,
-    key: str,
-    offsets: Sequence[int] = HISTORY,
-    k: int = 3,
-    sample: int = 20_000,
-    blocks: int = 16,
-    seed: int = 42,
-    kind: str = "xxhash64",
+    df: DataFrame, bands: Sequence[str], label: str, key: str, offsets: Sequence[int] = HISTORY, k: int = 3, tile: int = TILE
 ) -> DataFrame:
     """Mutual information of all lags of a band together, in the published form of
-    Ross (2014) under the largest-coordinate distance.
+    Ross (2014) under the largest-coordinate distance; rows of a class of their own are
+    left out.
 
-    The estimate is one of a sample of at most ``sample`` rows. A task compares one
-    block of the sample with the sample, whose size bounds its memory; only two
-    counts per row leave it.
+    All rows count, equal ones as one point with a weight. Points lie in tiles of at most
+    ``tile`` points of one class. A point's own tile bounds the distance of its k-th
+    neighbour, so only tiles whose boxes are in reach are compared: those of its class for
+    the neighbour, then all for the points that are closer. A task holds a few tile pairs.
     """
-    out = None
-    for band in bands:
-        columns = lag_columns([band], offsets)
-        clean = df.where(q(label).isNotNull())
-        for c in columns:
-            clean = clean.where(valid(q(c).cast("double")))
-        clean = clean.select(q(key).alias("_key"), q(label).cast("int").alias("_y"), F.array(*[q(c).cast("double") for c in columns]).alias("_x"))
-        drawn = sample_n(clean, sample, ["_key"], seed, kind, strict=False)
-        sizes = drawn.groupBy("_y").agg(F.count(F.lit(1)).alias("_ny"))
-        drawn = cut(lookup(drawn, sizes.where("_ny > 1"), ["_y"], "inner").withColumn("_mine", F.pmod(F.xxhash64("_key"), F.lit(blocks)).cast("int")))
-        everywhere = drawn.select("_key", "_y", "_x", "_ny", "_mine", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_blk"))
-
-        def terms(held: pd.DataFrame) -> pd.DataFrame:
-            block = held["_blk"].iloc[0]
-            mine = np.flatnonzero((held["_mine"] == block).to_numpy())
-            x = np.stack(held["_x"].to_list())
-            used, counted = _joint_terms(x, held["_y"].to_numpy(), mine, k)
-            return pd.DataFrame({"used": used, "counted": counted, "size": held["_ny"].to_numpy()[mine]})
-
-        counts = everywhere.repartition(blocks, "_blk").groupBy("_blk").applyInPandas(terms, "used bigint, counted bigint, size bigint")
-        mi = digamma(F.count(F.lit(1))) + F.avg(digamma(F.col("used"))) - F.avg(digamma(F.col("size"))) - F.avg(digamma(F.col("counted")))
-        row = counts.agg(F.greatest(F.lit(0.0), mi).alias("MI_score")).select(F.lit(band).alias("feature"), "MI_score")
-        out = row if out is None else out.unionByName(row)
-    return out.orderBy(F.desc("MI_score"), "feature")
+    dims = len(offsets)
+    each = F.array(*[F.struct(F.lit(b).alias("feature"), F.array(*[q(c).cast("double") for c in lag_columns([b], offsets)]).alias("_x")) for b in bands])
+    rows = df.where(q(label).isNotNull()).select(q(label).cast("int").alias("_y"), F.explode(each).alias("_e")).select("_e.feature", "_y", "_e._x")
+    points = cut(rows.where(F.forall("_x", valid)).groupBy("feature", "_y", "_x").agg(F.count(F.lit(1)).alias("_w")))
+    sizes = points.groupBy("feature", "_y").agg(F.sum("_w").alias("_ny")).where("_ny > 1")
+    tiles = cut(_tiles(lookup(points, sizes, ["feature", "_y"], "inner"), dims, tile))
+
+    def matrix(flat) -> np.ndarray:
+        return np.asarray(flat, float).reshape(-1, dims)
+
+    def bounds(held):
+        for part in held:
+            reach = []
+            for xs, ws, ny in zip(part["_xs"], part["_ws"], part["_ny"]):
+                x, want = matrix(xs), min(k, ny - 1)
+                reach.append(_nearest(_distances(x, x), np.asarray(ws), want + 1)[:, want])
+            yield part.assign(_r=reach)
+
+    def in_reach(row):
+        """Points of a tile, their numbers and reach, that may have others in the box."""
+        x, r = matrix(row["_xs"]), np.asarray(row["_r"], float)
+        gap = np.maximum(np.asarray(row["o_lo"]) - x, x - np.asarray(row["o_hi"])).max(axis=1)
+        at = np.flatnonzero(gap <= r)
+        return x[at], at, r[at]
+
+    def neighbours(held):
+        for part in held:
+            found = []
+            for row in part.to_dict("records"):
+                x, at, r = in_reach(row)
+                if len(at):
+                    near = _nearest(_distances(x, matrix(row["o_xs"])), np.asarray(row["o_ws"]), min(k, row["_ny"] - 1) + 1)
+                    found += [(row["_t"], i, d[d <= b]) for i, b, d in zip(at, r, near)]
+            yield pd.DataFrame(found, columns=["_t", "_i", "_d"])
+
+    def closer(held):
+        for part in held:
+            found = []
+            for row in part.to_dict("records"):
+                x, at, r = in_reach(row)
+                if len(at):
+                    d, w = _distances(x, matrix(row["o_xs"])), np.asarray(row["o_ws"])
+                    inside = np.where(r[:, None] > 0, d < r[:, None], d == 0) @ w
+                    found += [(row["_t"], i, n) for i, n in zip(at, inside) if n]
+            yield pd.DataFrame(found, columns=["_t", "_i", "_n"])
+
+    conf = df.sparkSession.conf
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(setting)
+    conf.set(setting, "64")  # a row holds the points of two tiles
+    try:
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tiles.schema)
+        bounded = cut(tiles.mapInPandas(bounds, f"{schema}, _r array<double>"))
+        found = cut(_tile_pairs(bounded, ["feature", "_y"]).mapInPandas(neighbours, "_t string, _i int, _d array<double>"))
+        nearest = found.groupBy("_t", "_i").agg(F.sort_array(F.flatten(F.collect_list("_d"))).alias("_d"))
+        nearest = nearest.join(bounded.select("_t", F.least(F.lit(k), F.col("_ny") - 1).cast("int").alias("_want")), "_t")
+        radius = nearest.groupBy("_t").agg(F.sort_array(F.collect_list(F.struct("_i", F.get("_d", F.col("_want")).alias("_r"))))["_r"].alias("_r"))
+        reached = cut(bounded.drop("_r").join(radius, "_t"))
+        counts = cut(_tile_pairs(reached, ["feature"]).mapInPandas(closer, "_t string, _i int, _n bigint"))
+    finally:
+        conf.set(setting, before)
+    each_point = reached.select("_t", "feature", "_ny", F.posexplode(F.arrays_zip("_ws", "_r")).alias("_i", "_e"))
+    counted = each_point.join(counts.groupBy("_t", "_i").agg(F.sum("_n").alias("_n")), ["_t", "_i"])
+    w = F.col("_e._ws")
+    used = F.when(F.col("_e._r") > 0, F.least(F.lit(k), F.col("_ny") - 1)).otherwise(w)
+    terms = F.sum(w * (digamma(used) - digamma(F.col("_ny")) - digamma(F.col("_n"))))
+    mi = digamma(F.sum(w)) + terms / F.sum(w)
+    # A band without rows scores like one of whose rows nothing is known.
+    named = df.sparkSession.createDataFrame([(b,) for b in bands], "feature string")
+    scores = counted.groupBy("feature").agg(F.greatest(F.lit(0.0), mi).alias("MI_score"))
+    return named.join(scores, "feature", "left").select("feature", F.coalesce("MI_score", F.lit(0.0)).alias("MI_score")).orderBy(F.desc("MI_score"), "feature")
 
 
 # ---- spatial autocorrelation ------------------------------------------------
