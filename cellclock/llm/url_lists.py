@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SEGMENTS = 2  # leading path segments that patterns may have
+SEGMENTS = 2  # leading path segments of the entries derived from pages
 
 
 def host(url: Column | str) -> Column:
@@ -26,8 +26,9 @@ def host(url: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(authority), r"^.*@", ""), r":[0-9]*$", "")
 
 
-def patterns(url: Column | str) -> Column:
-    """All patterns a URL falls under: (pattern, rank), a larger rank is more specific."""
+def patterns(url: Column | str, most: int | None = None) -> Column:
+    """All patterns a URL falls under, or those of at most ``most`` path segments:
+    (pattern, rank), a larger rank is more specific."""
     url = F.col(url) if isinstance(url, str) else url
     h = host(url)
     labels = F.split(h, r"\.")
@@ -37,8 +38,9 @@ def patterns(url: Column | str) -> Column:
         F.sequence(F.lit(1), F.size(labels)),
         lambda i: F.struct(F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("pattern"), (F.size(labels) - i + 1).alias("rank")),
     )
+    depth = F.size(segments) if most is None else F.least(F.size(segments), F.lit(most))
     paths = F.transform(
-        F.sequence(F.lit(0), F.least(F.size(segments), F.lit(SEGMENTS))),
+        F.sequence(F.lit(0), depth),
         lambda n: F.struct(F.concat_ws("/", h, F.slice(segments, F.lit(1), n)).alias("pattern"), (F.lit(1000) + n).alias("rank")),
     )
     both = F.concat(domains, F.filter(paths, lambda p: p["rank"] > 1000))
@@ -51,13 +53,16 @@ def validity(entries: DataFrame) -> DataFrame:
     ``entries`` has list, effect (block or allow), pattern, action (add or remove) and at
     (date). Repeated additions go on, removals of what is not listed do nothing, and on
     one date a removal comes after an addition. Rows with a null in these columns are left
-    out. An open interval has valid_to null. What is sorted is one row for each date on
+    out. The case of a host does not count, that of a path does. An open interval has
+    valid_to null. What is sorted is one row for each date on
     which a pattern changed, so no pattern can have more than the calendar has days.
     """
+    named = F.substring_index("pattern", "/", 1)
+    pattern = F.concat(F.lower(named), F.expr("substring(pattern, length(substring_index(pattern, '/', 1)) + 1)"))
     day = (
         entries.dropna(subset=["list", "effect", "pattern", "action", "at"])
         .where(F.col("action").isin("add", "remove"))
-        .groupBy("list", "effect", "pattern", F.col("at").cast("date").alias("at"))
+        .groupBy("list", "effect", pattern.alias("pattern"), F.col("at").cast("date").alias("at"))
         .agg(F.max(F.col("action") == "remove").alias("removed"))
     )
     by = Window.partitionBy("list", "effect", "pattern").orderBy("at")
@@ -65,7 +70,7 @@ def validity(entries: DataFrame) -> DataFrame:
     return (
         turns.withColumn("valid_to", F.lead("at").over(by))
         .where("NOT removed")
-        .select("list", "effect", F.lower("pattern").alias("pattern"), F.col("at").alias("valid_from"), "valid_to")
+        .select("list", "effect", "pattern", F.col("at").alias("valid_from"), "valid_to")
     )
 
 
@@ -80,7 +85,9 @@ def evaluate(captures: DataFrame, entries: DataFrame, url: str = "url", fetched:
     captures = captures.drop(*new)
     asked = captures.select(F.col(url).alias("_url"), F.col(fetched).cast("date").alias("_day")).dropna().distinct()
     month = lambda c: F.trunc(c, "month")
-    probes = asked.select("_url", "_day", month("_day").alias("month"), F.explode(patterns("_url")).alias("p")).select("_url", "_day", "month", "p.pattern", "p.rank")
+    # No URL has to be asked for more path segments than the longest entry has.
+    longest = entries.agg(F.max(F.size(F.split("pattern", "/")) - 1)).first()[0] or 0
+    probes = asked.select("_url", "_day", month("_day").alias("month"), F.explode(patterns("_url", longest)).alias("p")).select("_url", "_day", "month", "p.pattern", "p.rank")
 
     # Open intervals reach to the last fetch.
     last = F.lit(asked.agg(F.max("_day")).first()[0]).cast("date")
@@ -113,7 +120,7 @@ def page_captures(pages: DataFrame) -> DataFrame:
 
 def page_entries(pages: DataFrame) -> DataFrame:
     """Dated entries for a part of the hosts, domains and leading paths of the pages."""
-    every = pages.select(F.explode(patterns("url")).alias("p")).select("p.pattern").distinct()
+    every = pages.select(F.explode(patterns("url", SEGMENTS)).alias("p")).select("p.pattern").distinct()
     p = F.col("pattern")
     first = _hex(p, 3, 3) % 400
     start = F.lit("2023-01-01").cast("date")

@@ -301,3 +301,18 @@ def test_url_lists(spark):
     assert sorted((r.page_id, r.verdict) for r in got) == sorted((i, v) for i, _, _, v in captures)
     assert url_lists.evaluate(c.limit(0), e).collect() == []
     assert {r.verdict for r in url_lists.evaluate(c, e.limit(0)).collect()} == {"unlisted"}
+
+
+def test_url_lists_with_deep_paths_and_capitals(spark):
+    entries = [
+        ("spam", "block", "a.org/x/y/z/w", "add", "2024-01-01"),
+        ("spam", "block", "B.org/Top/Page", "add", "2024-01-01"),
+        ("spam", "block", "C.org", "add", "2024-01-01"),
+        ("spam", "block", "c.org", "remove", "2024-02-01"),
+    ]
+    e = spark.createDataFrame(entries, "list string, effect string, pattern string, action string, at string")
+    urls = ["http://A.org/x/y/z/w/v", "http://a.org/x/y/z", "http://b.org/Top/Page", "http://b.org/top/page", "http://c.org/"]
+    c = spark.createDataFrame([(u, "2024-03-01") for u in urls], "url string, fetched string")
+    got = {r.url: (r.verdict, r.pattern) for r in url_lists.evaluate(c, e).collect()}
+    none = ("unlisted", None)
+    assert [got[u] for u in urls] == [("block", "a.org/x/y/z/w"), none, ("block", "b.org/Top/Page"), none, none]
