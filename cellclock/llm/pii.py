@@ -5,8 +5,8 @@ and check digit must be right, other long numbers stay), social security numbers
 (keys and tokens) and names after a title. Every distinct entity gets one surrogate made
 from a keyed hash, so mentions of one entity keep referring to one entity, across
 documents and spellings. Surrogates keep type and format: digits stay digits, letters stay
-letters of their script and case, cards keep issuer and valid check digit, given names
-keep the gender of their title. No two entities share a surrogate and none is an entity
+letters of their script and case (Latin ones where the script has no alphabet here),
+cards keep issuer and valid check digit, given names keep the gender of their title. No two entities share a surrogate and none is an entity
 of the corpus: clashes are tried again with the next hash until there are none.
 """
 
@@ -55,7 +55,7 @@ SECRET = (
 NAME = rf"(?<![\p{{L}}\p{{N}}])(?i:{_TITLE})\.? (?:\p{{Lu}}\p{{Ll}}++|\p{{Lu}}{{2,}}+)(?: (?:\p{{Lu}}\p{{Ll}}++|\p{{Lu}}{{2,}}+)(?!\p{{L}}))?"
 ANY = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, CARD, PHONE, SSN, IP, NAME))
 # What a text must hold to be looked at closely.
-GATE = rf"[0-9@]|(?<![\p{{L}}\p{{N}}])(?i:{_TITLE})\.? \p{{Lu}}|(?i:token|secret|password|passwd|key)[\"']?\s{{0,2}}[:=]"
+GATE = rf"[0-9@]|AKIA|(?<![\p{{L}}\p{{N}}])(?i:{_TITLE})\.? \p{{Lu}}|(?i:token|secret|password|passwd|key)[\"']?\s{{0,2}}[:=]"
 CARD_PREFIX = "^(?:4|5[1-5]|2(?:22[1-9]|2[3-9]|[3-6]|7[01]|720)|3[47]|6(?:011|5|4[4-9]))"
 
 ROUNDS = 24
@@ -125,7 +125,8 @@ def _pick(alphabet: str, n: Column) -> Column:
 
 
 def _alike(s: Column, h: Column) -> Column:
-    """Every digit and letter replaced by one of its script and case; the rest kept."""
+    """Every digit and letter replaced by one of its script and case, those of scripts
+    without an alphabet here by Latin letters and ASCII digits; the rest kept."""
 
     def one(i):
         c, n = F.substring(s, i, F.lit(1)), _byte(h, i)
@@ -139,6 +140,8 @@ def _alike(s: Column, h: Column) -> Column:
             .when(c.rlike(r"[\p{IsCyrillic}&&\p{Lu}]"), _pick("АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ", n))
             .when(c.rlike(r"[\p{IsGreek}&&\p{Ll}]"), _pick("αβγδεζηθικλμνξοπρστυφχψω", n))
             .when(c.rlike(r"[\p{IsGreek}&&\p{Lu}]"), _pick("ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ", n))
+            .when(c.rlike(r"\p{L}"), _pick("abcdefghijklmnopqrstuvwxyz", n))
+            .when(c.rlike(r"\p{N}"), _pick("0123456789", n))
             .otherwise(c)
         )
 
@@ -178,7 +181,9 @@ def surrogate(entity: Column, key: str, attempt: Column) -> Column:
     domain = F.substring_index(s, "@", -1)
     hosts = F.regexp_replace(domain, r"\.[^.]*$", "")
     host_hash = F.sha2(F.concat(F.lit(key), F.lit("\x1fdomain\x1f"), domain), 512)
-    email = F.concat(_alike(F.substring_index(s, "@", 1), h), F.lit("@"), _alike(hosts, host_hash), F.lit(".example"))
+    # As with names, later attempts are longer, so that short local parts do not run out.
+    longer = F.when(attempt < 4, F.lit("")).otherwise(_alike(F.repeat(F.lit("a"), F.floor(attempt / 4).cast("int")), F.reverse(h)))
+    email = F.concat(_alike(F.substring_index(s, "@", 1), h), longer, F.lit("@"), _alike(hosts, host_hash), F.lit(".example"))
     ip = F.concat_ws(".", (_byte(h, F.lit(0)) % 223 + 1).cast("string"), *[_byte(h, F.lit(i)).cast("string") for i in (1, 2)], (_byte(h, F.lit(3)) % 254 + 1).cast("string"))
     # A phone number keeps its country code, or the digits that stand for one.
     lead = F.greatest(F.length(s) - 10, F.lit(0))

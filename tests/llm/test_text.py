@@ -316,3 +316,16 @@ def test_url_lists_with_deep_paths_and_capitals(spark):
     got = {r.url: (r.verdict, r.pattern) for r in url_lists.evaluate(c, e).collect()}
     none = ("unlisted", None)
     assert [got[u] for u in urls] == [("block", "a.org/x/y/z/w"), none, ("block", "b.org/Top/Page"), none, none]
+
+
+def test_addresses_of_all_scripts_and_hot_domains(make):
+    mails = ["王小明@例子.公司", "王小明@例子.中国", "홍길동@예시.한국", "דוד@דוגמה.ישראל"]
+    mails += [f"{c}@mail.com" for c in "abcdefghijklmnopqrstuvwxyz"]
+    secret = "AKIA" + "ABCDEFGHIJKLMNOP"
+    docs = make([(i, f"to {m} now") for i, m in enumerate(mails)] + [(99, f"id {secret} end")])
+    got = {r.doc_id: r.text for r in pii.replace_entities(docs, "k").collect()}
+    new = [got[i].split()[1] for i in range(len(mails))]
+    assert len(set(new)) == len(mails) and not set(new) & set(mails)
+    assert all(not set(m.split("@")[0]) & set(n) for m, n in zip(mails[:4], new[:4]))
+    assert all(n.isascii() and n.endswith(".example") for n in new[:4])
+    assert secret not in got[99]
