@@ -61,7 +61,8 @@ def trigrams(data: bytes):
 
 def language_counts(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
     """(lang, bucket, n): trigram counts of all texts with a language code."""
-    usable = docs.select(F.lower(lang).alias("lang"), text).where(F.col("lang").rlike("^[a-z]{2,3}$"))
+    code = F.lower(F.regexp_extract(lang, "^([A-Za-z]{2,3})(?:[-_]|$)", 1))  # pt of pt-BR
+    usable = docs.select(code.alias("lang"), text).where("lang <> ''")
 
     def run(batches):
         import numpy as np

@@ -329,3 +329,9 @@ def test_addresses_of_all_scripts_and_hot_domains(make):
     assert all(not set(m.split("@")[0]) & set(n) for m, n in zip(mails[:4], new[:4]))
     assert all(n.isascii() and n.endswith(".example") for n in new[:4])
     assert secret not in got[99]
+
+
+def test_language_counts_with_regions(spark):
+    texts = [("pt-BR", "abcd"), ("PT", "abcd"), ("zh_CN", "efgh"), ("english", "ijkl"), ("", "mnop"), (None, "qrst")]
+    got = language.language_counts(spark.createDataFrame(texts, "lang string, text string")).groupBy("lang").sum("n").collect()
+    assert {r[0]: r[1] for r in got} == {"pt": 4, "zh": 2}
