@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from cellclock.session import prepare, scratch_path
 
-# Rows handed to Python at a time. Texts can be long, so batches stay short.
+# Rows and bytes handed to Python at a time. Texts can be long, so batches stay short.
 BATCH_ROWS = 500
+BATCH_BYTES = 8 << 20
 
 
 _shipped: set[str] = set()
@@ -37,6 +38,7 @@ def ready(spark: SparkSession) -> SparkSession:
     prepare(spark)
     _ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
@@ -76,6 +78,29 @@ def crc_bucket(doc_id: Column | str, modulus: int) -> Column:
     return F.crc32(F.coalesce(value.cast("string"), F.lit("")).cast("binary")) % modulus
 
 
+class Recent:
+    """A bounded table of what was seen lately, in two generations.
+
+    When the younger one is full it becomes the older one, and entries that are asked for
+    again move up, so frequent keys stay known however many others pass by."""
+
+    def __init__(self, size: int):
+        self.size, self.new, self.old = size, {}, {}
+
+    def get(self, key):
+        found = self.new.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is not None:
+                self[key] = found
+        return found
+
+    def __setitem__(self, key, value) -> None:
+        if len(self.new) >= self.size:
+            self.old, self.new = self.new, {}
+        self.new[key] = value
+
+
 def string_bytes(column) -> list[bytes]:
     """An Arrow string column as bytes objects; null is empty."""
     import pyarrow as pa

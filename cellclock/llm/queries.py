@@ -111,3 +111,26 @@ def _language(spark, sf_dir):
     from cellclock.llm.language import languages
 
     return languages(table(spark, sf_dir, "pages"), table(spark, sf_dir, "documents"))
+
+
+@query("op13_whitening")
+def _whitening(spark, sf_dir):
+    from cellclock.llm.whitening import whitened
+
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_toxicity")
+def _toxicity(spark, sf_dir):
+    from cellclock.llm.toxicity import toxicity_scores
+
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op11_alignment")
+def _alignment(spark, sf_dir):
+    import public_tokenizers
+
+    from cellclock.llm.alignment import alignments
+
+    return alignments(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
