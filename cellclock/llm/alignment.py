@@ -13,16 +13,19 @@ their powers of two, to the number of links. Counts are added up over blocks by
 Scores go back the same way: each posting, joined with the count of its pair, hands it to
 the documents that its bitmaps name.
 
-Neither tokenizer has a token that continues over a space which follows another character,
-so a text falls apart at such spaces into *segments* that are encoded independently, and
-segments seen lately are not encoded again. Both properties are checked on the vocabularies.
+Neither tokenizer has a token that continues over a space which follows a character other
+than white space, so a text falls apart at such spaces into *segments* that are encoded
+independently, and segments seen lately are not encoded again. The vocabularies are
+checked for this property; where one lacks it, whole texts are encoded.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from functools import lru_cache
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,10 +36,15 @@ from cellclock.llm.common import Recent, partitions, written
 BLOCK_DOCS = 1 << 15  # documents of a block at most
 BLOCK_POSTINGS = 2_000_000  # document-pair entries after which a block is closed
 SEGMENTS_KEPT = 150_000
-LONG_SEGMENT = 256  # characters of a segment that is not worth keeping
+NEW_SEGMENTS = 20_000  # segments that are encoded at a time
+LONG_SEGMENT = 64  # characters of a segment that is not worth keeping
 PAIR = 1 << 32  # a pair is A's id times this, plus B's id
 
-_SEGMENT = re.compile(" +[^ ]*")
+# Fixed value: the pattern by which byte-level vocabularies of this kind split a text.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+_RUN = re.compile(r"\s ")
+_CUT = re.compile(r"(?<=\S)(?= +[^ ])")
 
 
 def byte_symbols() -> dict[str, int]:
@@ -52,6 +60,7 @@ class Aligner:
     """Both tokenizers and the table of known segments."""
 
     def __init__(self, definition_a: str, model_b: bytes):
+        import numpy as np
         import sentencepiece
         from tokenizers import Tokenizer
 
@@ -69,15 +78,32 @@ class Aligner:
                 self.bytes_b[i] = bytes([int(piece[3:-1], 16)])
             elif not self.b.is_control(i) and not self.b.is_unknown(i):
                 self.bytes_b[i] = piece.replace("▁", " ").encode()
-        # No token of either may hold a space after another character.
-        probe = "ab  c\n d"
+        self.width_a, self.width_b = (
+            np.array([len(t.get(i, b"")) for i in range(1 + max(t))], np.int64) for t in (self.bytes_a, self.bytes_b)
+        )
+        # What a token's id becomes in a text of groups, inside a list and at its end.
+        self.shown_a = [f"{i}{c}" for i in range(len(self.width_a)) for c in ",|"]
+        self.shown_b = [f"{i}{c}" for i in range(len(self.width_b)) for c in ",;"]
+        self.short = self._short_encoder(json.loads(definition_a)["model"])
+        inside = lambda t: any(not t[:i].decode("utf-8", "replace")[-1].isspace() for i in range(1, len(t)) if t[i] == 32)
+        probe = self.segments_of(" ab  c\n d ef ")
         self.cut = (
-            not any(b" " in t.lstrip(b" ") for t in (*self.bytes_a.values(), *self.bytes_b.values()))
-            and self._ids_a([" " + probe])[0] == sum(self._ids_a([" ab", "  c\n", " d"]), [])
-            and self._ids_b([" " + probe])[0] == sum(self._ids_b([" ab", "  c\n", " d"]), [])
+            not any(map(inside, (*self.bytes_a.values(), *self.bytes_b.values())))
+            and self._ids_a(["".join(probe)])[0] == sum(self._ids_a(probe), [])
+            and self._ids_b(["".join(probe)])[0] == sum(self._ids_b(probe), [])
         )
         self.known = Recent(SEGMENTS_KEPT)
 
+    def _short_encoder(self, model: dict):
+        """The same vocabulary in a library that is quicker with short texts, or None where
+        ids do not ascend with the order of the merges, which that library goes by."""
+        import tiktoken
+
+        made = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        if made != sorted(made) or any(len(self.bytes_a[i]) > 1 for i in self.bytes_a.keys() - set(made)):
+            return None
+        return tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks={t: i for i, t in self.bytes_a.items()}, special_tokens={})
+
     def _ids_a(self, segments: list[str]) -> list[list[int]]:
         return [e.ids for e in self.a.encode_batch_fast(segments, add_special_tokens=False)]
 
@@ -85,42 +111,64 @@ class Aligner:
         # the tokenizer puts the first space itself
         return self.b.encode([s[1:] for s in segments], num_threads=1)
 
+    @staticmethod
+    def segments_of(text: str) -> list[str]:
+        """A text cut before each space that follows no white space; spaces at the end stay
+        with what they follow."""
+        if text[-1] == " " or _RUN.search(text):
+            return _CUT.split(text)
+        first, *words = text.split(" ")
+        return [first, *(" " + w for w in words)] if first else [" " + w for w in words]
+
     def segments(self, text: str) -> list[str]:
         """Pieces of space+text that are encoded on their own."""
-        text = " " + text
-        if not self.cut:
-            return [text]
-        words = text.split(" ")
-        if "" in words[1:]:  # runs of spaces, or one at the end
-            return _SEGMENT.findall(text)
-        return [" " + w for w in words[1:]]
-
-    def _align(self, segment: str, ids_a: list[int], ids_b: list[int]):
-        """(n_a, n_b, n_groups, groups as text, linked pairs), or None where the tokens'
-        bytes are not those of the segment."""
-        data = segment.encode()
-        of_a = [self.bytes_a.get(i, b"") for i in ids_a]
-        of_b = [self.bytes_b.get(i, b"") for i in ids_b]
-        if b"".join(of_a) != data or b"".join(of_b) != data:
-            return None
-        i = j = at = bt = 0  # tokens read, and the bytes they reach to
-        from_a = from_b = 0
-        pairs, groups = [], []
-        while i < len(ids_a) or j < len(ids_b):
-            end_a, end_b = at + len(of_a[i]), bt + len(of_b[j])
-            pairs.append(ids_a[i] * PAIR + ids_b[j])
-            if end_a <= end_b:
-                i, at = i + 1, end_a
-            if end_b <= end_a:
-                j, bt = j + 1, end_b
-            if at == bt:
-                groups.append(",".join(map(str, ids_a[from_a:i])) + "|" + ",".join(map(str, ids_b[from_b:j])))
-                from_a, from_b = i, j
-        return len(ids_a), len(ids_b), len(groups), ";".join(groups).encode(), tuple(pairs)
-
-    def learn(self, segments: list[str]) -> dict:
-        """Alignments of segments that are not known."""
-        return dict(zip(segments, map(self._align, segments, self._ids_a(segments), self._ids_b(segments))))
+        return self.segments_of(" " + text) if self.cut else [" " + text]
+
+    def learn(self, segments: list[str]) -> list[tuple]:
+        """(n_a + n_b * PAIR, groups as text, linked pairs) of each segment; () where the
+        tokens' bytes are not those of the segment.
+
+        Links are the pieces that all ends of both tokenizers cut a segment into: each piece
+        is the overlap of one A and one B token."""
+        import numpy as np
+
+        if self.short is not None:
+            # letters of other scripts are left to the library, whose tables define them
+            short = [len(s) <= LONG_SEGMENT and max(s) < "\u0250" for s in segments]
+            rest = iter(self._ids_a([s for s, own in zip(segments, short) if not own]))
+            of_a = [self.short.encode_ordinary(s) if own else next(rest) for s, own in zip(segments, short)]
+        else:
+            of_a = self._ids_a(segments)
+        of_b = self._ids_b(segments)
+        data = [s.encode() for s in segments]
+        a, b = (np.fromiter(chain.from_iterable(ids), np.int64) for ids in (of_a, of_b))
+        n_a, n_b = (np.fromiter(map(len, ids), np.int64, len(segments)) for ids in (of_a, of_b))
+        ends_a, ends_b = np.cumsum(self.width_a[a]), np.cumsum(self.width_b[b])
+        until = np.cumsum(np.fromiter(map(len, data), np.int64, len(segments)))
+        whole = b"".join(data)
+        good = n_a.all() and n_b.all() and (ends_a[np.cumsum(n_a) - 1] == until).all() and (ends_b[np.cumsum(n_b) - 1] == until).all()
+        if not good or b"".join(map(self.bytes_a.__getitem__, a.tolist())) != whole or b"".join(map(self.bytes_b.__getitem__, b.tolist())) != whole:
+            if len(segments) == 1:
+                return [()]
+            half = len(segments) // 2
+            return self.learn(segments[:half]) + self.learn(segments[half:])
+
+        ends = np.union1d(ends_a, ends_b)
+        pairs = a[np.searchsorted(ends_a, ends)] * PAIR + b[np.searchsorted(ends_b, ends)]
+        pair_until = np.searchsorted(ends, until, "right").tolist()
+        # Tokens in the order in which groups are written, with what follows each.
+        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        group = np.concatenate([2 * np.searchsorted(common, ends_a), 2 * np.searchsorted(common, ends_b) + 1])
+        order = np.argsort(group, kind="stable")
+        last_a, last_b = np.isin(ends_a, common), np.isin(ends_b, common)
+        shown = [*map(self.shown_a.__getitem__, (2 * a + last_a).tolist()), *map(self.shown_b.__getitem__, (2 * b + last_b).tolist())]
+        shown = [shown[i] for i in order.tolist()]
+        shown_until = np.cumsum(n_a + n_b).tolist()
+        raw, out, i, j = pairs.astype("<i8").tobytes(), [], 0, 0
+        for counts, p, t in zip((n_a + n_b * PAIR).tolist(), pair_until, shown_until):
+            out.append((counts, "".join(shown[j:t])[:-1].encode(), raw[8 * i : 8 * p]))
+            i, j = p, t
+        return out
 
     def align(self, texts: list[str]) -> list:
         """For each text (n_a, n_b, n_groups, groups, array of linked pairs with repeats),
@@ -130,20 +178,21 @@ class Aligner:
         cut = [self.segments(t) if t else [] for t in texts]
         found = {s: self.known.get(s) for s in set().union(*cut)}
         missing = [s for s, a in found.items() if a is None]
-        for at in range(0, len(missing), 20_000):
-            for s, a in self.learn(missing[at : at + 20_000]).items():
-                found[s] = a = a or False  # False: known to have no alignment
+        for at in range(0, len(missing), NEW_SEGMENTS):
+            some = missing[at : at + NEW_SEGMENTS]
+            for s, a in zip(some, self.learn(some)):
+                found[s] = a
                 if len(s) <= LONG_SEGMENT:
                     self.known[s] = a
         out = []
         for segments in cut:
             parts = [found[s] for s in segments]
-            if not parts or not all(parts):
+            if not parts or () in parts:
                 out.append(None)
                 continue
-            a, b, g, text, pairs = zip(*parts)
-            linked = np.fromiter((p for some in pairs for p in some), np.int64)
-            out.append((sum(a), sum(b), sum(g), b";".join(text), linked))
+            n_b, n_a = divmod(sum([p[0] for p in parts]), PAIR)
+            linked = np.frombuffer(b"".join([p[2] for p in parts]), "<i8")
+            out.append((n_a, n_b, n_a + n_b - len(linked), b";".join([p[1] for p in parts]), linked))
         return out
 
 
