@@ -68,15 +68,18 @@ def passage_codes(texts: list[bytes]):
         at = np.repeat(np.arange(len(pieces)), lengths)
         single = np.bincount(at * 128 + np.minimum(data, 127), minlength=len(pieces) * 128).reshape(-1, 128)
         k = kinds[data]
-        pair = np.bincount(at[1:] * (KINDS * KINDS) + k[:-1] * KINDS + k[1:], minlength=len(pieces) * KINDS * KINDS).reshape(-1, KINDS * KINDS)
+        inside = at[1:] == at[:-1]  # a pair never spans two passages
+        pair = np.bincount((at[1:] * (KINDS * KINDS) + k[:-1] * KINDS + k[1:])[inside], minlength=len(pieces) * KINDS * KINDS).reshape(-1, KINDS * KINDS)
         out[rows, :-4] = np.sqrt(np.concatenate([single, pair], axis=1) / lengths[:, None]) * 2
         # Variety: cells that the hashes of 4- and 8-byte runs fill, and the fullest one.
         mix = data.astype(np.uint32)
         for n, span in enumerate((1, 2, 4)):
             mix = mix * np.uint32(0x9E3779B1)
             mix[span:] += mix[:-span] * np.uint32(0x85EBCA77 + 2 * n)
-            if n:
-                cell = np.bincount(at * CELLS + (mix >> np.uint32(24)), minlength=len(pieces) * CELLS).reshape(-1, CELLS)
+            if n:  # mix covers the 2 * span bytes up to its own, which count inside a passage only
+                back = 2 * span - 1
+                inside = at[back:] == at[: max(len(at) - back, 0)]
+                cell = np.bincount((at * CELLS + (mix >> np.uint32(24)))[back:][inside], minlength=len(pieces) * CELLS).reshape(-1, CELLS)
                 out[rows, 2 * n - 6] = (cell > 0).sum(1) / np.minimum(lengths, CELLS)
                 out[rows, 2 * n - 5] = np.sqrt(cell.max(1) / lengths) * 2
         pieces, rows, size = [], [], 0
@@ -189,7 +192,11 @@ class AttentionModel:
             size += len(t)
             if size >= CHUNK or i == len(texts) - 1:
                 x, bounds = passage_codes(held)
-                out.append(1 / (1 + np.exp(-self.forward(x, bounds[:-1])[0].astype(np.float64))))
+                # One text at a time: matrix products round by their shapes, and equal
+                # texts are to have equal scores whatever stands beside them.
+                one = np.zeros(1, np.int64)
+                logits = [self.forward(x[a:b], one)[0][0] for a, b in zip(bounds[:-1], bounds[1:])]
+                out.append(1 / (1 + np.exp(-np.array(logits, np.float64))))
                 held, size = [], 0
         return np.concatenate(out) if out else np.empty(0)
 
