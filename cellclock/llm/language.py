@@ -33,19 +33,34 @@ SUFFIX_LANG = {
     "no": "no", "nz": "en", "pl": "pl", "pt": "pt", "ro": "ro", "ru": "ru", "se": "sv", "tr": "tr", "ua": "uk", "uk": "en", "us": "en",
 }
 
-_DROPPED = re.compile(r"<(script|style|noscript|template)\b.*?</\1\s*>|<!--.*?-->", re.I | re.S)
+_OPENED = re.compile(r"<(script|style|noscript|template)\b|<!--", re.I)
+_CLOSED = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template")} | {None: re.compile("-->")}
 _TAG = re.compile(r"<[^>]*>")
-_DECLARED = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]{2,3})(?![A-Za-z])", re.I)
+_HTML = re.compile(r"<html\b([^>]*)", re.I)
+_LANG = re.compile(r"\blang\s*=\s*(?:[\"']\s*)?([A-Za-z]{2,3})(?![A-Za-z])", re.I)
 
 
 def visible(html: str) -> str:
-    """The text of a page without markup."""
-    return unescape(_TAG.sub(" ", _DROPPED.sub(" ", html)))
+    """The text of a page without markup, in time linear in its length.
+
+    Scripts, styles and comments that are not closed reach to the end."""
+    kept, at = [], 0
+    while found := _OPENED.search(html, at):
+        kept.append(html[at : found.start()])
+        closed = _CLOSED[found[1] and found[1].lower()].search(html, found.end())
+        at = closed.end() if closed else len(html)
+    kept.append(html[at:])
+    text = " ".join(kept)
+    end = text.rfind(">") + 1  # behind it no tag can end
+    return unescape(_TAG.sub(" ", text[:end]) + text[end:])
 
 
 def declared(html: str) -> str | None:
-    found = _DECLARED.search(html)
-    return found.group(1).lower() if found else None
+    """The language that the first <html> tag with such a statement declares."""
+    for tag in _HTML.finditer(html):
+        if found := _LANG.search(tag[1]):
+            return found[1].lower()
+    return None
 
 
 def trigrams(data: bytes):
