@@ -12,7 +12,12 @@ state loops on every symbol. The gadget of rule (u, v) -> w
 As every arc with the same label leads to the same state, a state is named by the label
 of its incoming arcs. Copies are not written out: a state keeps the few arcs it has lost,
 with the step of the loss, and the state it was copied from; so the whole automaton has
-one entry per merge, and rows of its transition table are filled in when first used.
+one entry per merge, and cells of its transition table are filled in when first used.
+
+A word is read byte by byte by a second table, over all labels: its state is the longest
+end of what was read that begins a label, so it names the labels that end here. Every
+beginning of a word has one path through the merge automaton, so each position keeps one
+arc: the label that may follow the arc kept where it begins. No position is read twice.
 """
 
 from __future__ import annotations
@@ -26,10 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellclock.llm.common import string_bytes
+from cellclock.llm.common import Recent, string_bytes
 
-WORDS_KEPT = 100_000  # entries of the per-process word table before it starts anew
-PIECES_KEPT = 30_000
+WORDS_KEPT = 200_000  # entries of a generation of the per-process word table
+PIECES_KEPT = 60_000
+LONG_WORD = 64  # bytes of a word that is not worth keeping
+CELLS_KEPT = 400_000  # entries of the transition tables before they start anew
 FOREVER = 1 << 60
 START = -1
 
@@ -72,6 +79,7 @@ class MergeAutomaton:
         self.steps: dict[int, int] = {}  # node << 8 | byte -> node of the label trie
         self.inner, self.final = [None], [None]  # label read at a node, inside and at the end of a word
         self.width = [0] * len(self.labels)
+        above = [0]  # node << 8 | byte that leads to a node
         for token, at in vocab.items():
             final = bool(self.suffix) and token.endswith(self.suffix)
             body = token[: -len(self.suffix)] if final else token
@@ -84,10 +92,16 @@ class MergeAutomaton:
                 if node == len(self.inner):
                     self.inner.append(None)
                     self.final.append(None)
+                    above.append(step)
             (self.final if final else self.inner)[node] = at
             self.width[at] = len(body)
         if not self.suffix:
             raise ValueError("the vocabulary marks no word ends")
+        self.above = above
+        self.shorter: dict[int, int] = {0: 0}  # node -> the longest proper end of it that is a node
+        self.reads: dict[int, int] = {}  # filled cells: node << 8 | byte -> node
+        self.ending: dict[int, tuple] = {}  # node -> labels inside a word that end here, longest first
+        self.closing: dict[int, tuple] = {}  # node -> labels at the end of a word that end here
 
     def _gadget(self, step: int, left: int, right: int, token: int) -> None:
         if token in self.born or not self._has_arc(left, right, step - 1):
@@ -117,58 +131,81 @@ class MergeAutomaton:
         key = state << 20 | arc
         known = self.table.get(key)
         if known is None:
+            if len(self.table) >= CELLS_KEPT:
+                self.table.clear()
             known = self.table[key] = self._has_arc(state, arc, FOREVER)
         return known
 
-    def encode_word(self, word: bytes) -> list[int]:
-        """Token ids of one pre-split word.
+    def _shorter(self, node: int) -> int:
+        chain = []
+        while node not in self.shorter:
+            chain.append(node)
+            node = self.above[node] >> 8
+        for node in reversed(chain):
+            parent, byte = self.above[node] >> 8, self.above[node] & 255
+            self.shorter[node] = self._read(self.shorter[parent], byte) if parent else 0
+        return self.shorter[chain[0]] if chain else self.shorter[node]
+
+    def _read(self, node: int, byte: int) -> int:
+        """The node after another byte: the longest end of what was read that is one."""
+        while True:
+            to = self.steps.get(node << 8 | byte)
+            if to is not None:
+                return to
+            if not node:
+                return 0
+            node = self._shorter(node)
+
+    def _arcs(self, node: int, at_end: bool) -> tuple:
+        """(label, width) of the labels that end at ``node``, longest first."""
+        held, labels = (self.closing, self.final) if at_end else (self.ending, self.inner)
+        out, at = [], node
+        while at:
+            if labels[at] is not None:
+                out.append((labels[at], self.width[labels[at]]))
+            at = self._shorter(at)
+        held[node] = tuple(out)
+        return held[node]
 
-        Longer arcs are tried first. A position is reached by one path only, so one that
-        did not lead to the end never has to be tried again, and the walk is linear.
-        """
-        n = len(word)
-        if not n:
+    def encode_word(self, word: bytes) -> list[int]:
+        """Token ids of one pre-split word, by one pass over its bytes."""
+        last = len(word)
+        if not last:
             return []
-        table, width = self.table, self.width
-        path, at, here = [], 0, START
-        open_arcs, dead = [self._arcs(word, 0)], set()
-        while True:
-            arcs = open_arcs[-1]
-            while arcs:
-                arc = arcs.pop()
-                end = at + width[arc]
-                if end in dead:
+        reads, table, follows = self.reads, self.table, self.follows
+        arcs, node, held = [START], 0, self.ending
+        if len(reads) >= CELLS_KEPT:
+            reads.clear()
+        for at, byte in enumerate(word, 1):
+            cell = node << 8 | byte
+            to = reads.get(cell)
+            if to is None:
+                to = reads[cell] = self._read(node, byte)
+            node = to
+            if at == last:
+                held = self.closing
+            found = held.get(node)
+            if found is None:
+                found = self._arcs(node, at == last)
+            for arc, width in found:
+                before = arcs[at - width]
+                if before is None:
                     continue
-                if here != START:
-                    ok = table.get(here << 20 | arc)
-                    if not (self.follows(here, arc) if ok is None else ok):
+                if before != START:
+                    known = table.get(before << 20 | arc)
+                    if not (follows(before, arc) if known is None else known):
                         continue
-                path.append(arc)
-                if end == n:
-                    return path
-                at, here = end, arc
-                open_arcs.append(self._arcs(word, at))
+                arcs.append(arc)
                 break
             else:
-                if not path:
-                    raise ValueError(f"no path for {word!r}")
-                dead.add(at)
-                open_arcs.pop()
-                at -= width[path.pop()]
-                here = path[-1] if path else START
-
-    def _arcs(self, word: bytes, at: int) -> list[int]:
-        """Arcs that read ``word`` from ``at`` on, short ones first."""
-        node, out, steps, inner, n = 0, [], self.steps, self.inner, len(word)
-        while at < n:
-            node = steps.get(node << 8 | word[at])
-            if node is None:
-                return out
-            at += 1
-            arc = inner[node] if at < n else self.final[node]
-            if arc is not None:
-                out.append(arc)
-        return out
+                arcs.append(None)
+        if arcs[last] is None:
+            raise ValueError(f"no path for {word!r}")
+        path = []
+        while last:
+            path.append(arcs[last])
+            last -= self.width[arcs[last]]
+        return path[::-1]
 
     def decode(self, ids) -> str:
         """The labels of the arcs with these ids, blank between them, as the file names no decoder."""
@@ -202,15 +239,24 @@ class WordSplitter:
 
 
 class Codec:
-    """Texts to ids and back, with a table of words already seen."""
+    """Texts to ids and back, with a table of the words seen lately."""
 
     def __init__(self, definition: str):
         self.automaton = MergeAutomaton(definition)
         self.splitter = WordSplitter(definition)
-        self.words: dict[bytes, bytes] = {}
-        self.pieces: dict[bytes, array] = {}
-
-    def _word(self, word: bytes) -> bytes:
+        self.special = [t.encode() for t in self.automaton.special]
+        self.new, self.old = {}, {}  # word -> ids, in two generations
+        self.pieces = Recent(PIECES_KEPT)
+        # What the vocabulary does anyway, and what makes fewer words to know: ASCII in
+        # lower case, and a last stop or comma as a word of its own.
+        upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+        self.lower = self.splitter.normalizer.normalize_str(upper) == upper.lower()
+        self.stops = all(self.splitter.split(f"ab{a}{b}") == [*self.splitter.split(f"ab{a}"), b.encode()] for a in "z9" for b in ".,")
+
+    def _ids(self, word: bytes) -> bytes:
+        """Ids of a word that is not known."""
+        if self.stops and len(word) > 1 and word[-1] in b".," and word[-2:-1].isalnum():
+            return self._known(word[:-1]) + self._known(word[-1:])
         ids = array("I")
         text = word.decode("utf-8", "replace")
         special = self.automaton.special
@@ -223,26 +269,34 @@ class Codec:
                 known = self.pieces.get(piece)
                 if known is None:
                     known = array("I", self.automaton.encode_word(piece))
-                    if len(self.pieces) >= PIECES_KEPT:
-                        self.pieces.clear()
-                    self.pieces[piece] = known
+                    if len(piece) <= LONG_WORD:
+                        self.pieces[piece] = known
                 ids.extend(known)
         return ids.tobytes()
 
+    def _known(self, word: bytes) -> bytes:
+        ids = self.new.get(word)
+        if ids is None:
+            ids = self.old.get(word)
+            if ids is None:
+                ids = self._ids(word)
+                if len(word) > LONG_WORD:
+                    return ids
+            if len(self.new) >= WORDS_KEPT:
+                self.old, self.new = self.new, {}
+            self.new[word] = ids
+        return ids
+
     def encode(self, text: bytes) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
+        if self.lower and not any(t in text for t in self.special):
+            text = text.lower()
         words = text.split()
-        table = self.words
+        table = self.new
         try:
             return b"".join([table[w] for w in words])
         except KeyError:
-            pass
-        if len(table) >= WORDS_KEPT:
-            table.clear()
-        for w in words:
-            if w not in table:
-                table[w] = self._word(w)
-        return b"".join([table[w] for w in words])
+            return b"".join(map(self._known, words))
 
     def decode(self, ids: bytes) -> str:
         import numpy as np
@@ -307,9 +361,32 @@ def decode(tokens: DataFrame, path: str, ids: str = "ids", decoded: str = "decod
     return tokens.mapInArrow(run, schema)
 
 
+def encode_decode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded", keep_text: bool = True) -> DataFrame:
+    """``encode`` and ``decode`` in one pass over the rows; without ``keep_text`` the text
+    does not come back from the Python workers."""
+    docs = docs.drop(ids, "n_tokens", decoded)
+    definition = docs.sparkSession.sparkContext.broadcast(read_definition(path))
+    kept = [i for i, f in enumerate(docs.schema.fields) if keep_text or f.name != text]
+    added = [T.StructField(ids, T.BinaryType()), T.StructField("n_tokens", T.LongType()), T.StructField(decoded, T.StringType())]
+    schema = T.StructType([*(docs.schema.fields[i] for i in kept), *added])
+    at = docs.columns.index(text)
+
+    def run(batches):
+        import pyarrow as pa
+
+        codec = _codec(definition.value)
+        for batch in batches:
+            out = [codec.encode(t) for t in string_bytes(batch.column(at))]
+            columns = [batch.column(i) for i in kept]
+            columns += [pa.array(out, pa.binary()), pa.array([len(o) // 4 for o in out], pa.int64()), pa.array(map(codec.decode, out), pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
 def token_digests(docs: DataFrame, path: str) -> DataFrame:
     """Encode and decode every text; one row of digests per document."""
-    coded = decode(encode(docs.select("doc_id", "text"), path).drop("text"), path)
+    coded = encode_decode(docs.select("doc_id", "text"), path, keep_text=False)
     return coded.select(
         "doc_id",
         "n_tokens",
