@@ -398,7 +398,9 @@ def returned(postings: DataFrame, counts: DataFrame) -> DataFrame:
     The count of a pair goes to the documents of its postings: n_best adds up the links of
     pairs that are best, count_sum the counts of all links. Tasks stream over the postings
     of one block after the other and hold two numbers for each of its documents."""
-    scored = postings.select("pair", "block", "planes").join(counts.select("pair", F.col("n_docs").alias("count"), "best"), "pair")
+    # Counts are as many as pairs, which has no bound worth sending to all tasks: both sides
+    # are shuffled at every size.
+    scored = postings.select("pair", "block", "planes").join(counts.select("pair", F.col("n_docs").alias("count"), "best").hint("merge"), "pair")
     ordered = scored.repartition(partitions(postings.sparkSession), "block").sortWithinPartitions("block").select("block", "count", "best", "planes")
 
     def run(batches):
