@@ -83,9 +83,11 @@ def grid_time_lookup(
     ts: str = "ts",
 ) -> DataFrame:
     """Values of ``bands`` at the strike's cell, 1..6 scenes before its slot, as
-    ``BAND_t-k`` columns, time-major. Absent scenes and cells are NULL."""
-    scenes = bands_to_columns(pixels.withColumnRenamed("ts", ts) if ts != "ts" else pixels, bands, [ts, *CELL])
-    return attach_offsets(strikes, scenes, bands, [-k for k in steps_back], lag_name, step, ts)
+    ``BAND_t-k`` columns, time-major. Absent scenes and cells are NULL. The pixel table
+    is pruned by the requests before anything else happens to it."""
+    from cellclock.operators.assembly import assemble, scenes
+
+    return assemble(strikes, [scenes(pixels, bands, [-k for k in steps_back])], ts, step)
 
 
 def horizon_label_join(

@@ -4,32 +4,55 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cellclock.names import HORIZONS, lag_name
-from cellclock.operators import histograms, lookups, metrics, profile, reshape, sampling
+from cellclock.names import FULL, HISTORY, HORIZONS, lag_name, q
+from cellclock.operators import assembly, histograms, metrics, profile, reshape, sampling
 from cellclock.functions import losses, scaling
-from cellclock.names import HISTORY, q
 from cellclock.plans import fixtures as fx
 from cellclock.plans.profiles_queries import rounded, windows_sql
 from cellclock.plans.registry import query
 
-_ASSEMBLY_SQL = f"""SELECT s.event_id AS event_id,
-  {", ".join(f'max(p.value) FILTER (p.band = {chr(39)}click{chr(39)} AND p.ts = s.t10 - INTERVAL ({k} * 10) MINUTE) AS "{lag_name("click", -k)}"' for k in range(1, 7))},
-  {", ".join(f"coalesce(max(p.value) FILTER (p.band = 'error' AND p.ts = s.t10 + INTERVAL ({k} * 10) MINUTE), 0.0) AS lightning_{k}" for k in range(HORIZONS))}
-  FROM strikes s LEFT JOIN px10 p ON p."row" = s."row" AND p.col = s.col AND p.ts BETWEEN s.t10 - INTERVAL 60 MINUTE AND s.t10 + INTERVAL 50 MINUTE
-  GROUP BY s.event_id"""
+# Five bands of six scenes, two hourly variables, the NDVI raster of every offset, the
+# static value and six labels. Each source is aggregated to its strikes on its own.
+_HOURLY = [(v, k) for v in ("VAL", "KEY") for k in FULL]
+_ASSEMBLY_SQL = f"""SELECT s.event_id AS event_id, {", ".join(f'a."{lag_name(b, k)}"' for k in HISTORY for b in fx.EVENT_TYPES)},
+  {", ".join(f'h."{lag_name(v, k)}"' for v, k in _HOURLY)}, {", ".join(f'r."{lag_name("NDVI", k)}"' for k in FULL)},
+  v.value AS Dem_value, {", ".join(f"a.lightning_{k}" for k in range(HORIZONS))}
+  FROM strikes s LEFT JOIN static v ON v."row" = s.crow AND v.col = s.ccol
+  JOIN (SELECT s.event_id,
+      {", ".join(f'max(p.value) FILTER (p.band = {chr(39)}{b}{chr(39)} AND p.ts = s.t10 + INTERVAL ({k} * 10) MINUTE) AS "{lag_name(b, k)}"' for k in HISTORY for b in fx.EVENT_TYPES)},
+      {", ".join(f"coalesce(max(p.value) FILTER (p.band = 'error' AND p.ts = s.t10 + INTERVAL ({k} * 10) MINUTE), 0.0) AS lightning_{k}" for k in range(HORIZONS))}
+    FROM strikes s LEFT JOIN px10 p ON p."row" = s."row" AND p.col = s.col AND p.ts BETWEEN s.t10 - INTERVAL 60 MINUTE AND s.t10 + INTERVAL 50 MINUTE
+    GROUP BY s.event_id) a USING (event_id)
+  JOIN (SELECT s.event_id, {", ".join(f'max(h.{v}) FILTER (h.ts = date_trunc({chr(39)}hour{chr(39)}, s.t10 + INTERVAL ({k} * 10) MINUTE)) AS "{lag_name(v, k)}"' for v, k in _HOURLY)}
+    FROM strikes s LEFT JOIN px_hour h ON h."row" = s.crow AND h.col = s.ccol AND h.ts BETWEEN s.t10 - INTERVAL 2 HOUR AND s.t10 + INTERVAL 2 HOUR
+    GROUP BY s.event_id) h USING (event_id)
+  JOIN (SELECT m.event_id, {", ".join(f'max(p.value) FILTER (m.k = {k}) AS "{lag_name("NDVI", k)}"' for k in FULL)}
+    FROM (SELECT q.*, coalesce(d.date, (SELECT min(date) FROM px_day)) AS date
+      FROM (SELECT event_id, crow, ccol, r.k AS k, CAST(t10 + r.k * INTERVAL 10 MINUTE AS DATE) AS day FROM strikes, range(-6, 6) r(k)) q
+      ASOF LEFT JOIN (SELECT DISTINCT date FROM px_day) d ON q.day >= d.date) m
+    LEFT JOIN px_day p ON p.date = m.date AND p."row" = m.crow AND p.col = m.ccol GROUP BY m.event_id) r USING (event_id)"""
 
 
-@query("dataset_assembly", views="strikes px10", oracle=_ASSEMBLY_SQL)
+@query("dataset_assembly", views="strikes px10 px_hour px_day static", oracle=_ASSEMBLY_SQL)
 def dataset_assembly(spark, sf_dir):
-    """Round to the clock, look up the scenes before, label the horizons after."""
-    s = fx.strikes(spark, sf_dir).select("event_id", F.col("t10").alias("ts"), "row", "col")
+    """Round to the clock; look up scenes, hours, rasters and the static grid; label the horizons."""
+    s = fx.strikes(spark, sf_dir).select("event_id", F.col("t10").alias("ts"), "row", "col", "crow", "ccol")
+    coarse = ("crow", "ccol")
     px = fx.px10(spark, sf_dir)
-    lagged = lookups.grid_time_lookup(s, px, ["click"])
-    amounts = px.where("band = 'error'").select("ts", "row", "col", F.col("value").alias("amount"))
-    return lookups.horizon_label_join(lagged, amounts).drop("ts", "row", "col")
+    out = assembly.assemble(
+        s,
+        [
+            assembly.scenes(px, fx.EVENT_TYPES),
+            assembly.hours(fx.px_hour(spark, sf_dir), ["VAL", "KEY"], cell=coarse),
+            assembly.rasters(fx.px_day(spark, sf_dir), "NDVI", FULL, cell=coarse),
+            assembly.static(fx.static(spark, sf_dir), cell=coarse),
+            assembly.labels(px, "error"),
+        ],
+    )
+    return out.drop("ts", "row", "col", "crow", "ccol")
 
 
-@query("assembled_class_balance", views="strikes px10",
+@query("assembled_class_balance", views="strikes px10 px_hour px_day static",
        oracle=f"WITH a AS ({_ASSEMBLY_SQL}) " + " UNION ALL ".join(
            f"SELECT {i} AS horizon, count(*) FILTER (lightning_{i} = 0) AS negatives, count(*) FILTER (lightning_{i} > 0) AS positives FROM a"
            for i in range(HORIZONS)))
