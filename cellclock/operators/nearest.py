@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from cellclock.grid import Grid
 from cellclock.names import q
 from cellclock.operators.keyed import lookup
+from cellclock.operators.pyramid import nearest_pairs
 from cellclock.session import cut
 
 MAX_RADIUS = 200  # fixed value: cells searched around a strike
@@ -127,22 +128,14 @@ def nearest_cloud_cell(
     return lookup(df, found, keys)
 
 
-# ---- pairs of nearby cells ---------------------------------------------------
+# ---- nearest points of cells ------------------------------------------------------
 
 
-def near_pairs(left: DataFrame, right: DataFrame, reach: int) -> DataFrame:
-    """Pairs of cells (row, col) and (_r, _c) at most ``reach`` apart in both axes.
-    ``right`` is copied to the 3 x 3 tiles around it and meets ``left`` by tile."""
-
-    def tile_of(c: str) -> Column:
-        return F.floor(F.col(c) / reach).cast("long")
-
-    around = F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))
-    spread = right.withColumn("_tr", around).withColumn("_tr", tile_of("_r") + F.col("_tr"))
-    spread = spread.withColumn("_tc", around).withColumn("_tc", tile_of("_c") + F.col("_tc"))
-    placed = left.withColumns({"_tr": tile_of("row"), "_tc": tile_of("col")})
-    close = (F.abs(F.col("row") - F.col("_r")) <= reach) & (F.abs(F.col("col") - F.col("_c")) <= reach)
-    return placed.join(spread, ["_tr", "_tc"]).where(close).drop("_tr", "_tc")
+def _positions(points: DataFrame, y: Column, x: Column, payload: Column) -> DataFrame:
+    """Distinct positions with the smallest payload; a crowded place is one row by then."""
+    placed = points.select(y.cast("double").alias("_y"), x.cast("double").alias("_x"), payload.alias("_p"))
+    placed = placed.where(F.col("_y").isNotNull() & F.col("_x").isNotNull() & ~F.isnan("_y") & ~F.isnan("_x"))
+    return placed.groupBy("_y", "_x").agg(F.min("_p").alias("_p"), F.lit(1).cast("long").alias("_n"))
 
 
 def nearest_regrid(
@@ -157,66 +150,26 @@ def nearest_regrid(
     ``max_radius`` cells the value is ``fill``; without a radius the search goes on
     until every cell is served.
 
-    Cells and occupied bins, both bounded by the area, decide which bins can hold a
-    cell's nearest point; points only propose themselves to those cells, and the
-    proposals are reduced by a partial aggregate before the shuffle, so a bin with
-    a third of all points costs map-side work only. The searched square doubles
-    until no point outside it could win.
+    Points at one place are one position; cells find their candidates in a pyramid of
+    tiles, where a crowded bin is split only towards the cells that may want it.
     """
     spark = points.sparkSession
-    row, col = grid.cell("lon", "lat")
-    located = points.select(
-        row.alias("_r"),
-        col.alias("_c"),
-        ((F.lit(grid.lat0) - F.col("lat")) / F.lit(grid.dy)).alias("_y"),
-        ((F.col("lon") - F.lit(grid.lon0)) / F.lit(grid.dx)).alias("_x"),
-        q(tie).alias("_tie"),
-        F.col("value").cast("double").alias("_v"),
-    )
+    y = (F.lit(grid.lat0) - F.col("lat")) / F.lit(grid.dy)
+    x = (F.col("lon") - F.lit(grid.lon0)) / F.lit(grid.dx)
+    places = cut(_positions(points, y, x, F.struct(q(tie).alias("tie"), F.col("value").cast("double").alias("v"))))
     cells = spark.range(grid.height * grid.width).select(
         F.floor(F.col("id") / grid.width).cast("int").alias("row"),
         F.pmod("id", F.lit(grid.width)).cast("int").alias("col"),
     )
-    bins = cut(located.select("_r", "_c").distinct())
-    low_r, high_r, low_c, high_c = bins.agg(F.min("_r"), F.max("_r"), F.min("_c"), F.max("_c")).first()
-    if low_r is None:
-        return cells.withColumn("value", F.lit(fill).cast("double"))
-    # No cell is further from a point than this.
-    span = max(high_r, grid.height) - min(low_r, 0) + max(high_c, grid.width) - min(low_c, 0)
-    limit = span if max_radius is None else min(span, int(max_radius) + 1)
-
-    def gap(cell: str, bin_: str, nearest: bool) -> Column:
-        """Distance along one axis from a cell centre to the near or far side of a bin."""
-        d = F.abs(F.col(cell) - F.col(bin_)).cast("double")
-        return F.greatest(d - 0.5, F.lit(0.0)) if nearest else d + 0.5
-
-    done, open_cells, reach = [], cells, 1
-    while True:
-        reach = min(reach, limit)
-        pairs = near_pairs(open_cells, bins, reach)
-        near2 = F.pow(gap("row", "_r", True), F.lit(2)) + F.pow(gap("col", "_c", True), F.lit(2))
-        far2 = F.pow(gap("row", "_r", False), F.lit(2)) + F.pow(gap("col", "_c", False), F.lit(2))
-        pairs = pairs.withColumns({"_near2": near2, "_far2": far2})
-        enough = pairs.groupBy("row", "col").agg(F.min("_far2").alias("_enough"))
-        wanted = pairs.join(enough, ["row", "col"]).where(F.col("_near2") <= F.col("_enough"))
-        proposals = located.join(wanted.select("row", "col", "_r", "_c"), ["_r", "_c"])
-        ey, ex = F.col("_y") - (F.col("row") + 0.5), F.col("_x") - (F.col("col") + 0.5)
-        best = proposals.groupBy("row", "col").agg(
-            F.min(F.struct((ey * ey + ex * ex).alias("d2"), F.col("_tie").alias("tie"), F.col("_v").alias("v"))).alias("_b")
-        )
-        # A point outside the square is at least reach + 0.5 from the centre.
-        sure = F.lit(reach >= limit) | F.coalesce(F.col("_b.d2") < (reach + 0.5) ** 2, F.lit(False))
-        state = cut(open_cells.join(best, ["row", "col"], "left").withColumn("_sure", sure))
-        done.append(state.where("_sure").select("row", "col", "_b"))
-        open_cells = state.where("NOT _sure").select("row", "col")
-        if reach >= limit or open_cells.isEmpty():
-            break
-        reach *= 2
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
+    centres = cells.select((F.col("row") + 0.5).alias("_y"), (F.col("col") + 0.5).alias("_x"))
+    near = nearest_pairs(centres, places, 1, max_radius)
+    ey, ex = F.col("_y") - F.col("_ty"), F.col("_x") - F.col("_tx")
+    best = near.join(places, ["_y", "_x"]).groupBy("_ty", "_tx").agg(
+        F.min(F.struct((ey * ey + ex * ex).alias("d2"), F.col("_p.tie").alias("tie"), F.col("_p.v").alias("v"))).alias("_b")
+    )
     value = F.col("_b.v") if max_radius is None else F.when(F.col("_b.d2") <= max_radius**2, F.col("_b.v"))
-    return out.select("row", "col", F.coalesce(value, F.lit(fill).cast("double")).alias("value"))
+    named = best.select((F.col("_ty") - 0.5).cast("int").alias("row"), (F.col("_tx") - 0.5).cast("int").alias("col"), value.alias("_v"))
+    return cells.join(named, ["row", "col"], "left").select("row", "col", F.coalesce("_v", F.lit(fill).cast("double")).alias("value"))
 
 
 def nearest_neighbours(
@@ -228,42 +181,25 @@ def nearest_neighbours(
 
     All points of a cell see the same distances, so the search runs per occupied
     cell and for k+1 candidates (one may be the point itself); of a crowded cell
-    only its k+1 lowest keys can be candidates. That rank filter is applied before
-    the shuffle, so a hot cell never travels.
+    only its k+1 lowest keys can be candidates, a rank filter that is applied before
+    the shuffle, so a hot cell never travels. Cells find the cells that can hold their
+    k+1 candidates in a pyramid of tiles.
     """
     need = k + 1
     first = F.row_number().over(Window.partitionBy("row", "col").orderBy(key))
-    reps = points.select("row", "col", key, *[q(c) for c in columns]).withColumn("_rn", first).where(F.col("_rn") <= need)
-    reps = cut(reps.drop("_rn"))
-    cells = reps.select("row", "col").distinct()
-    bounds = cells.agg(F.min("row"), F.max("row"), F.min("col"), F.max("col")).first()
-    if bounds[0] is None:
-        entry = F.struct(F.lit(0).cast("long").alias("d2"), q(key).alias("key"), *[q(c).alias(c) for c in columns])
-        return points.withColumn("neighbours", F.when(F.lit(False), F.array(entry)))
-    limit = max(bounds[1] - bounds[0], bounds[3] - bounds[2], 1)
+    reps = points.select("row", "col", key, *[q(c) for c in columns]).where("row IS NOT NULL AND col IS NOT NULL")
+    reps = cut(reps.withColumn("_rn", first).where(F.col("_rn") <= need).drop("_rn"))
+    cells = cut(reps.groupBy(F.col("row").cast("double").alias("_y"), F.col("col").cast("double").alias("_x")).agg(F.count("*").alias("_n")))
+    near = nearest_pairs(cells.select("_y", "_x"), cells, need)
+    near = near.select(*[F.col(c).cast(t).alias(n) for c, n, t in (("_ty", "row", reps.schema["row"].dataType), ("_tx", "col", reps.schema["col"].dataType), ("_y", "_r", "long"), ("_x", "_c", "long"))])
+    dr, dc = F.col("row") - F.col("_r"), F.col("col") - F.col("_c")
     candidates = reps.select(
-        F.col("row").alias("_r"), F.col("col").alias("_c"), F.struct(q(key).alias("key"), *[q(c).alias(c) for c in columns]).alias("_p")
+        F.col("row").cast("long").alias("_r"), F.col("col").cast("long").alias("_c"), F.struct(q(key).alias("key"), *[q(c).alias(c) for c in columns]).alias("_p")
     )
-    done, open_cells, reach = [], cells, 1
-    while True:
-        reach = min(reach, limit)
-        dr, dc = F.col("row") - F.col("_r"), F.col("col") - F.col("_c")
-        pairs = near_pairs(open_cells, candidates, reach).withColumn("_d2", (dr * dr + dc * dc).cast("long"))
-        rank = F.row_number().over(Window.partitionBy("row", "col").orderBy("_d2", "_p.key"))
-        top = pairs.withColumn("_rn", rank).where(F.col("_rn") <= need)
-        entry = F.struct(F.col("_d2").alias("d2"), F.col("_p.key").alias("key"), *[F.col("_p").getField(c).alias(c) for c in columns])
-        lists = top.groupBy("row", "col").agg(
-            F.array_sort(F.collect_list(entry)).alias("_list"), F.max("_d2").alias("_far2"), F.count(F.lit(1)).alias("_n")
-        )
-        sure = F.lit(reach >= limit) | ((F.col("_n") == need) & (F.col("_far2") <= reach * reach))
-        state = cut(lists.withColumn("_sure", sure))
-        done.append(state.where("_sure").select("row", "col", "_list"))
-        open_cells = state.where("NOT _sure").select("row", "col")
-        if reach >= limit or open_cells.isEmpty():
-            break
-        reach *= 2
-    lists = done[0]
-    for more in done[1:]:
-        lists = lists.unionByName(more)
+    found = near.join(candidates, ["_r", "_c"]).withColumn("_d2", (dr * dr + dc * dc).cast("long"))
+    rank = F.row_number().over(Window.partitionBy("row", "col").orderBy("_d2", "_p.key"))
+    entry = F.struct(F.col("_d2").alias("d2"), F.col("_p.key").alias("key"), *[F.col("_p").getField(c).alias(c) for c in columns])
+    top = found.withColumn("_rn", rank).where(F.col("_rn") <= need)
+    lists = top.groupBy("row", "col").agg(F.array_sort(F.collect_list(entry)).alias("_list"))  # k + 1 entries
     others = F.slice(F.filter("_list", lambda n: n["key"] != q(key)), 1, k)
     return points.join(lists, ["row", "col"], "left").withColumn("neighbours", others).drop("_list")
