@@ -333,6 +333,7 @@ def with_views(views: str, body: str) -> str:
                 order.append(need)
     body = body.strip()
     ctes = [_cte(n) for n in order]
-    if body.upper().startswith("WITH "):
-        return "WITH " + ",\n".join(ctes) + ",\n" + body[5:]
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(start):
+            return start + ",\n".join(ctes) + ",\n" + body[len(start) :]
     return "WITH " + ",\n".join(ctes) + "\n" + body

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellclock.grid import Grid
-from cellclock.operators import lookups, nearest, rasters
+from cellclock.operators import lookups, nearest, rasters, triangles
 from cellclock.plans import fixtures as fx
 from cellclock.plans.profiles_queries import rounded
 from cellclock.plans.registry import query
@@ -140,6 +140,44 @@ def nearest_regrid_radius(spark, sf_dir):
     return nearest.nearest_regrid(fx.points(spark, sf_dir), fx.POINT_GRID, max_radius=2.5)
 
 
+# The walk of the operator, as a recursive query over all points: coordinates are relative
+# to the cell's centre, w is how well a triangle holds it.
+def _weight_sql(a, b, c):
+    det = f"(({b}.y - {a}.y) * ({c}.x - {a}.x) - ({b}.x - {a}.x) * ({c}.y - {a}.y))"
+    w2 = f"(-{a}.y * ({c}.x - {a}.x) + {a}.x * ({c}.y - {a}.y)) / nullif({det}, 0)"
+    w3 = f"(-({b}.y - {a}.y) * {a}.x + ({b}.x - {a}.x) * {a}.y) / nullif({det}, 0)"
+    return w2, w3, f"coalesce(least({w2}, {w3}, 1 - {w2} - {w3}), -1e9)"
+
+
+_CORNER = "struct_pack(y := {0}.y, x := {0}.x, v := {0}.v)"
+_LINEAR_SQL = f"""WITH RECURSIVE pts AS (SELECT y, x, arg_min(value, id) AS v FROM (SELECT (18.0::DOUBLE - lat) / 0.2::DOUBLE AS y, (lon - 103.0::DOUBLE) / 0.2::DOUBLE AS x, id, value FROM points) GROUP BY 1, 2),
+  g AS (SELECT CAST(r AS INT) AS r, CAST(c AS INT) AS c FROM range(30) a(r), range(30) b(c)),
+  rel AS (SELECT r, c, p.y - (r + 0.5::DOUBLE) AS y, p.x - (c + 0.5::DOUBLE) AS x, v FROM g, pts p),
+  corner AS (SELECT y, x FROM pts ORDER BY y, x LIMIT 1),
+  star AS (SELECT rel.* FROM rel, corner WHERE rel.y = corner.y - (rel.r + 0.5::DOUBLE) AND rel.x = corner.x - (rel.c + 0.5::DOUBLE)),
+  start AS (SELECT i.r AS r, i.c AS c, arg_max(struct_pack(a := {_CORNER.format('z')}, b := {_CORNER.format('i')}, c := {_CORNER.format('j')}), {_weight_sql('z', 'i', 'j')[2]}) AS t, max({_weight_sql('z', 'i', 'j')[2]}) AS w
+    FROM rel i JOIN rel j ON i.r = j.r AND i.c = j.c AND (i.y, i.x) < (j.y, j.x) JOIN star z ON z.r = i.r AND z.c = i.c GROUP BY 1, 2),
+  walk AS (
+    SELECT 0 AS n, r, c, t FROM start WHERE w >= 0
+    UNION ALL
+    SELECT n + 1, r, c, CASE greatest(w1, w2, w3) WHEN w1 THEN struct_pack(a := a, b := b, c := p) WHEN w2 THEN struct_pack(a := b, b := c_, c := p) ELSE struct_pack(a := c_, b := a, c := p) END
+    FROM (SELECT n, r, c, a, b, d AS c_, p, {_weight_sql('a', 'b', 'p')[2]} AS w1, {_weight_sql('b', 'd', 'p')[2]} AS w2, {_weight_sql('d', 'a', 'p')[2]} AS w3
+      FROM (SELECT n, s.r AS r, s.c AS c, any_value(a) AS a, any_value(b) AS b, any_value(d) AS d, arg_max({_CORNER.format('rel')}, h0 + sy * rel.y + sx * rel.x - rel.y ** 2 - rel.x ** 2) AS p, max(h0 + sy * rel.y + sx * rel.x - rel.y ** 2 - rel.x ** 2) AS depth
+        FROM (SELECT *, a.y ** 2 + a.x ** 2 - sy * a.y - sx * a.x AS h0 FROM (SELECT *, ((d.x - a.x) * hu - (b.x - a.x) * hv) / det AS sy, ((b.y - a.y) * hv - (d.y - a.y) * hu) / det AS sx
+          FROM (SELECT n, r, c, t.a AS a, t.b AS b, t.c AS d, t.b.y ** 2 + t.b.x ** 2 - t.a.y ** 2 - t.a.x ** 2 AS hu, t.c.y ** 2 + t.c.x ** 2 - t.a.y ** 2 - t.a.x ** 2 AS hv,
+            (t.b.y - t.a.y) * (t.c.x - t.a.x) - (t.b.x - t.a.x) * (t.c.y - t.a.y) AS det FROM walk))) s JOIN rel ON rel.r = s.r AND rel.c = s.c GROUP BY 1, 2, 3)
+      WHERE depth > 1e-9)),
+  last AS (SELECT r, c, arg_max(t, n) AS t FROM walk GROUP BY 1, 2),
+  found AS (SELECT r, c, t.a AS a, t.b AS b, t.c AS d FROM last)
+  SELECT g.r AS "row", g.c AS col, round(coalesce(a.v + ({_weight_sql('a', 'b', 'd')[0]}) * (b.v - a.v) + ({_weight_sql('a', 'b', 'd')[1]}) * (d.v - a.v), -9999.0::DOUBLE), 6) AS value FROM g LEFT JOIN found USING (r, c)"""
+
+
+@query("linear_regrid", views="points", oracle=_LINEAR_SQL)
+def linear_regrid(spark, sf_dir):
+    out = triangles.linear_regrid(fx.points(spark, sf_dir), fx.POINT_GRID)
+    return out.withColumn("value", F.round("value", 6))
+
+
 _CELLS_SQL = """cells AS (SELECT id, value, CAST(floor((18.0::DOUBLE - lat) / 0.2::DOUBLE) AS INT) AS r, CAST(floor((lon - 103.0::DOUBLE) / 0.2::DOUBLE) AS INT) AS c FROM points)"""
 _KNN_SQL = f"""{_CELLS_SQL}, knn AS (SELECT a.id AS id, b.id AS other, b.value AS value, (a.r - b.r) ** 2 + (a.c - b.c) ** 2 AS d2 FROM cells a JOIN cells b ON a.id <> b.id
   QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY (a.r - b.r) ** 2 + (a.c - b.c) ** 2, b.id) <= 8)"""
