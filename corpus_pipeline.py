@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellclock.llm.bpe_automaton import decode, encode
+from cellclock.llm.bpe_automaton import encode_decode
 from cellclock.llm.common import ready, table, written
 from cellclock.llm.decontaminate import drop_contaminated
 from cellclock.llm.near_dedup import drop_near_duplicates
@@ -48,7 +48,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, their number, and the text that they decode to."""
     ready(spark)
-    return decode(encode(docs, vocabulary()), vocabulary())
+    return encode_decode(docs, vocabulary())
 
 
 STAGES = [
