@@ -177,19 +177,42 @@ def _tiles(points: DataFrame, dims: int, size: int) -> DataFrame:
         F.array(*[F.min(at(i)) for i in range(dims)]).alias("_lo"),
         F.array(*[F.max(at(i)) for i in range(dims)]).alias("_hi"),
     )
-    name = F.concat_ws("/", "feature", "_y", "_slab", "_no").alias("_t")
-    return held.select("feature", "_y", name, "_ny", "_lo", "_hi", F.flatten("_p._x").alias("_xs"), F.col("_p._w").alias("_ws"))
-
-
-def _tile_pairs(tiles: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Every tile with every one whose box its points' reach ``_r`` may touch, and what
-    both hold; the second has the prefix ``o``. Boxes are a row per tile."""
-    boxes = tiles.select("feature", "_y", "_t", "_lo", "_hi", F.array_max("_r").alias("_far"))
-    other = boxes.select(*keys, *[F.col(c).alias(f"o{c}") for c in ("_t", "_lo", "_hi")])
-    gap = F.array_max(F.zip_with(F.zip_with("o_lo", "_hi", lambda a, b: a - b), F.zip_with("_lo", "o_hi", lambda a, b: a - b), lambda a, b: F.greatest(a, b)))
-    near = boxes.join(F.broadcast(other), list(keys)).where(gap <= F.col("_far")).select("_t", "o_t")
+    slab = F.concat_ws("/", "feature", "_y", "_slab")
+    return held.select(
+        "feature", "_y", slab.alias("_s"), F.concat_ws("/", slab, "_no").alias("_t"), "_ny", "_lo", "_hi",
+        F.flatten("_p._x").alias("_xs"), F.col("_p._w").alias("_ws"), F.aggregate("_p._w", F.lit(0).cast("long"), lambda n, w: n + w).alias("_all"),
+    )
+
+
+def _apart(a: str, b: str, far: bool = False) -> Column:
+    """Least, or largest, largest-coordinate distance between two boxes, given by the
+    prefixes of their _lo and _hi."""
+    one = F.zip_with(f"{b}_lo", f"{a}_hi", lambda x, y: x - y)
+    two = F.zip_with(f"{a}_lo", f"{b}_hi", lambda x, y: x - y)
+    if far:  # the largest extent of both boxes together
+        return -F.array_min(F.zip_with(one, two, lambda x, y: F.least(x, y)))
+    return F.greatest(F.lit(0.0), F.array_max(F.zip_with(one, two, lambda x, y: F.greatest(x, y))))
+
+
+def _tile_pairs(tiles: DataFrame, keys: Sequence[str], dims: int) -> DataFrame:
+    """(_t, o_t, whole) of every tile and every one that its points' reach ``_r`` may
+    touch. Slabs, about as many as the square root of the tiles, are compared first, then
+    the tiles of slabs in reach of each other; both by joins on keys, so no list of boxes
+    is sent around. ``whole``: every point of the second is nearer than each reach of the first."""
+    boxes = tiles.select("feature", "_y", "_s", "_t", "_lo", "_hi", "_all", F.array_max("_r").alias("_far"), F.array_min("_r").alias("_least"))
+    ends = [F.array(*[f(F.get(c, F.lit(i))) for i in range(dims)]).alias(c) for f, c in ((F.min, "_lo"), (F.max, "_hi"))]
+    slabs = cut(boxes.groupBy("feature", "_y", "_s").agg(*ends, F.max("_far").alias("_far")))
+    others = slabs.select(*keys, *[F.col(c).alias(f"o{c}") for c in ("_s", "_lo", "_hi")])
+    near = slabs.join(others, list(keys)).where(_apart("", "o") <= F.col("_far")).select("_s", "o_s")
+    second = boxes.select(*[F.col(c).alias(f"o{c}") for c in ("_s", "_t", "_lo", "_hi", "_all")])
+    pairs = boxes.join(near, "_s").join(second, "o_s").where(_apart("", "o") <= F.col("_far"))
+    return pairs.select("_t", "o_t", "o_all", ((_apart("", "o", True) < F.col("_least")) & (F.col("_least") > 0)).alias("whole"))
+
+
+def _with_points(pairs: DataFrame, tiles: DataFrame) -> DataFrame:
+    """Pairs of tiles with what both hold; the second has the prefix ``o``."""
     own = tiles.select("_t", "_ny", "_xs", "_ws", "_r")
-    return near.join(own, "_t").join(tiles.select(F.col("_t").alias("o_t"), F.col("_xs").alias("o_xs"), F.col("_ws").alias("o_ws"), F.col("_lo").alias("o_lo"), F.col("_hi").alias("o_hi")), "o_t")
+    return pairs.join(own, "_t").join(tiles.select(*[F.col(c).alias(f"o{c}") for c in ("_t", "_xs", "_ws", "_lo", "_hi")]), "o_t")
 
 
 def mutual_information_joint(
@@ -202,7 +225,9 @@ def mutual_information_joint(
     All rows count, equal ones as one point with a weight. Points lie in tiles of at most
     ``tile`` points of one class. A point's own tile bounds the distance of its k-th
     neighbour, so only tiles whose boxes are in reach are compared: those of its class for
-    the neighbour, then all for the points that are closer. A task holds a few tile pairs.
+    the neighbour, then all for the points that are closer; there, tiles that lie whole
+    within the reach of all points of a tile count by their size, and only those on the
+    border are opened. A task holds a few tile pairs.
     """
     dims = len(offsets)
     each = F.array(*[F.struct(F.lit(b).alias("feature"), F.array(*[q(c).cast("double") for c in lag_columns([b], offsets)]).alias("_x")) for b in bands])
@@ -257,16 +282,21 @@ def mutual_information_joint(
     try:
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tiles.schema)
         bounded = cut(tiles.mapInPandas(bounds, f"{schema}, _r array<double>"))
-        found = cut(_tile_pairs(bounded, ["feature", "_y"]).mapInPandas(neighbours, "_t string, _i int, _d array<double>"))
+        near = _tile_pairs(bounded, ["feature", "_y"], dims).select("_t", "o_t")
+        found = cut(_with_points(near, bounded).mapInPandas(neighbours, "_t string, _i int, _d array<double>"))
         nearest = found.groupBy("_t", "_i").agg(F.sort_array(F.flatten(F.collect_list("_d"))).alias("_d"))
         nearest = nearest.join(bounded.select("_t", F.least(F.lit(k), F.col("_ny") - 1).cast("int").alias("_want")), "_t")
         radius = nearest.groupBy("_t").agg(F.sort_array(F.collect_list(F.struct("_i", F.get("_d", F.col("_want")).alias("_r"))))["_r"].alias("_r"))
         reached = cut(bounded.drop("_r").join(radius, "_t"))
-        counts = cut(_tile_pairs(reached, ["feature"]).mapInPandas(closer, "_t string, _i int, _n bigint"))
+        touched = cut(_tile_pairs(reached, ["feature"], dims))
+        border = touched.where("NOT whole").select("_t", "o_t")
+        counts = cut(_with_points(border, reached).mapInPandas(closer, "_t string, _i int, _n bigint"))
     finally:
         conf.set(setting, before)
     each_point = reached.select("_t", "feature", "_ny", F.posexplode(F.arrays_zip("_ws", "_r")).alias("_i", "_e"))
-    counted = each_point.join(counts.groupBy("_t", "_i").agg(F.sum("_n").alias("_n")), ["_t", "_i"])
+    inside = touched.where("whole").groupBy("_t").agg(F.sum("o_all").alias("_whole"))
+    counted = each_point.join(counts.groupBy("_t", "_i").agg(F.sum("_n").alias("_n")), ["_t", "_i"], "left").join(inside, "_t", "left")
+    counted = counted.withColumn("_n", F.coalesce("_n", F.lit(0)) + F.coalesce("_whole", F.lit(0)))
     w = F.col("_e._ws")
     used = F.when(F.col("_e._r") > 0, F.least(F.lit(k), F.col("_ny") - 1)).otherwise(w)
     terms = F.sum(w * (digamma(used) - digamma(F.col("_ny")) - digamma(F.col("_n"))))
