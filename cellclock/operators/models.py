@@ -8,12 +8,13 @@ from pyspark.ml import Estimator, Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellclock.names import HISTORY, lag_columns, q
 from cellclock.operators.metrics import average_precision, confusion_by_horizon, prf_zero_division
 from cellclock.operators.sampling import row_hash, stratified_folds, union_rows
+from cellclock.session import cut
 
 
 def with_class_weight(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
@@ -178,6 +179,11 @@ def score_horizons(model, slices: DataFrame, columns: Sequence[str], threshold:
     return prf_zero_division(confusion).orderBy("horizon")
 
 
+def gbt(label: str, iterations: int = 20, depth: int = 5, seed: int = 42) -> GBTClassifier:
+    """Boosted trees without a stop of their own, for ``staged_losses``."""
+    return GBTClassifier(labelCol=label, featuresCol="features", maxIter=iterations, maxDepth=depth, seed=seed)
+
+
 def fit_gbt(
     train: DataFrame, columns: Sequence[str], label: str, key: Sequence[str], iterations: int = 20, depth: int = 5,
     tolerance: float = 0.01, seed: int = 42,
@@ -191,6 +197,55 @@ def fit_gbt(
     return gbt.fit(data.withColumn(label, q(label).cast("double")))
 
 
+def staged_losses(model, slices: DataFrame, columns: Sequence[str], label: str = "label", by: str = "horizon", threshold: float = 0.5) -> DataFrame:
+    """(``by``, round, n, loss, precision_1, recall_1, f1_1) of an ensemble cut after each
+    of its rounds, from one pass over the slices: every tree is applied once, and running
+    sums of their votes give all rounds at the same time. ``loss`` is the mean log loss."""
+    data = vectors(slices, columns)
+    names = [f"_vote{i}" for i in range(len(model.trees))]
+    for name, tree in zip(names, model.trees):
+        data = tree.setFeaturesCol("features").setPredictionCol(name).transform(data)
+    votes = F.array(*[F.col(n) * F.lit(float(w)) for n, w in zip(names, model.treeWeights)])
+    rounds = F.array(*[F.lit(i) for i in range(1, len(names) + 1)])
+    margins = F.transform(rounds, lambda i: F.aggregate(F.slice("_votes", 1, i), F.lit(0.0), lambda total, v: total + v))
+    staged = data.select(q(by).alias(by), q(label).cast("int").alias("_y"), votes.alias("_votes"))
+    staged = staged.select(by, "_y", F.posexplode(margins).alias("_at", "_m"))
+    y, m = F.col("_y"), F.col("_m")
+    guess = F.lit(1) / (1 + F.exp(-2 * m)) >= threshold
+    counted = staged.groupBy(by, (F.col("_at") + 1).cast("int").alias("round")).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.avg(F.log1p(F.exp(-F.abs(2 * m))) + F.greatest(F.lit(0.0), F.when(y == 1, -2 * m).otherwise(2 * m))).alias("loss"),
+        F.sum((guess & (y == 1)).cast("long")).alias("_tp"),
+        F.sum((guess & (y == 0)).cast("long")).alias("_fp"),
+        F.sum((~guess & (y == 1)).cast("long")).alias("_fn"),
+    )
+    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    p, r = share(F.col("_tp"), F.col("_tp") + F.col("_fp")), share(F.col("_tp"), F.col("_tp") + F.col("_fn"))
+    scored = counted.withColumns({"precision_1": p, "recall_1": r})
+    return scored.withColumn("f1_1", share(2 * F.col("precision_1") * F.col("recall_1"), F.col("precision_1") + F.col("recall_1"))).drop("_tp", "_fp", "_fn")
+
+
+def early_stop_report(losses: DataFrame, patience: int, by: str = "horizon", decides=None) -> DataFrame:
+    """Where boosting with ``patience`` stops and what it keeps: one row per ``by`` with
+    stop_round, best_round, best_score (the loss of the deciding set there), and the own
+    loss, precision, recall and F1 of the set at best_round.
+
+    As with several evaluation sets, one of them decides: ``decides``, by default the last.
+    Training stops at the first round that is ``patience`` rounds past the best so far, or
+    at the last. ``losses`` comes from ``staged_losses``: a row per set and round."""
+    chosen = losses.agg(F.max(by)).first()[0] if decides is None else decides
+    rounds = losses.where(F.col(by) == F.lit(chosen)).select("round", "loss")
+    so_far = Window.orderBy("round")  # a row for each round
+    best = rounds.withColumn("_best", F.min(F.struct("loss", "round")).over(so_far))
+    over = best.where(F.col("round") - F.col("_best.round") >= patience)
+    stop = over.select(F.min("round")).first()[0] or rounds.select(F.max("round")).first()[0]
+    if stop is None:
+        return losses.select(by, F.lit(None).cast("int").alias("stop_round"), F.col("round").alias("best_round"), F.col("loss").alias("best_score"), "loss", "precision_1", "recall_1", "f1_1")
+    kept = best.where(F.col("round") == stop).select("_best.loss", "_best.round").first()
+    at_best = losses.where(F.col("round") == kept["round"])
+    return at_best.select(by, F.lit(stop).alias("stop_round"), F.col("round").alias("best_round"), F.lit(kept["loss"]).alias("best_score"), "loss", "precision_1", "recall_1", "f1_1")
+
+
 def random_search(
     df: DataFrame,
     columns: Sequence[str],

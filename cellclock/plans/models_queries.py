@@ -184,6 +184,16 @@ def gbt_classifier(spark, sf_dir):
     return models.score_horizons(model, reshape.horizon_slices(s, ["V", "K"], ["sid"]), SLICE, threshold=0.4)
 
 
+@query("gbt_early_stop")
+def gbt_early_stop(spark, sf_dir):
+    """All rounds of one ensemble on the six horizon slices, and where it would have stopped."""
+    s = fx.samples(spark, sf_dir)
+    train = models.vectors(reshape.sliding_training_rows(s, ["V", "K"], ["sid"]), SLICE)
+    model = models.gbt("output_0", iterations=12, depth=4).fit(train.withColumn("output_0", F.col("output_0").cast("double")))
+    losses = models.cut(models.staged_losses(model, reshape.horizon_slices(s, ["V", "K"], ["sid"]), SLICE))
+    return models.early_stop_report(losses, patience=2)
+
+
 @query("score_horizons")
 def score_horizons(spark, sf_dir):
     s = fx.samples(spark, sf_dir)
