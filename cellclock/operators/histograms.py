@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellclock.functions.scaling import normalized, scale_clip, scale_maxabs_clip
@@ -56,7 +56,8 @@ def pooled_windows(
 def _with_bands(df: DataFrame, table: DataFrame, *columns: str) -> DataFrame:
     """Attach per-band numbers. Bands are column groups of a wide table, so the table
     has at most as many rows as that has columns and is always broadcast."""
-    return lookup(df, table.select("band", *columns), ["band"], "inner")
+    few = table.select(F.col("band").alias("_band"), *columns)
+    return df.join(F.broadcast(few), F.col("band").eqNullSafe(F.col("_band"))).drop("_band")
 
 
 def _weight(df: DataFrame) -> Column:
@@ -71,11 +72,16 @@ def band_bins(bins: Mapping[str, int], default: int) -> Column:
     return F.coalesce(table[F.col("band")], F.lit(default))
 
 
-def _count_bins(df: DataFrame, group: list[str], bin_index: Column, share: DataFrame) -> DataFrame:
-    counts = df.groupBy(*group, bin_index.cast("int").alias("bin")).agg(F.sum(_weight(df)).alias("count"))
-    # One total per group of a histogram: bands times labels.
-    out = lookup(counts, share, group, "inner")
-    return out.withColumn("pct", F.col("count") * 100.0 / F.col("_total")).drop("_total")
+def _count_bins(df: DataFrame, group: list[str], bin_index: Column, inside: Column | None = None) -> DataFrame:
+    """Rows (group, bin, count, pct) of the values ``inside``; percent of all of ``df``.
+
+    One aggregate counts both: what lies outside is a row of its own for each group, and
+    totals are summed over a group's few bins."""
+    inside = F.lit(True) if inside is None else F.coalesce(inside, F.lit(False))
+    where = F.when(inside, bin_index.cast("int"))
+    counts = df.groupBy(*group, inside.alias("_inside"), where.alias("bin")).agg(F.sum(_weight(df)).alias("count"))
+    total = F.sum("count").over(Window.partitionBy(*group))
+    return counts.withColumn("pct", F.col("count") * 100.0 / total).where("_inside").drop("_inside")
 
 
 def histogram_by_label(
@@ -83,12 +89,10 @@ def histogram_by_label(
 ) -> DataFrame:
     """bin = floor((x-lo)/(hi-lo)*(n-1)) of the values within [lo, hi]; percent of
     *all* values of the label. ``frame``: band, lo, hi."""
-    base = pooled.where(F.col("value").isNotNull())
-    totals = base.groupBy("band", "label").agg(F.sum(_weight(base)).alias("_total"))
+    base = _with_bands(pooled.where(F.col("value").isNotNull()), frame, "lo", "hi")
     n = band_bins(bins or {}, default_bins)
-    framed = _with_bands(base, frame, "lo", "hi").where(F.col("value").between(F.col("lo"), F.col("hi")))
     where = F.floor((F.col("value") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * (n - 1))
-    return _count_bins(framed, ["band", "label"], where, totals)
+    return _count_bins(base, ["band", "label"], where, F.col("value").between(F.col("lo"), F.col("hi")))
 
 
 def histogram_clipped(
@@ -111,8 +115,7 @@ def histogram_clipped(
         where = F.floor((scale_maxabs_clip(v, F.col("max_abs")) + 1) / 2 * (n - 1))
     else:
         raise ValueError(f"unknown mode: {mode}")
-    totals = base.groupBy("band").agg(F.sum(_weight(base)).alias("_total"))
-    return _count_bins(base, ["band"], where, totals)
+    return _count_bins(base, ["band"], where)
 
 
 def display_range(kind: str) -> tuple[float, float]:
@@ -142,8 +145,7 @@ def histogram_normalized(
     lo = _by_kind(kinds, lambda kind: F.lit(display_range(kind)[0]))
     hi = _by_kind(kinds, lambda kind: F.lit(display_range(kind)[1]))
     n = band_bins(bins or {}, default_bins)
-    totals = base.groupBy("band", "label").agg(F.sum(_weight(base)).alias("_total"))
-    return _count_bins(base, ["band", "label"], F.floor((norm - lo) / (hi - lo) * (n - 1)), totals)
+    return _count_bins(base, ["band", "label"], F.floor((norm - lo) / (hi - lo) * (n - 1)))
 
 
 def master_histogram(pooled: DataFrame, ranges: DataFrame, bins: int = MASTER_BINS) -> DataFrame:

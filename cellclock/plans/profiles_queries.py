@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from cellclock.functions import cleaning
 from cellclock.names import FULL, HISTORY, HORIZONS, lag_columns, lag_name, q
 from cellclock.operators import histograms as hist
 from cellclock.operators import lookups, ordered, profile
@@ -61,7 +62,7 @@ _DIRTY = ["sid", "V_t-1", "K_t-1"]
 
 @query("dedup_rows", views="dirty", oracle='SELECT DISTINCT sid, "V_t-1", "K_t-1" FROM dirty')
 def dedup_rows(spark, sf_dir):
-    return fx.dirty_samples(spark, sf_dir).select(*[q(c) for c in _DIRTY]).dropDuplicates()
+    return cleaning.drop_duplicates(fx.dirty_samples(spark, sf_dir).select(*[q(c) for c in _DIRTY]))
 
 
 @query("dedup_report", views="dirty",
