@@ -13,7 +13,9 @@ A *segment* holds consecutive documents. Its bytes, all numbers little-endian, a
 A bound is the number of ids before a document, the last one u; the i-th is found by a
 *select* of the i-th set bit. That takes about 2 + log2(u / n) bits for each document
 instead of 64. Segments lie in a Parquet table, one row each, with the number of the
-part, the number in the part, and their document ids.
+part, the number in the part, the first and last document id, and ``doc_ids``: the number
+of leading documents with a null id (8 bytes), then of the others the first id (8 bytes),
+the width of a difference (1 byte) and the differences, as ids ascend.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ SEGMENT = T.StructType(
         T.StructField("seq", T.IntegerType()),
         T.StructField("n_docs", T.LongType()),
         T.StructField("n_ids", T.LongType()),
+        T.StructField("first_id", T.LongType()),
+        T.StructField("last_id", T.LongType()),
         T.StructField("doc_ids", T.BinaryType()),
         T.StructField("payload", T.BinaryType()),
     ]
@@ -104,16 +108,46 @@ class EliasFano:
         at = block * 512 + int(bits[rest])
         return (at - i) << self.low_bits | self._low(i)
 
-    def all(self):
-        """All bounds at once."""
+    def select_all(self, first: int, last: int):
+        """The bounds first to last - 1, by a select in each block of the directory."""
         import numpy as np
 
-        at = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        high = (at - np.arange(self.n)) << self.low_bits
-        if not self.low_bits:
-            return high
-        bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-        return high | (bits.astype(np.int64) << np.arange(self.low_bits)).sum(1)
+        out, at = np.empty(last - first, np.int64), first
+        while at < last:
+            block = int(np.searchsorted(self.before, at, "right")) - 1
+            until = min(last, int(self.before[block + 1]))
+            bits = np.flatnonzero(np.unpackbits(self.high[block * 64 : block * 64 + 64], bitorder="little"))
+            own = bits[at - int(self.before[block]) : until - int(self.before[block])] + block * 512
+            out[at - first : until - first] = (own - np.arange(at, until)) << self.low_bits
+            at = until
+        if self.low_bits:
+            start, end = first * self.low_bits, last * self.low_bits
+            bits = np.unpackbits(self.low[start >> 3 : (end + 7) >> 3], bitorder="little")[start & 7 :][: end - start]
+            out |= (bits.reshape(-1, self.low_bits).astype(np.int64) << np.arange(self.low_bits)).sum(1)
+        return out
+
+
+def pack_ids(doc_ids: list) -> bytes:
+    """Ascending document ids, nulls first."""
+    import numpy as np
+
+    nulls = sum(i is None for i in doc_ids)
+    known = np.array(doc_ids[nulls:], np.int64).view(np.uint64)
+    steps = np.diff(known)
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or not len(steps) or int(steps.max()) < 1 << 8 * w)
+    first = known[:1].tobytes() or bytes(8)
+    return nulls.to_bytes(8, "little") + first + bytes([width]) + steps.astype(f"<u{width}").tobytes()
+
+
+def unpack_ids(data: bytes, n: int):
+    """(number of nulls, ids of the others) of ``n`` documents."""
+    import numpy as np
+
+    nulls, width = int.from_bytes(data[:8], "little"), data[16]
+    if nulls == n:
+        return nulls, np.empty(0, np.int64)
+    steps = np.frombuffer(data, f"<u{width}", n - nulls - 1, 17).astype(np.uint64)
+    return nulls, np.cumsum(np.concatenate([np.frombuffer(data, "<u8", 1, 8), steps]), dtype=np.uint64).view(np.int64)
 
 
 def pack(documents: list[bytes], width: int) -> bytes:
@@ -231,7 +265,6 @@ def write_token_files(docs: DataFrame, path: str, out: str, end_id: int, parts:
     )
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
         encoder = _encoder(definition.value)
@@ -239,13 +272,16 @@ def write_token_files(docs: DataFrame, path: str, out: str, end_id: int, parts:
         documents, ids, size, seq, part = [], [], 0, 0, None
 
         def segment():
+            known = [i for i in (ids[-1], next((i for i in ids if i is not None), None)) if i is not None]
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([part], pa.int32()),
                     pa.array([seq], pa.int32()),
                     pa.array([len(documents)], pa.int64()),
                     pa.array([size], pa.int64()),
-                    pa.array([b"".join(ids)], pa.binary()),
+                    pa.array([known[-1] if known else None], pa.int64()),
+                    pa.array([known[0] if known else None], pa.int64()),
+                    pa.array([pack_ids(ids)], pa.binary()),
                     pa.array([pack(documents, encoder.width)], pa.binary()),
                 ],
                 names=SEGMENT.names,
@@ -255,10 +291,9 @@ def write_token_files(docs: DataFrame, path: str, out: str, end_id: int, parts:
             if not batch.num_rows:
                 continue
             part = batch.column(0)[0].as_py()
-            keys = np.array([-(1 << 63) if k is None else k for k in batch.column(1).to_pylist()], "<i8").tobytes()
-            for i, coded in enumerate(encoder.encode(string_bytes(batch.column(2)))):
+            for doc_id, coded in zip(batch.column(1).to_pylist(), encoder.encode(string_bytes(batch.column(2)))):
                 documents.append(coded + end)
-                ids.append(keys[8 * i : 8 * i + 8])
+                ids.append(doc_id)
                 size += len(documents[-1]) // encoder.width
                 if size >= SEGMENT_IDS:
                     yield segment()
@@ -279,18 +314,19 @@ def read_token_files(spark: SparkSession, out: str) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            for part, seq, keys, payload in zip(*(batch.column(i).to_pylist() for i in (0, 1, 4, 5))):
+            for part, seq, keys, payload in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 3))):
                 segment = Segment(payload)
-                bounds = segment.bounds.all()
-                wide = segment.ids.astype("<u4")
-                doc_ids = np.frombuffer(keys, "<i8")
                 n = segment.n_docs
+                bounds = segment.bounds.select_all(0, n + 1)
+                wide = segment.ids.astype("<u4")
+                nulls, known = unpack_ids(keys, n)
+                doc_ids = np.concatenate([np.zeros(nulls, np.int64), known])
                 crc = [zlib.crc32(wide[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([part] * n, pa.int32()),
                         pa.array([seq] * n, pa.int32()),
-                        pa.array(doc_ids, pa.int64(), mask=doc_ids == -(1 << 63)),
+                        pa.array(doc_ids, pa.int64(), mask=np.arange(n) < nulls),
                         pa.array(bounds[:-1], pa.int64()),
                         pa.array(np.diff(bounds), pa.int64()),
                         pa.array(crc, pa.int64()),
@@ -298,7 +334,7 @@ def read_token_files(spark: SparkSession, out: str) -> DataFrame:
                     names=ENTRY.names,
                 )
 
-    entries = segments.mapInArrow(run, ENTRY)
+    entries = segments.select("part", "seq", "doc_ids", "payload").mapInArrow(run, ENTRY)
     # Sizes of segments, a few numbers for two million ids each, added up in two steps:
     # parts first, then the segments inside a part.
     sizes = segments.select("part", "seq", "n_ids")
@@ -311,6 +347,38 @@ def read_token_files(spark: SparkSession, out: str) -> DataFrame:
     )
 
 
+def read_documents(spark: SparkSession, out: str, doc_ids: list[int]) -> DataFrame:
+    """(doc_id, ids) of the documents of a short list, null for a null id.
+
+    Only segments whose range of ids holds one of them are opened; there a document is two
+    selects away. Repeated ids give a row for each document; unknown ids give none."""
+    wanted = sorted({i for i in doc_ids if i is not None})
+    null_too = len(wanted) < len(set(doc_ids))
+    in_range = F.lit(False)
+    for i in wanted:
+        in_range |= (F.col("first_id") <= i) & (F.col("last_id") >= i)
+    has_null = F.hex(F.substring("doc_ids", 1, 8)) != "0" * 16
+    may_hold = in_range | has_null if null_too else in_range
+    segments = spark.read.schema(SEGMENT).parquet(out).where(may_hold).select("n_docs", "doc_ids", "payload")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for n, keys, payload in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                segment = Segment(payload)
+                nulls, known = unpack_ids(keys, n)
+                at = [nulls + int(i) for i in np.flatnonzero(np.isin(known, wanted))]
+                at = [*range(nulls), *at] if null_too else at
+                names = [None if i < nulls else int(known[i - nulls]) for i in at]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(names, pa.int64()), pa.array([segment.document(i).astype("<u4").tobytes() for i in at], pa.binary())], names=["doc_id", "ids"]
+                )
+
+    return segments.mapInArrow(run, "doc_id long, ids binary")
+
+
 def token_file_digests(docs: DataFrame, path: str, end_id: int = 1, parts: int | None = None) -> DataFrame:
     """Write the token files of ``docs`` to the shared folder and read them back."""
     out = scratch_path(docs.sparkSession, "token-files")

@@ -69,7 +69,9 @@ def test_elias_fano():
     for case in ([0], [0, 0, 0], [0, 5], [0] + [1000] * 4, sorted(rng.randrange(10**6) for _ in range(5000))):
         low_bits, low, high = token_files.EliasFano.coded(np.array(case))
         coded = token_files.EliasFano(len(case), low_bits, low, high)
-        assert coded.all().tolist() == case
+        n = len(case)
+        for a, b in ((0, n), (0, 1), (n // 3, n // 3 + 1), (n // 2, n)):
+            assert coded.select_all(a, b).tolist() == case[a:b]
         assert [coded.select(i) for i in range(len(case))] == case
     assert len(low) + len(high) < 5000 * 8 / 4
 
@@ -98,6 +100,27 @@ def test_token_files(odd, empty, library):
     assert token_files.token_file_digests(empty, vocabulary()).collect() == []
 
 
+def test_document_ids():
+    low, high = -(1 << 63), (1 << 63) - 1
+    for ids in ([], [None], [None, None, 5], [7], [low, high], [low, -3, -3, 0, 1, 300, 70_000, 1 << 40], list(range(1000))):
+        data = token_files.pack_ids(ids)
+        nulls, known = token_files.unpack_ids(data, len(ids))
+        assert [None] * nulls + known.tolist() == ids
+    assert len(data) < 1100
+
+
+def test_single_documents_are_read(spark, make, library):
+    texts = [*ODD, (-(1 << 63), "least id"), (1 << 62, "great id"), (50, "the cat")]
+    out = token_files.scratch_path(spark, "random-access")
+    token_files.write_token_files(make(texts), vocabulary(), out, 1, parts=3)
+    for wanted in ([8], [6, 7, None], [-(1 << 63), 1 << 62, 12345], [], [None]):
+        got = sorted((str(r.doc_id), bytes(r.ids)) for r in token_files.read_documents(spark, out, wanted).collect())
+        want = [(str(i), np.array(expected_ids(library, t) + [1], "<u4").tobytes()) for i, t in texts if i in wanted]
+        assert got == sorted(want)
+    whole = {r.doc_id for r in token_files.read_token_files(spark, out).collect()}
+    assert whole == {i for i, _ in texts}
+
+
 def test_byte_level_vocabulary_goes_whole(library):
     import public_tokenizers
 
