@@ -2,7 +2,8 @@
 
 Found are e-mail addresses, IPv4 addresses, phone numbers, payment cards (issuer prefix
 and check digit must be right, other long numbers stay), social security numbers, secrets
-(keys and tokens) and names after a title. Every distinct entity gets one surrogate made
+(keys and tokens) and names after a title; other mentions of such a name in the same text,
+as full name or surname, are mentions of the same entity. Every distinct entity gets one surrogate made
 from a keyed hash, so mentions of one entity keep referring to one entity, across
 documents and spellings. Surrogates keep type and format: digits stay digits, letters stay
 letters of their script and case (Latin ones where the script has no alphabet here),
@@ -252,6 +253,36 @@ def _put(e: Column, known: Column) -> Column:
     return F.coalesce(F.when(upper, loud).otherwise(plain), e)
 
 
+_WORD_START, _WORD_END = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
+
+
+def _names(known: Column, kinds: str) -> Column:
+    """(name, surrogate) of the given names or surnames among a text's entities."""
+    held = F.filter(F.map_entries(known), lambda x: x["key"].rlike(f"^{kinds}"))
+    bare = lambda c: F.regexp_replace(c, r"^[a-z_]+\|", "")
+    return F.transform(held, lambda x: F.struct(bare(x["key"]).alias("name"), bare(x["value"]).alias("new")))
+
+
+def _any_of(names: Column) -> Column:
+    """A pattern for the names, capitalised or in capitals; they hold letters only."""
+    both = F.flatten(F.transform(names, lambda n: F.array(n["name"], F.upper(n["name"]))))
+    return F.concat(F.lit(_WORD_START + "(?:"), F.array_join(both, "|"), F.lit(")" + _WORD_END))
+
+
+def _refer(piece: Column, given: Column, last: Column) -> Column:
+    """Text between matches with the known names in it replaced: given names before a
+    known surname, then surnames."""
+
+    def put(text, names, ahead):
+        def one(t, n):
+            plain = F.regexp_replace(t, F.concat(F.lit(_WORD_START), n["name"], ahead), n["new"])
+            return F.regexp_replace(plain, F.concat(F.lit(_WORD_START), F.upper(n["name"]), ahead), F.upper(n["new"]))
+
+        return F.aggregate(names, text, one)
+
+    return put(put(piece, given, F.concat(F.lit("(?= "), _any_of(last), F.lit(")"))), last, F.lit(_WORD_END))
+
+
 def replace_entities(docs: DataFrame, key: str, count: str | None = None) -> DataFrame:
     """``docs`` with the personal data in ``text`` replaced; all columns and rows are kept.
 
@@ -274,13 +305,17 @@ def replace_entities(docs: DataFrame, key: str, count: str | None = None) -> Dat
     keyed = docs.withColumn(h, F.when(text.rlike(GATE), F.md5("text")))
     joined = keyed.where(F.col(h).isNotNull()).join(maps, h, "left")
     with_map = joined.where(F.col(m).isNotNull()).withColumn(e, found(text)).withColumn(p, F.split("text", ANY, -1))
-    put = F.zip_with(p, F.transform(e, lambda x: _put(x, F.col(m))), lambda x, y: F.concat(x, F.coalesce(y, F.lit(""))))
+    given, last = _names(F.col(m), "given_"), _names(F.col(m), r"surname\|")
+    named = F.size(last) > 0
+    pieces = F.when(named, F.transform(p, lambda x: _refer(x, given, last))).otherwise(F.col(p))
+    put = F.zip_with(pieces, F.transform(e, lambda x: _put(x, F.col(m))), lambda x, y: F.concat(x, F.coalesce(y, F.lit(""))))
     changed = with_map.withColumn("text", F.array_join(put, ""))
     rest = [joined.where(F.col(m).isNull()), keyed.where(F.col(h).isNull())]
     columns = docs.columns
     if count:
         number = F.aggregate(e, F.lit(0), lambda n, x: n + F.when(kind(x).isNotNull(), 1).otherwise(0))
-        changed = changed.withColumn(count, number)
+        later = F.aggregate(p, F.lit(0), lambda n, x: n + F.regexp_count(x, _any_of(last)))
+        changed = changed.withColumn(count, number + F.when(named, later).otherwise(0))
         rest = [f.withColumn(count, F.lit(0)) for f in rest]
         columns = [c for c in columns if c.lower() != count.lower()] + [count]
     return reduce(DataFrame.union, [f.select(columns) for f in (changed, *rest)])

@@ -104,6 +104,26 @@ def test_surrogates(make, odd, empty):
     assert pii.replace_entities(empty, "key").collect() == []
 
 
+def test_later_mentions_are_the_same_entity(make):
+    texts = [
+        (1, "Mrs Anna Smith wrote. Anna Smith came; Smith said SMITH and ANNA SMITH, Smithers, Anna alone, Annas Smith"),
+        (2, "Anna Smith without a title, Smith too"),
+        (3, "Frau Erika Groß und Herr Ünal: Groß, Ünal, Erika Groß, Erika Ünal. Госпожа Анна Иванова, Иванова и Анна Иванова"),
+        (4, "Mr Jones paid with 4111111111111111. Jones, Jones."),
+    ]
+    got = {r.doc_id: r for r in pii.replace_entities(make(texts), "key", "n_replaced").collect()}
+    a, s = re.match(r"Mrs (\w+) (\w+) wrote", got[1].text).groups()
+    assert got[1].text == f"Mrs {a} {s} wrote. {a} {s} came; {s} said {s.upper()} and {a.upper()} {s.upper()}, Smithers, Anna alone, Annas {s}"
+    assert got[1].n_replaced == 6
+    assert got[2].text == texts[1][1] and got[2].n_replaced == 0
+    e, g, u = re.match(r"Frau (\w+) (\w+) und Herr (\w+):", got[3].text).groups()
+    assert f": {g}, {u}, {e} {g}, {e} {u}. " in got[3].text and "Groß" not in got[3].text
+    an, iv = re.search(r"Госпожа (\w+) (\w+),", got[3].text).groups()
+    assert got[3].text.endswith(f", {iv} и {an} {iv}")
+    j = re.match(r"Mr (\w+) paid", got[4].text)[1]
+    assert got[4].text.endswith(f". {j}, {j}.") and got[4].n_replaced == 4
+
+
 def test_surrogates_are_distinct(spark):
     names = spark.createDataFrame([(f"given_f|N{i}",) for i in range(300)] + [(f"ip|10.0.{i}.7",) for i in range(200)], "entity string")
     out = pii.surrogates(names, "k").collect()
