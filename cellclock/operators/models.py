@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cellclock.names import HISTORY, lag_columns, q
 from cellclock.operators.metrics import average_precision, confusion_by_horizon, prf_zero_division
+from cellclock.operators.newton import Fit, Fitted, NewtonLogistic, fit_logistics, held_out_scores
 from cellclock.operators.sampling import row_hash, stratified_folds, union_rows
 from cellclock.session import cut
 
@@ -58,16 +59,22 @@ def cross_val_scores(
     df: DataFrame,
     options: Sequence[Sequence[str]],
     label: str,
-    estimator: Estimator,
+    estimator: Estimator | NewtonLogistic,
     fold: str = "fold",
     folds: int = 5,
 ) -> list[float]:
     """Mean average precision over the folds, for several column sets. ``estimator`` may
     be a function of the number of training rows.
 
-    Every fit is a Spark job. The held-out rows of all fits are scored in one job,
-    grouped by option and fold, of which one number per option comes back.
+    With ``NewtonLogistic`` all folds of all options are one batch of fits, a Spark job a
+    step. Of other estimators every fit is a job of its own. The held-out rows of all fits
+    are scored in one job, grouped by option and fold, of which one number per option
+    comes back.
     """
+    if isinstance(estimator, NewtonLogistic):
+        fits = [Fit(tuple(columns), estimator, i) for columns in options for i in range(folds)]
+        names = [o for o in range(len(options)) for _ in range(folds)]
+        return _option_means(held_out_scores(df, fits, fit_logistics(df, fits, label, fold), names, label, fold))
     held = []
     sizes = dict(df.groupBy(fold).count().collect()) if callable(estimator) else {}
     for o, columns in enumerate(options):
@@ -77,8 +84,11 @@ def cross_val_scores(
             model = fresh.fit(data.where(F.col(fold) != i))
             scored = positive_probability(model.transform(data.where(F.col(fold) == i)))
             held.append(scored.select(F.lit(o).alias("option"), F.lit(i).alias("fold"), "p", q(label).alias("y")))
-    together = union_rows(*held)
-    per_fold = average_precision(together, "p", "y", ["option", "fold"])
+    return _option_means(union_rows(*held))
+
+
+def _option_means(scored: DataFrame) -> list[float]:
+    per_fold = average_precision(scored, "p", "y", ["option", "fold"])
     means = per_fold.groupBy("option").agg(F.avg("average_precision").alias("score")).collect()  # one row per option
     return [score for _, score in sorted((r["option"], r["score"]) for r in means)]
 
@@ -86,8 +96,8 @@ def cross_val_scores(
 HISTORY_SCHEMA = "step int, bands array<string>, n_bands int, n_features int, score double"
 
 
-def _selection(df, groups, label, estimator, key, folds, backward):
-    data = stratified_folds(with_class_weight(df, label), [key], None, folds).cache()
+def _selection(df, groups, label, estimator, key, folds, backward, kind):
+    data = cut(stratified_folds(with_class_weight(df, label), [key], None, folds, kind=kind))
     current = list(groups) if backward else []
     history = []
 
@@ -102,7 +112,6 @@ def _selection(df, groups, label, estimator, key, folds, backward):
         scores = cross_val_scores(data, [flat(o) for o in options], label, estimator, folds=folds)
         score, current = max(zip(scores, options), key=lambda s: s[0])  # first option on a tie
         history.append((len(history) + 1, list(current), len(current), len(flat(current)), score))
-    data.unpersist()
     return df.sparkSession.createDataFrame(history, HISTORY_SCHEMA)
 
 
@@ -112,43 +121,37 @@ def band_groups(bands: Sequence[str], offsets: Sequence[int] = HISTORY) -> dict[
 
 
 def forward_selection(
-    df: DataFrame, groups: Mapping[str, Sequence[str]], label: str, estimator: Estimator, key: str, folds: int = 5
+    df: DataFrame, groups: Mapping[str, Sequence[str]], label: str, estimator: Estimator | NewtonLogistic, key: str, folds: int = 5,
+    kind: str = "xxhash64",
 ) -> DataFrame:
     """Greedy addition of the group that helps the cross-validated average precision
     most; one history row per step. Groups of one column give the per-feature form."""
-    return _selection(df, groups, label, estimator, key, folds, backward=False)
+    return _selection(df, groups, label, estimator, key, folds, False, kind)
 
 
 def backward_selection(
-    df: DataFrame, groups: Mapping[str, Sequence[str]], label: str, estimator: Estimator, key: str, folds: int = 5
+    df: DataFrame, groups: Mapping[str, Sequence[str]], label: str, estimator: Estimator | NewtonLogistic, key: str, folds: int = 5,
+    kind: str = "xxhash64",
 ) -> DataFrame:
     """Greedy removal, down to one group."""
-    return _selection(df, groups, label, estimator, key, folds, backward=True)
+    return _selection(df, groups, label, estimator, key, folds, True, kind)
 
 
-def rfe_bands(
-    df: DataFrame,
-    groups: Mapping[str, Sequence[str]],
-    label: str,
-    keep: int = 1,
-    c: float = 1.0,
-    iterations: int = 200,
-) -> DataFrame:
+def rfe_bands(df: DataFrame, groups: Mapping[str, Sequence[str]], label: str, keep: int = 1, c: float = 1.0) -> DataFrame:
     """Recursive elimination: scale, fit a logistic model, drop the group of the
-    smallest mean |coefficient|. Rows ``step, dropped, importance`` in drop order."""
+    smallest mean |coefficient|, the first on a tie. Rows that lack any column are left
+    out from the start. Rows ``step, dropped, importance`` in drop order."""
     columns = [x for g in groups.values() for x in g]
-    data = df.na.drop(subset=columns).select(q(label).alias(label), *[q(x) for x in columns]).cache()
-    n = data.count()
+    data = cut(df.na.drop(subset=columns).select(q(label).alias(label), *[q(x) for x in columns]))
     left, dropped = list(groups), []
     while len(left) > keep:
-        names = [x for g in left for x in groups[g]]
-        model = scaled_logistic(label, c=c, n=n, iterations=iterations).fit(vectors(data, names))
-        weights = dict(zip(names, model.stages[-1].coefficients.toArray()))
+        names = tuple(x for g in left for x in groups[g])
+        (model,) = fit_logistics(data, [Fit(names, NewtonLogistic(c))], label)
+        weights = dict(zip(names, model.weights))
         power = {g: sum(abs(float(weights[x])) for x in groups[g]) / len(groups[g]) for g in left}
         worst = min(left, key=power.get)
         dropped.append((len(dropped) + 1, worst, power[worst]))
         left.remove(worst)
-    data.unpersist()
     return df.sparkSession.createDataFrame(dropped, "step int, dropped string, importance double")
 
 
@@ -157,16 +160,13 @@ def linear_shap(
 ) -> DataFrame:
     """Mean |attribution| per group under a linear model: phi = w (x - E x) per
     column, averaged over the group's time steps per row, then over rows."""
-    columns = [x for g in groups.values() for x in g]
-    data = df.na.drop(subset=columns)
-    n = data.count()
-    fitted = scaled_logistic(label, c=c, n=n).fit(vectors(data, columns))
-    scaler, model = fitted.stages
-    w = {x: float(b) / float(s) for x, b, s in zip(columns, model.coefficients.toArray(), scaler.std.toArray()) if s}
-    mean = {x: float(m) for x, m in zip(columns, scaler.mean.toArray())}
+    columns = tuple(x for g in groups.values() for x in g)
+    data = df.na.drop(subset=list(columns))
+    (model,) = fit_logistics(data, [Fit(columns, NewtonLogistic(c))], label)
+    w, mean = model.slopes(), dict(zip(columns, model.mean))
     aggs, cells = [], []
     for i, (g, names) in enumerate(groups.items()):
-        phi = sum((F.lit(w.get(x, 0.0)) * (q(x) - F.lit(mean[x])) for x in names), F.lit(0.0)) / len(names)
+        phi = sum((F.lit(w[x]) * (q(x) - F.lit(float(mean[x]))) for x in names), F.lit(0.0)) / len(names)
         aggs.append(F.avg(F.abs(phi)).alias(f"s{i}"))
         cells.append(F.struct(F.lit(g).alias("band"), F.col(f"s{i}").alias("shap")))
     return data.agg(*aggs).select(F.explode(F.array(*cells)).alias("_c")).select("_c.*").orderBy(F.desc("shap"), "band")
@@ -174,7 +174,7 @@ def linear_shap(
 
 def score_horizons(model, slices: DataFrame, columns: Sequence[str], threshold: float = 0.5, label: str = "label") -> DataFrame:
     """Precision, recall and F1 of a fitted model on every horizon slice at once."""
-    scored = positive_probability(model.transform(vectors(slices, columns)))
+    scored = model.predict(slices) if isinstance(model, Fitted) else positive_probability(model.transform(vectors(slices, columns)))
     confusion = confusion_by_horizon(scored, "p", threshold, label)
     return prf_zero_division(confusion).orderBy("horizon")
 
@@ -256,22 +256,33 @@ def random_search(
     trials: int = 5,
     seed: int = 42,
     threshold: float = 0.5,
+    kind: str = "xxhash64",
 ) -> DataFrame:
-    """Seeded random choices from ``space``; ``make(n, **choice)`` builds the
-    estimator for ``n`` training rows.
+    """Seeded random choices from ``space``; ``make(n, **choice)`` builds the estimator for
+    ``n`` training rows. Where all are ``NewtonLogistic`` the trials are one batch of fits.
     One history row per trial with its F1 on the held-out fifth."""
+    marked = with_class_weight(df, label).withColumn("_h", F.pmod(row_hash([key], seed, kind), F.lit(5)))
+    n = marked.where("_h > 0").count()
+    choices = drawn_choices(space, trials, seed)
+    estimators = [make(n, **choice) for choice in choices]
+    if all(isinstance(e, NewtonLogistic) for e in estimators):
+        data = cut(marked)
+        fits = [Fit(tuple(columns), e, 0) for e in estimators]
+        held = held_out_scores(data, fits, fit_logistics(data, fits, label, "_h"), range(trials), label, "_h")
+    else:
+        data = cut(vectors(marked, columns))
+        train, rest = data.where("_h > 0"), data.where("_h = 0")
+        scored = [positive_probability(e.fit(train).transform(rest)) for e in estimators]
+        held = union_rows(*[s.select(F.lit(i).alias("option"), "p", q(label).alias("y")) for i, s in enumerate(scored)])
+    f1 = prf_zero_division(confusion_by_horizon(held.withColumnRenamed("option", "horizon"), "p", threshold, "y"))
+    found = {r["horizon"]: r["f1_1"] for r in f1.collect()}  # one row per trial
+    rows = [(i + 1, {k: str(v) for k, v in choice.items()}, float(found.get(i, 0.0))) for i, choice in enumerate(choices)]
+    return df.sparkSession.createDataFrame(rows, "step int, params map<string,string>, score double")
+
+
+def drawn_choices(space: Mapping[str, Sequence], trials: int, seed: int = 42) -> list[dict]:
+    """The seeded choices of ``random_search``."""
     import random
 
     rng = random.Random(seed)
-    data = vectors(with_class_weight(df, label), columns).withColumn("_h", F.pmod(row_hash([key], seed), F.lit(5))).cache()
-    rows = []
-    train = data.where("_h > 0")
-    n = train.count()
-    for step in range(1, trials + 1):
-        choice = {name: rng.choice(list(values)) for name, values in space.items()}
-        model = make(n, **choice).fit(train)
-        held = positive_probability(model.transform(data.where("_h = 0"))).withColumn("horizon", F.lit(0))
-        f1 = prf_zero_division(confusion_by_horizon(held, "p", threshold, label)).first()["f1_1"]
-        rows.append((step, {k: str(v) for k, v in choice.items()}, float(f1)))
-    data.unpersist()
-    return df.sparkSession.createDataFrame(rows, "step int, params map<string,string>, score double")
+    return [{name: rng.choice(list(values)) for name, values in space.items()} for _ in range(trials)]

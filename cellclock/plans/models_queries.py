@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cellclock.names import HISTORY, lag_columns, q
+from cellclock.names import HISTORY, HORIZONS, lag_columns, q
 from cellclock.operators import models, reshape, scoring
+from cellclock.operators.newton import Fit, NewtonLogistic, fit_logistics
 from cellclock.operators.ordered import best_step
 from cellclock.plans import fixtures as fx
 from cellclock.plans.profiles_queries import rounded
 from cellclock.plans.registry import query
+from cellclock.plans.reshaping_queries import _slice_sql as slice_sql, hash_sql
 
 COLS = lag_columns(["A", "B"], HISTORY)
 
@@ -143,26 +145,96 @@ def _logistic(n):
     return models.scaled_logistic("y", c=1.0, n=n, iterations=100)
 
 
-@query("forward_selection")
+def _masks(columns, groups):
+    """A list of 0 and 1 per column: whether it belongs to one of ``groups``."""
+    return "[" + ", ".join("1.0" if c[0] in groups else "0.0" for c in columns) + "]::DOUBLE[]"
+
+
+def _rows_sql(columns, table="features", label="y", fold=None):
+    """``raw``: id-free rows with the columns as one list."""
+    return f"""raw AS (SELECT {fold or "CAST(NULL AS INT)"} AS fold, {label} AS y, [{", ".join(f'"{c}"' for c in columns)}]::DOUBLE[] AS x FROM {table})"""
+
+
+def _newton_sql(d, name="", steps=12, fits="fits"):
+    """CTEs from ``raw`` (fold, y, x) and ``fits`` (fit, mask, without, c) to ``model`` (fit, w,
+    m, s): plain Newton steps from 0, each an aggregate of the normal equations and one
+    elimination of them, column by column. A masked column has weight 0."""
+    cells = range(1, d + 2)
+    # Row i of the system: curvature, then the slope; the intercept has no penalty.
+    chain = f"""SELECT fit, it, any_value(w) AS w, any_value(mask) AS mask, list(row_ ORDER BY i) AS a FROM (
+        SELECT fit, it, i, any_value(w) AS w, any_value(mask) AS mask,
+          list_append(list(h ORDER BY j), any_value(g)) AS row_ FROM (
+          SELECT n.fit AS fit, n.it AS it, i, j, any_value(n.w) AS w, any_value(n.mask) AS mask,
+            sum(z.z[i] * z.z[j] * n_p * (1 - n_p)) + CASE WHEN i = j AND i > 1 THEN 1 / any_value(n.c) ELSE 0 END AS h,
+            sum(z.z[i] * (z.y - n_p)) - CASE WHEN i > 1 THEN any_value(n.w)[i] / any_value(n.c) ELSE 0 END AS g
+          FROM (SELECT n.*, z.y AS zy, z.z AS zz, 1 / (1 + exp(-list_dot_product(n.w, z.z))) AS n_p FROM newton{name} n JOIN z{name} z USING (fit) WHERE n.it < {steps}) n,
+            LATERAL (SELECT n.zy AS y, n.zz AS z) z, range(1, {d + 2}) a(i), range(1, {d + 2}) b(j) GROUP BY n.fit, n.it, i, j) GROUP BY fit, it, i) GROUP BY fit, it"""
+    for k in cells:
+        rows = ", ".join(
+            f"[v / a[{k}][{k}] FOR v IN a[{k}]]" if i == k else f"[a[{i}][j] - a[{i}][{k}] * a[{k}][j] / a[{k}][{k}] FOR j IN range(1, {d + 3})]" for i in cells
+        )
+        chain = f"SELECT fit, it, w, mask, [{rows}] AS a FROM ({chain})"
+    return f"""train{name} AS (SELECT f.fit AS fit, f.mask AS mask, r.y AS y, r.x AS x FROM {fits} f JOIN raw r ON f.without IS NULL OR r.fold <> f.without),
+  scale{name} AS (SELECT fit, list(m ORDER BY i) AS m, list(s ORDER BY i) AS s FROM
+    (SELECT fit, i, avg(x[i]) AS m, stddev_samp(x[i]) AS s FROM train{name}, range(1, {d + 1}) t(i) GROUP BY fit, i) GROUP BY fit),
+  z{name} AS (SELECT t.fit AS fit, t.y AS y, list_prepend(1.0::DOUBLE, [t.mask[i] * (t.x[i] - c.m[i]) / c.s[i] FOR i IN range(1, {d + 1})]) AS z FROM train{name} t JOIN scale{name} c USING (fit)),
+  newton{name} AS (SELECT fit, 0 AS it, [0.0 FOR i IN range(0, {d + 1})]::DOUBLE[] AS w, mask, c FROM {fits}
+    UNION ALL SELECT s.fit, s.it + 1, [s.w[i] + s.a[i][{d + 2}] FOR i IN range(1, {d + 2})]::DOUBLE[], s.mask, f.c FROM ({chain}) s JOIN {fits} f USING (fit)),
+  model{name} AS (SELECT n.fit AS fit, n.w AS w, n.mask AS mask, c.m AS m, c.s AS s FROM newton{name} n JOIN scale{name} c USING (fit) WHERE n.it = {steps})"""
+
+
+def _margin_sql(d):
+    return f"list_dot_product(m.w, list_prepend(1.0::DOUBLE, [m.mask[i] * (r.x[i] - m.m[i]) / m.s[i] FOR i IN range(1, {d + 1})]))"
+
+
+# Mean average precision over the folds of the column sets A, B and both.
+_CV_SQL = f"""{_rows_sql(COLS, fold=f"CAST({hash_sql('id')} % 5 AS INT)")},
+  options AS (SELECT 'A' AS o, {_masks(COLS, "A")} AS mask UNION ALL SELECT 'B', {_masks(COLS, "B")} UNION ALL SELECT 'AB', {_masks(COLS, "AB")}),
+  fits AS (SELECT o || k AS fit, o, mask, CAST(k AS INT) AS without, 1.0::DOUBLE AS c FROM options, range(5) t(k)),
+  {_newton_sql(len(COLS))},
+  held AS (SELECT f.o AS o, r.fold AS fold, {_margin_sql(len(COLS))} AS s, r.y AS y FROM model m JOIN fits f USING (fit) JOIN raw r ON r.fold = f.without),
+  steps AS (SELECT o, fold, s, sum(y) AS p, count(*) AS n FROM held GROUP BY o, fold, s),
+  run AS (SELECT o, fold, p, sum(p) OVER w AS tp, sum(n) OVER w AS seen, sum(p) OVER (PARTITION BY o, fold) AS total FROM steps WINDOW w AS (PARTITION BY o, fold ORDER BY s DESC)),
+  cv AS (SELECT o, avg(ap) AS score FROM (SELECT o, fold, sum(p / total * tp / seen) AS ap FROM run GROUP BY o, fold) GROUP BY o),
+  single AS (SELECT o, score FROM cv WHERE length(o) = 1 ORDER BY score DESC, o LIMIT 1)"""
+
+
+@query("forward_selection", views="features",
+       oracle=f"""WITH RECURSIVE {_CV_SQL} SELECT 1 AS step, [o] AS bands, 1 AS n_bands, 6 AS n_features, round(score, 6) AS score FROM single
+         UNION ALL SELECT 2, [single.o, CASE single.o WHEN 'A' THEN 'B' ELSE 'A' END], 2, 12, round(cv.score, 6) FROM cv, single WHERE cv.o = 'AB'""")
 def forward_selection(spark, sf_dir):
     f = fx.features(spark, sf_dir)
-    return models.forward_selection(f, models.band_groups(["A", "B"]), "y", _logistic, "id")
+    return rounded(models.forward_selection(f, models.band_groups(["A", "B"]), "y", NewtonLogistic(), "id", kind="arithmetic"))
 
 
-@query("backward_selection")
+@query("backward_selection", views="features",
+       oracle=f"WITH RECURSIVE {_CV_SQL} SELECT 1 AS step, [o] AS bands, 1 AS n_bands, 6 AS n_features, round(score, 6) AS score FROM (SELECT * FROM cv WHERE length(o) = 1 ORDER BY score DESC, o DESC LIMIT 1)")
 def backward_selection(spark, sf_dir):
     f = fx.features(spark, sf_dir)
-    return models.backward_selection(f, models.band_groups(["A", "B"]), "y", _logistic, "id")
+    return rounded(models.backward_selection(f, models.band_groups(["A", "B"]), "y", NewtonLogistic(), "id", kind="arithmetic"))
 
 
-@query("rfe_bands")
+_RFE = lag_columns(["A", "B", "C"], HISTORY)
+_POWER = "SELECT b, avg(abs(w[i + 1])) AS v FROM model{n}, range(1, 19) t(i), LATERAL (SELECT ['A', 'B', 'C'][(i - 1) // 6 + 1] AS b) WHERE mask[i] > 0 GROUP BY b ORDER BY v, b LIMIT 1"
+
+
+@query("rfe_bands",
+       oracle=f"""WITH RECURSIVE {fx._features_sql(3)}, {_rows_sql(_RFE)},
+  fits AS (SELECT 1 AS fit, {_masks(_RFE, "ABC")} AS mask, CAST(NULL AS INT) AS without, 1.0::DOUBLE AS c), {_newton_sql(18, "1")},
+  gone AS ({_POWER.format(n="1")}),
+  fits2 AS (SELECT fit, [CASE WHEN ['A', 'B', 'C'][(i - 1) // 6 + 1] = b THEN 0.0 ELSE 1.0 END FOR i IN range(1, 19)]::DOUBLE[] AS mask, without, c FROM fits, gone), {_newton_sql(18, "2", fits="fits2")},
+  gone2 AS ({_POWER.format(n="2")})
+  SELECT 1 AS step, b AS dropped, round(v, 6) AS importance FROM gone UNION ALL SELECT 2, b, round(v, 6) FROM gone2""")
 def rfe_bands(spark, sf_dir):
-    return models.rfe_bands(fx.features(spark, sf_dir, 3), models.band_groups(["A", "B", "C"]), "y")
+    return rounded(models.rfe_bands(fx.features(spark, sf_dir, 3), models.band_groups(["A", "B", "C"]), "y"))
 
 
-@query("linear_shap")
+@query("linear_shap", views="features",
+       oracle=f"""WITH RECURSIVE {_rows_sql(COLS)}, fits AS (SELECT 1 AS fit, {_masks(COLS, "AB")} AS mask, CAST(NULL AS INT) AS without, 1.0::DOUBLE AS c), {_newton_sql(12)},
+  phi AS (SELECT {", ".join(f"(" + " + ".join(f"m.w[{6 * b + i + 1}] / m.s[{6 * b + i}] * (r.x[{6 * b + i}] - m.m[{6 * b + i}])" for i in range(1, 7)) + f") / 6 AS p{b}" for b in range(2))} FROM raw r, model m)
+  SELECT 'A' AS band, round(avg(abs(p0)), 6) AS shap FROM phi UNION ALL SELECT 'B', round(avg(abs(p1)), 6) FROM phi""")
 def linear_shap(spark, sf_dir):
-    return models.linear_shap(fx.features(spark, sf_dir), models.band_groups(["A", "B"]), "y")
+    return rounded(models.linear_shap(fx.features(spark, sf_dir), models.band_groups(["A", "B"]), "y"))
 
 
 @query("baseline_models")
@@ -181,6 +253,22 @@ def baseline_models(spark, sf_dir):
     return out
 
 
+@query("baseline_logistic", views="features",
+       oracle=f"""WITH RECURSIVE {_rows_sql(COLS, fold=f"CASE WHEN {hash_sql('id')} % 100 < 80 THEN 1 ELSE 0 END")},
+  fits AS (SELECT 1 AS fit, {_masks(COLS, "AB")} AS mask, 0 AS without, 1.0::DOUBLE AS c), {_newton_sql(len(COLS))},
+  steps AS (SELECT s, sum(y) AS p, count(*) AS n FROM (SELECT {_margin_sql(len(COLS))} AS s, r.y AS y FROM model m, raw r WHERE r.fold = 0) GROUP BY s),
+  run AS (SELECT p, sum(p) OVER w AS tp, sum(n) OVER w AS seen, sum(p) OVER () AS total FROM steps WINDOW w AS (ORDER BY s DESC))
+  SELECT round(sum(p / total * tp / seen), 6) AS average_precision FROM run""")
+def baseline_logistic(spark, sf_dir):
+    """Average precision of the logistic baseline alone on a hashed fifth."""
+    from cellclock.operators.metrics import average_precision
+    from cellclock.operators.sampling import train_val_split
+
+    train, test = train_val_split(fx.features(spark, sf_dir), ["id"], kind="arithmetic")
+    (model,) = fit_logistics(train, [Fit(tuple(COLS))], "y")
+    return rounded(average_precision(model.predict(test), "p"))
+
+
 SLICE = [*lag_columns(["V", "K"], HISTORY)]
 
 
@@ -202,17 +290,41 @@ def gbt_early_stop(spark, sf_dir):
     return models.early_stop_report(losses, patience=2)
 
 
-@query("score_horizons")
+_PRF_SQL = """coalesce(tp / nullif(tp + fp, 0), 0) AS p1, coalesce(tp / nullif(tp + fn, 0), 0) AS r1, coalesce(tn / nullif(tn + fn, 0), 0) AS p0, coalesce(tn / nullif(tn + fp, 0), 0) AS r0"""
+
+
+def _count_sql(by, table):
+    counts = ", ".join(f"count(*) FILTER (WHERE {test}) AS {n}" for n, test in {"tp": "y = 1 AND hit", "tn": "y = 0 AND NOT hit", "fp": "y = 0 AND hit", "fn": "y = 1 AND NOT hit"}.items())
+    return f"SELECT {by}, {counts} FROM {table} GROUP BY {by}"
+
+
+@query("score_horizons", views="samples",
+       oracle=f"""WITH RECURSIVE slices AS ({" UNION ALL ".join(f"SELECT {h} AS horizon, {slice_sql(h)}, output_{h} AS label FROM samples" for h in range(HORIZONS))}),
+  raw AS (SELECT horizon, CAST(NULL AS INT) AS fold, label AS y, [{", ".join(f'"{c}"' for c in SLICE)}]::DOUBLE[] AS x FROM slices WHERE {" AND ".join(f'"{c}" IS NOT NULL' for c in SLICE)}),
+  fits AS (SELECT 1 AS fit, {_masks(SLICE, "VK")} AS mask, CAST(NULL AS INT) AS without, 1.0::DOUBLE AS c), {_newton_sql(len(SLICE))},
+  hits AS (SELECT r.horizon AS horizon, r.y AS y, 1 / (1 + exp(-{_margin_sql(len(SLICE))})) >= 0.35 AS hit FROM raw r, model m),
+  n AS ({_count_sql("horizon", "hits")}), e AS (SELECT *, {_PRF_SQL} FROM n)
+  SELECT horizon, tp, tn, fp, fn, round(p1, 6) AS precision_1, round(r1, 6) AS recall_1, round(coalesce(2 * p1 * r1 / nullif(p1 + r1, 0), 0), 6) AS f1_1,
+    round(p0, 6) AS precision_0, round(r0, 6) AS recall_0, round(coalesce(2 * p0 * r0 / nullif(p0 + r0, 0), 0), 6) AS f1_0 FROM e""")
 def score_horizons(spark, sf_dir):
     s = fx.samples(spark, sf_dir)
-    train = models.vectors(reshape.sliding_training_rows(s, ["V", "K"], ["sid"]), SLICE)
-    model = models.scaled_logistic("output_0", n=train.count()).fit(train)
-    return models.score_horizons(model, reshape.horizon_slices(s, ["V", "K"], ["sid"]), SLICE, threshold=0.35)
+    train = reshape.sliding_training_rows(s, ["V", "K"], ["sid"])
+    (model,) = fit_logistics(train, [Fit(tuple(SLICE))], "output_0")
+    return rounded(models.score_horizons(model, reshape.horizon_slices(s, ["V", "K"], ["sid"]), SLICE, threshold=0.35))
+
+
+_SPACE = {"c": [0.001, 0.01, 0.1, 1.0, 10.0]}
+_DRAWN = [choice["c"] for choice in models.drawn_choices(_SPACE, 5)]
 
 
-@query("random_search")
+@query("random_search", views="features",
+       oracle=f"""WITH RECURSIVE {_rows_sql(COLS, fold=f"CAST({hash_sql('id')} % 5 AS INT)")},
+  fits AS (SELECT unnest([{", ".join(str(i + 1) for i in range(5))}]) AS fit, {_masks(COLS, "AB")} AS mask, 0 AS without, unnest({_DRAWN}::DOUBLE[]) AS c), {_newton_sql(len(COLS))},
+  hits AS (SELECT m.fit AS fit, r.y AS y, 1 / (1 + exp(-{_margin_sql(len(COLS))})) >= 0.5 AS hit FROM model m, raw r WHERE r.fold = 0),
+  n AS ({_count_sql("fit", "hits")}), e AS (SELECT *, {_PRF_SQL} FROM n)
+  SELECT fit AS step, c, round(coalesce(2 * p1 * r1 / nullif(p1 + r1, 0), 0), 6) AS score FROM e JOIN fits USING (fit) ORDER BY 3 DESC, 1 LIMIT 1""")
 def random_search(spark, sf_dir):
     f = fx.features(spark, sf_dir)
-    space = {"c": [0.1, 1.0, 10.0], "iterations": [10, 20]}
-    trials = models.random_search(f, COLS, "y", "id", space, lambda n, c, iterations: models.scaled_logistic("y", c=c, n=n, iterations=iterations))
-    return best_step(trials, "step", "score")
+    trials = models.random_search(f, COLS, "y", "id", _SPACE, lambda n, c: NewtonLogistic(c), kind="arithmetic")
+    best = best_step(rounded(trials), "step", "score")
+    return best.select("step", F.col("params")["c"].cast("double").alias("c"), "score")
