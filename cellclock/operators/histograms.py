@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from cellclock.functions.scaling import normalized, scale_clip, scale_maxabs_clip
 from cellclock.names import HORIZONS, lag_name, q
 from cellclock.operators.keyed import lookup
-from cellclock.operators.ordered import quantiles
+from cellclock.operators.ordered import rank_moments, rank_quantiles, value_ranks
 
 MASTER_BINS = 50000  # fixed value
 
@@ -213,16 +213,14 @@ def stats_from_histogram(
 
 
 def trimmed_density(df: DataFrame, value: str, bins: int = 100, group_by: Sequence[str] = ()) -> DataFrame:
-    """Density histogram between the 0.5 and 99.5 percentiles (last bin closed)."""
-    group = list(group_by) or ["_all"]
-    base = df.where(q(value).isNotNull()).withColumn("_v", q(value).cast("double"))
-    if not group_by:
-        base = base.withColumn("_all", F.lit(0))
-    bounds = quantiles(base, "_v", {"lo": 0.005, "hi": 0.995}, group)
-    inside = lookup(base, bounds, group, "inner").where(F.col("_v").between(F.col("lo"), F.col("hi")))
+    """Density histogram between the 0.5 and 99.5 percentiles (last bin closed), from one
+    scan of ``df``; NULL and NaN are left out."""
+    ranks, group = value_ranks(df, value, group_by)
+    bounds = rank_quantiles(ranks, group, {"lo": 0.005, "hi": 0.995})
+    inside = lookup(ranks, bounds, group, "inner").where(F.col("_v").between(F.col("lo"), F.col("hi")))
     width = (F.col("hi") - F.col("lo")) / bins
     where = F.least(F.lit(bins - 1), F.floor((F.col("_v") - F.col("lo")) / F.nullif(width, F.lit(0.0)))).cast("int")
-    counts = inside.groupBy(*group, "lo", "hi", where.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
+    counts = inside.groupBy(*group, "lo", "hi", where.alias("bin")).agg(F.sum("_c").alias("count"))
     totals = counts.groupBy(*group).agg(F.sum("count").alias("_total"))
     out = lookup(counts, totals, group, "inner")
     out = out.withColumn("density", F.col("count") / (F.col("_total") * F.nullif(width, F.lit(0.0)))).drop("_total")
@@ -259,27 +257,23 @@ def kde_bounds(
     between the 0.5 and 99.5 percentiles first and last exceeds ``threshold`` of
     its peak; NULL when that is the end of the range, or when a group has no spread.
 
-    The data is first reduced to ``bins`` counts over its full range, at bin means,
+    ``df`` is scanned once. Its values are reduced to ``bins`` counts over its full range, at bin means,
     so the kernel sums take at most bins x points steps per group, whatever the
     number of rows.
     """
-    group = list(group_by) or ["_all"]
-    base = df.where(q(value).isNotNull()).withColumn("_v", q(value).cast("double"))
-    if not group_by:
-        base = base.withColumn("_all", F.lit(0))
+    ranks, group = value_ranks(df, value, group_by)
     v = F.col("_v")
-    moments = base.groupBy(*group).agg(
-        F.count(v).alias("_n"), F.stddev_samp(v).alias("_s"), F.min(v).alias("_min"), F.max(v).alias("_max")
-    )
-    bounds = quantiles(base, "_v", {"lo": 0.005, "hi": 0.995}, group)
-    bounds = lookup(bounds, moments, group, "inner")
+    found = rank_moments()
+    also = {"_n": found["count"], "_s": found["std"], "_min": found["min"], "_max": found["max"]}
+    bounds = rank_quantiles(ranks, group, {"lo": 0.005, "hi": 0.995}, also)
     width = (F.col("_max") - F.col("_min")) / bins
     where = F.least(F.lit(bins - 1), F.floor((v - F.col("_min")) / width)).cast("int")
-    binned = lookup(base, moments.where("_s > 0"), group, "inner").groupBy(*group, where.alias("_bin")).agg(
-        F.count(F.lit(1)).alias("_c"), F.avg(v).alias("_x")
+    spread = bounds.where("_s > 0").select(*group, "_min", "_max")
+    binned = lookup(ranks, spread, group, "inner").groupBy(*group, where.alias("_bin")).agg(
+        F.sum("_c").alias("_k"), (F.sum(v * F.col("_c")) / F.sum("_c")).alias("_x")
     )
     # A group's bins are one short array (at most ``bins`` entries).
-    packed = binned.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_x", "_c"))).alias("_bins"))
+    packed = binned.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_x", F.col("_k").alias("_c")))).alias("_bins"))
     h = F.col("_s") * F.pow(F.col("_n"), F.lit(-0.2))
     ends = _density_ends(points, threshold)
     density = lookup(bounds.where("hi > lo"), packed, group, "inner").select(

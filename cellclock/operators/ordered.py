@@ -92,18 +92,15 @@ def batch_numbers(
     return numbered.withColumn(name, F.floor((F.col("_rn") - 1) / size)).drop("_rn")
 
 
-def quantiles(
-    df: DataFrame,
-    value: str,
-    probs: Mapping[str, float],
-    group_by: Sequence[str] = (),
-    weight: str | None = None,
-) -> DataFrame:
-    """Exact, linearly interpolated quantiles per group, by distributed counting.
-
-    Equal values are counted before any shuffle, the distinct values are sorted in
-    ranges, and only the rows that hold a wanted rank are combined at the end, so
-    no task sees a whole group.
+def value_ranks(df: DataFrame, value: str, group_by: Sequence[str] = (), weight: str | None = None) -> tuple[DataFrame, list[str]]:
+    """The stored relation of distinct values that profiles are made from, and its group
+    columns: ``_v`` with its count ``_c``, the count up to it ``_end``, and of its group
+    the total ``_n`` and the mean ``_mean``.
+
+    ``df`` is scanned once, here: equal values are counted before any shuffle and sorted
+    in ranges, which are written. Whatever is aggregated from the relation reads that
+    table. NULL and NaN are left out, values count as doubles; a ``weight`` counts a row
+    several times, or not at all.
     """
     group = list(group_by) or ["_all"]
     w = q(weight) if weight else F.lit(1)
@@ -115,23 +112,61 @@ def quantiles(
     )
     counts = counts.where(F.col("_c") > 0)
     ranked = running_total(counts, ["_v"], {"_end": "_c"}, group)
-    totals = ranked.groupBy(*group).agg(F.max("_end").alias("_n"))
-    joined = lookup(ranked, totals, group, "inner")
+    totals = ranked.groupBy(*group).agg(
+        F.max("_end").alias("_n"), (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("_mean")
+    )
+    return lookup(ranked, totals, group, "inner"), group
+
+
+def rank_moments() -> dict[str, Column]:
+    """count, mean, std (of the sample), min and max as aggregates over ``value_ranks``.
+    The mean is known by then, so deviations do not cancel."""
+    n, gap = F.max("_n"), F.col("_v") - F.col("_mean")
+    return {
+        "count": n,
+        "mean": F.max("_mean"),
+        "std": F.when(n > 1, F.sqrt(F.sum(F.col("_c") * gap * gap) / F.nullif(n - 1, F.lit(0)))),
+        "min": F.min("_v"),
+        "max": F.max("_v"),
+    }
+
+
+def rank_quantiles(
+    ranks: DataFrame, group: Sequence[str], probs: Mapping[str, float], also: Mapping[str, Column] | None = None
+) -> DataFrame:
+    """Exact, linearly interpolated quantiles of ``value_ranks``, with further aggregates
+    ``also`` over the same rows. Only the rows that hold a wanted rank are combined at the
+    end, so no task sees a whole group."""
 
     def at(rank: Column) -> Column:
         return F.max(F.when((rank >= F.col("_end") - F.col("_c")) & (rank < F.col("_end")), F.col("_v")))
 
-    aggs = [F.max("_n").alias("_n")]
+    also = also or {}
+    aggs = [F.max("_n").alias("_total"), *[c.alias(n) for n, c in also.items()]]
     for name, p in probs.items():
         pos = F.lit(p) * (F.col("_n") - 1)
         aggs += [at(F.floor(pos)).alias(f"_lo_{name}"), at(F.ceil(pos)).alias(f"_hi_{name}")]
-    picked = joined.groupBy(*group).agg(*aggs)
+    picked = ranks.groupBy(*group).agg(*aggs)
     exprs = []
     for name, p in probs.items():
-        pos = F.lit(p) * (F.col("_n") - 1)
+        pos = F.lit(p) * (F.col("_total") - 1)
         lo, hi = q(f"_lo_{name}"), q(f"_hi_{name}")
         exprs.append((lo + (hi - lo) * (pos - F.floor(pos))).alias(name))
-    return picked.select(*group_by, *exprs)
+    return picked.select(*group, *also, *exprs)
+
+
+def quantiles(
+    df: DataFrame,
+    value: str,
+    probs: Mapping[str, float],
+    group_by: Sequence[str] = (),
+    weight: str | None = None,
+    also: Mapping[str, Column] | None = None,
+) -> DataFrame:
+    """``rank_quantiles`` of the ``value_ranks`` of ``df``: one scan of it."""
+    ranks, group = value_ranks(df, value, group_by, weight)
+    out = rank_quantiles(ranks, group, probs, also)
+    return out if group_by else out.drop(*group)
 
 
 def top_k(df: DataFrame, score: str, k: int, ties: Sequence[str], descending: bool = True) -> DataFrame:

@@ -11,7 +11,7 @@ from cellclock.functions.clock import floor_clock, from_epoch_minutes, epoch_min
 from cellclock.functions.special import pearson
 from cellclock.names import FULL, HORIZONS, lag_name, q
 from cellclock.operators.keyed import lookup
-from cellclock.operators.ordered import quantiles
+from cellclock.operators.ordered import quantiles, rank_moments, rank_quantiles, value_ranks
 
 
 def pool_lags(
@@ -92,29 +92,28 @@ def band_stats(
     """count, min, max, mean, median, p2, p98 and max|x| of ``value`` per group.
 
     ``exact=False`` uses the mergeable quantile sketch in the same aggregate: one
-    pass, rank error 1/accuracy. ``weight`` counts a row several times and needs
-    the exact form.
+    pass, rank error 1/accuracy. The exact form scans ``pooled`` once as well and takes
+    all from the counted values. ``weight`` counts a row several times, or not at all,
+    and needs the exact form.
     """
-    v, group = F.col("value"), list(group_by)
-    clean = pooled.where(valid(v))
-    w = q(weight) if weight else F.lit(1)
-    aggs = [
-        F.sum(w).cast("long").alias("count"),
-        F.min(v).alias("min"),
-        F.max(v).alias("max"),
-        (F.sum(v * w) / F.sum(w)).alias("mean"),
-        F.max(F.abs(v)).alias("max_abs"),
-    ]
+    names = ["count", "min", "max", "mean", "max_abs"]
     if exact:
-        stats = clean.groupBy(*group).agg(*aggs)
-        out = lookup(stats, quantiles(clean, "value", BAND_QUANTILES, group, weight), group, "inner")
+        also = {n: c for n, c in rank_moments().items() if n in names} | {"max_abs": F.max(F.abs("_v"))}
+        out = quantiles(pooled, "value", BAND_QUANTILES, group_by, weight, also)
     else:
         if weight:
             raise ValueError("the quantile sketch takes no weights; use exact=True")
-        sketch = F.percentile_approx(v, list(BAND_QUANTILES.values()), accuracy)
-        out = clean.groupBy(*group).agg(*aggs, sketch.alias("_q"))
+        v = F.col("value")
+        out = pooled.where(valid(v)).groupBy(*group_by).agg(
+            F.count(v).alias("count"),
+            F.min(v).alias("min"),
+            F.max(v).alias("max"),
+            F.avg(v).alias("mean"),
+            F.max(F.abs(v)).alias("max_abs"),
+            F.percentile_approx(v, list(BAND_QUANTILES.values()), accuracy).alias("_q"),
+        )
         out = out.withColumns({n: F.col("_q")[i] for i, n in enumerate(BAND_QUANTILES)})
-    return out.select(*group, "count", "min", "max", "mean", "median", "p2", "p98", "max_abs")
+    return out.select(*group_by, "count", "min", "max", "mean", "median", "p2", "p98", "max_abs")
 
 
 def maxabs_stats(pooled: DataFrame, group_by: Sequence[str] = ("band",)) -> DataFrame:
@@ -169,21 +168,17 @@ def range_violations(pooled: DataFrame, scales: DataFrame) -> DataFrame:
 
 def box_stats(df: DataFrame, value: str, group_by: Sequence[str] = ()) -> DataFrame:
     """Quartiles, 1.5 IQR fences, whisker ends and the number of outliers."""
-    group = list(group_by) or ["_all"]
-    clean = df.where(valid(q(value).cast("double"))).withColumn("_v", q(value).cast("double"))
-    if not group_by:
-        clean = clean.withColumn("_all", F.lit(0))
-    box = quantiles(clean, "_v", {"q1": 0.25, "median": 0.5, "q3": 0.75}, group)
+    ranks, group = value_ranks(df, value, group_by)
+    box = rank_quantiles(ranks, group, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     iqr = F.col("q3") - F.col("q1")
     box = box.withColumns({"low_fence": F.col("q1") - 1.5 * iqr, "high_fence": F.col("q3") + 1.5 * iqr})
-    # Values are counted first, so the fences meet one row per distinct value.
-    counts = clean.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    # The fences meet the stored distinct values, not the rows.
     inside = F.col("_v").between(F.col("low_fence"), F.col("high_fence"))
     names = ["q1", "median", "q3", "low_fence", "high_fence"]
-    out = lookup(counts, box, group, "inner").groupBy(*group, *names).agg(
+    out = lookup(ranks, box, group, "inner").groupBy(*group, *names).agg(
         F.min(F.when(inside, F.col("_v"))).alias("whisker_low"),
         F.max(F.when(inside, F.col("_v"))).alias("whisker_high"),
-        F.sum(F.when(inside, 0).otherwise(F.col("_n"))).alias("outliers"),
+        F.sum(F.when(inside, 0).otherwise(F.col("_c"))).alias("outliers"),
     )
     return out.drop("_all") if not group_by else out
 
