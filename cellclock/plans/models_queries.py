@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cellclock.names import HISTORY, HORIZONS, lag_columns, q
+from cellclock.names import HISTORY, HORIZONS, lag_columns
 from cellclock.operators import models, reshape, scoring
 from cellclock.operators.newton import Fit, NewtonLogistic, fit_logistics
 from cellclock.operators.ordered import best_step
