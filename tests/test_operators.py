@@ -120,6 +120,44 @@ def test_dilation_grows_clips_and_keeps(spark):
     assert out == want
 
 
+@pytest.mark.parametrize("radius", [4, 5])
+def test_dilation_of_cells_beyond_the_grid(spark, radius):
+    cells = [(1, 12, 2), (1, 14, 2), (1, 40, 2), (1, 5, -3), (1, 2, 9)]
+    mask = spark.createDataFrame(cells, "ts int, row int, col int")
+    near = lambda r, c: any(max(abs(r - a), abs(c - b)) <= radius for _, a, b in cells)
+    out = {(r["row"], r["col"]) for r in rasters.dilate_mask(mask, 10, 5, radius).collect()}
+    assert out == {(r, c) for r in range(10) for c in range(5) if near(r, c)}
+    out = {(r["row"], r["col"]) for r in rasters.dilate_mask(mask, None, None, radius).collect()}
+    assert out == {(r, c) for r in range(-10, 60) for c in range(-20, 30) if near(r, c)}
+
+
+def test_area_mean_beyond_the_grid(spark):
+    fine, coarse = Grid(101.0, 24.0, 0.04, 0.04, 6, 3), Grid(101.0, 24.0, 0.12, 0.12, 2, 1)
+    rows = [("a", 1, r, c, float(r * 10 + c)) for r in range(12) for c in range(6)]
+    cells = spark.createDataFrame(rows, "band string, ts int, row int, col int, value double")
+    want = {(r, c): np.mean([v for _, _, a, b, v in rows if (a // 3, b // 3) == (r, c)]) for r in range(4) for c in range(2)}
+    for clip, kept in ((False, want), (True, {k: v for k, v in want.items() if k in ((0, 0), (1, 0))})):
+        out = rasters.area_mean_resample(cells, fine, coarse, clip=clip).collect()
+        assert {(r["row"], r["col"]): r["value"] for r in out} == pytest.approx(kept)
+
+
+@pytest.mark.parametrize("name", ["area_mean_resample", "dilate_mask", "dilate_mask_r5", "region_pools"])
+def test_rasters_of_many_users(spark, tmp_path, name):
+    """Users beyond the 438 rows of the grid, as in the larger tables."""
+    pytest.importorskip("duckdb")
+    from check_oracle import compare, connect
+    from conftest import SF_DIR
+
+    from cellclock.plans.registry import load
+
+    events = spark.read.parquet(f"{SF_DIR}/events.parquet")
+    events.withColumn("user_id", F.col("user_id") * 10 + 6480).coalesce(1).write.parquet(str(tmp_path / "made"))
+    (part,) = (tmp_path / "made").glob("*.parquet")
+    (tmp_path / "events.parquet").hardlink_to(part)
+    queries, oracles = load()
+    assert compare(queries[name](spark, str(tmp_path)), connect(str(tmp_path)), oracles[name]) is None
+
+
 def test_land_and_sea_differ_at_zero(spark):
     df = spark.createDataFrame([(0.0,)], "v double")
     row = df.select(rasters.land_sea_flag(F.col("v")), rasters.land_sea_flag(F.col("v"), "land_above")).first()
