@@ -84,3 +84,9 @@ def test_hot_cell_is_split_by_adaptive_execution(spark):
     finally:
         for key, value in old.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_bounds_of_bands_are_sent_to_the_rows(spark):
+    """A shuffle by band would put all values of one into a task."""
+    p = plan(QUERIES["range_violations"](spark, SF_DIR))
+    assert "BroadcastHashJoin [band" in p and "SortMergeJoin [_lookup_key" not in p
