@@ -17,6 +17,8 @@ from cellclock.operators.newton import Fit, Fitted, NewtonLogistic, fit_logistic
 from cellclock.operators.sampling import row_hash, stratified_folds, union_rows
 from cellclock.session import cut
 
+PART_ROWS = 200_000  # training rows of a partition
+
 
 def with_class_weight(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
     """n / (2 * n_class): both classes weigh the same, a NULL label nothing. Counts are
@@ -51,6 +53,15 @@ def vectors(df: DataFrame, columns: Sequence[str], output: str = "features") ->
     return VectorAssembler(inputCols=list(columns), outputCol=output, handleInvalid="skip").transform(df)
 
 
+def bounded(df: DataFrame, key: Sequence[str], copies: int = 1) -> DataFrame:
+    """``df`` in as many hash partitions as it takes for PART_ROWS training rows in each,
+    where a row becomes ``copies`` of them. Tree fits hold and read their input by
+    partition, in a form many times as large as the shuffle that adaptive execution
+    coalesces by. ``df`` is counted, so it should be a stored table."""
+    parts = max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() * copies // PART_ROWS))
+    return df.repartition(parts, *key)
+
+
 def positive_probability(predictions: DataFrame, name: str = "p") -> DataFrame:
     return predictions.withColumn(name, vector_to_array("probability")[1])
 

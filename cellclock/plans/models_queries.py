@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from cellclock.names import HISTORY, HORIZONS, lag_columns
+from cellclock.names import FULL, HISTORY, HORIZONS, lag_columns, q
 from cellclock.operators import models, reshape, scoring
 from cellclock.operators.newton import Fit, NewtonLogistic, fit_logistics
 from cellclock.operators.ordered import best_step
@@ -272,10 +272,16 @@ def baseline_logistic(spark, sf_dir):
 SLICE = [*lag_columns(["V", "K"], HISTORY)]
 
 
+def _boosted(spark, sf_dir):
+    """What the boosted trees read of the samples, stored: fits pass over them many times."""
+    s = fx.samples(spark, sf_dir)
+    return models.cut(s.select("sid", *[q(c) for c in lag_columns(["V", "K"], FULL)], *[f"output_{h}" for h in range(HORIZONS)]))
+
+
 @query("gbt_classifier")
 def gbt_classifier(spark, sf_dir):
-    s = fx.samples(spark, sf_dir)
-    train = reshape.sliding_training_rows(s, ["V", "K"], ["sid"])
+    s = _boosted(spark, sf_dir)
+    train = reshape.sliding_training_rows(models.bounded(s, ["sid"], HORIZONS), ["V", "K"], ["sid"])
     model = models.fit_gbt(train, SLICE, "output_0", ["sid"])
     return models.score_horizons(model, reshape.horizon_slices(s, ["V", "K"], ["sid"]), SLICE, threshold=0.4)
 
@@ -283,8 +289,8 @@ def gbt_classifier(spark, sf_dir):
 @query("gbt_early_stop")
 def gbt_early_stop(spark, sf_dir):
     """All rounds of one ensemble on the six horizon slices, and where it would have stopped."""
-    s = fx.samples(spark, sf_dir)
-    train = models.vectors(reshape.sliding_training_rows(s, ["V", "K"], ["sid"]), SLICE)
+    s = _boosted(spark, sf_dir)
+    train = models.vectors(reshape.sliding_training_rows(models.bounded(s, ["sid"], HORIZONS), ["V", "K"], ["sid"]), SLICE)
     model = models.gbt("output_0", iterations=12, depth=4).fit(train.withColumn("output_0", F.col("output_0").cast("double")))
     losses = models.cut(models.staged_losses(model, reshape.horizon_slices(s, ["V", "K"], ["sid"]), SLICE))
     return models.early_stop_report(losses, patience=2)

@@ -58,3 +58,25 @@ def test_report_by_hand(spark):
     assert {(r.stop_round, r.best_round, r.best_score) for r in models.early_stop_report(losses, 2, decides=0).collect()} == {(5, 5, 1.0)}
     assert {(r.stop_round, r.best_round) for r in models.early_stop_report(losses, 3).collect()} == {(5, 5)}
     assert models.early_stop_report(losses.limit(0), 2).collect() == []
+
+
+@pytest.mark.parametrize("name", ["gbt_early_stop", "gbt_classifier"])
+def test_training_partitions_are_bounded(spark, monkeypatch, name):
+    """A fit gets more partitions, not larger ones, when there are more rows."""
+    from conftest import SF_DIR
+    from pyspark.ml.classification import GBTClassifier
+
+    from cellclock.plans.registry import load
+
+    class Seen(Exception):
+        pass
+
+    def fit(self, data):
+        raise Seen([r["count"] for r in data.groupBy(F.spark_partition_id()).count().collect()])
+
+    monkeypatch.setattr(GBTClassifier, "fit", fit)
+    monkeypatch.setattr(models, "PART_ROWS", 100, raising=False)
+    with pytest.raises(Seen) as seen:
+        load()[0][name](spark, SF_DIR)
+    sizes = seen.value.args[0]
+    assert sum(sizes) > 500 and max(sizes) < 60
