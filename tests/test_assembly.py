@@ -141,3 +141,21 @@ def test_pixels_are_pruned_before_they_move(spark, tables):
             break
     assert any("Filter" in s and "getbit" in s for s in above) and any("Join" in s for s in above)
     assert not any("Aggregate" in s for s in above)
+
+
+def test_scenes_are_asked_for_by_blocks(tables):
+    """Scenes and labels of one table are one source of at most three requests a strike."""
+    merged, place = assembly._merged([assembly.scenes(tables[1], ["A"]), assembly.hours(tables[2], ["T"]), assembly.labels(tables[1], "C")])
+    assert place == [0, 1, 0] and len(merged) == 2
+    asked, _ = assembly.requests(tables[0].where("id < 400"), merged[:1])
+    strikes = tables[0].where("id < 400 AND ts IS NOT NULL").select("ts", "row", "col").distinct().count()
+    assert strikes < asked.count() <= 3 * strikes
+
+
+def test_what_is_not_wanted_is_not_looked_up(world, tables):
+    got = assembly.assemble(tables[0], sources(tables), columns=["lightning_0", "N_t+3"])
+    assert got.columns == [*tables[0].columns, "N_t+3", "lightning_0"]
+    want = expected(world)
+    assert all(r["N_t+3"] == want[r.id]["N_t+3"] and r.lightning_0 == want[r.id]["lightning_0"] for r in got.collect())
+    # The coarse cells are not even read.
+    assert assembly.assemble(tables[0].drop("crow", "ccol"), sources(tables), columns=["lightning_0"]).count() == len(world[4])
