@@ -140,6 +140,7 @@ def mutual_information(
 
 
 TILE = 1024  # points of a tile
+PAIRS = 128  # pairs of tiles of a task, more or less
 
 
 def _distances(x: np.ndarray, other: np.ndarray) -> np.ndarray:
@@ -153,9 +154,14 @@ def _distances(x: np.ndarray, other: np.ndarray) -> np.ndarray:
 def _nearest(d: np.ndarray, weight: np.ndarray, most: int) -> np.ndarray:
     """The ``most`` smallest distances of each row, a point of weight w counting w times;
     infinite where there are fewer."""
-    first = np.argsort(d, axis=1, kind="stable")[:, :most]
+    if d.shape[1] > most:  # every point counts at least once, so no more are needed
+        some = np.argpartition(d, most - 1, axis=1)[:, :most]
+        d, weight = np.take_along_axis(d, some, axis=1), weight[some]
+    else:
+        weight = np.broadcast_to(weight, d.shape)
+    first = np.argsort(d, axis=1, kind="stable")
     near = np.hstack([np.take_along_axis(d, first, axis=1), np.full((len(d), 1), np.inf)])
-    upto = np.cumsum(weight[first], axis=1)
+    upto = np.cumsum(np.take_along_axis(weight, first, axis=1), axis=1)
     return np.stack([near[np.arange(len(d)), (upto <= j).sum(axis=1)] for j in range(most)], axis=1)
 
 
@@ -209,9 +215,10 @@ def _tile_pairs(tiles: DataFrame, keys: Sequence[str], dims: int) -> DataFrame:
     return pairs.select("_t", "o_t", "o_all", ((_apart("", "o", True) < F.col("_least")) & (F.col("_least") > 0)).alias("whole"))
 
 
-def _with_points(pairs: DataFrame, tiles: DataFrame) -> DataFrame:
-    """Pairs of tiles with what both hold; the second has the prefix ``o``."""
-    own = tiles.select("_t", "_ny", "_xs", "_ws", "_r")
+def _with_points(pairs: DataFrame, tiles: DataFrame, tasks: int) -> DataFrame:
+    """Pairs of tiles with what both hold; the second has the prefix ``o``. Few pairs are
+    sent to the first tiles, which therefore stand in ``tasks`` partitions."""
+    own = tiles.select("_t", "_ny", "_xs", "_ws", "_r").repartition(tasks, "_t")
     return pairs.join(own, "_t").join(tiles.select(*[F.col(c).alias(f"o{c}") for c in ("_t", "_xs", "_ws", "_lo", "_hi")]), "o_t")
 
 
@@ -248,19 +255,25 @@ def mutual_information_joint(
             yield part.assign(_r=reach)
 
     def in_reach(row):
-        """Points of a tile, their numbers and reach, that may have others in the box."""
+        """Points of a tile, their numbers and reach, that may have others in the box, and
+        the points and weights of the other tile that may be in reach of one of them."""
         x, r = matrix(row["_xs"]), np.asarray(row["_r"], float)
         gap = np.maximum(np.asarray(row["o_lo"]) - x, x - np.asarray(row["o_hi"])).max(axis=1)
         at = np.flatnonzero(gap <= r)
-        return x[at], at, r[at]
+        x, r = x[at], r[at]
+        if not len(at):
+            return x, at, r, x, r
+        other, weight = matrix(row["o_xs"]), np.asarray(row["o_ws"])
+        near = np.maximum(x.min(axis=0) - other, other - x.max(axis=0)).max(axis=1) <= r.max()
+        return x, at, r, other[near], weight[near]
 
     def neighbours(held):
         for part in held:
             found = []
             for row in part.to_dict("records"):
-                x, at, r = in_reach(row)
-                if len(at):
-                    near = _nearest(_distances(x, matrix(row["o_xs"])), np.asarray(row["o_ws"]), min(k, row["_ny"] - 1) + 1)
+                x, at, r, other, weight = in_reach(row)
+                if len(weight):
+                    near = _nearest(_distances(x, other), weight, min(k, row["_ny"] - 1) + 1)
                     found += [(row["_t"], i, d[d <= b]) for i, b, d in zip(at, r, near)]
             yield pd.DataFrame(found, columns=["_t", "_i", "_d"])
 
@@ -268,31 +281,46 @@ def mutual_information_joint(
         for part in held:
             found = []
             for row in part.to_dict("records"):
-                x, at, r = in_reach(row)
-                if len(at):
-                    d, w = _distances(x, matrix(row["o_xs"])), np.asarray(row["o_ws"])
-                    inside = np.where(r[:, None] > 0, d < r[:, None], d == 0) @ w
+                x, at, r, other, weight = in_reach(row)
+                if len(weight):
+                    d = _distances(x, other)
+                    inside = np.where(r[:, None] > 0, d < r[:, None], d == 0) @ weight
                     found += [(row["_t"], i, n) for i, n in zip(at, inside) if n]
             yield pd.DataFrame(found, columns=["_t", "_i", "_n"])
 
     conf = df.sparkSession.conf
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = conf.get(setting)
-    conf.set(setting, "64")  # a row holds the points of two tiles
+    # A row holds the points of two tiles. Its work does not show in its bytes, as copies of
+    # a tile compress well, so tasks are made by the number of pairs and not coalesced.
+    changed = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = {name: conf.get(name) for name in changed}
+
+    def opened(pairs, tiles, work, schema):
+        """Pairs of tiles with what they hold, put through ``work``, written."""
+        tasks = max(int(before["spark.sql.shuffle.partitions"]), -(-pairs.count() // PAIRS))
+        conf.set("spark.sql.shuffle.partitions", str(tasks))
+        conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        out = cut(_with_points(pairs, tiles, tasks).mapInPandas(work, schema))
+        for name in changed[1:]:
+            conf.set(name, before[name])
+        return out
+
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
     try:
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in tiles.schema)
-        bounded = cut(tiles.mapInPandas(bounds, f"{schema}, _r array<double>"))
-        near = _tile_pairs(bounded, ["feature", "_y"], dims).select("_t", "o_t")
-        found = cut(_with_points(near, bounded).mapInPandas(neighbours, "_t string, _i int, _d array<double>"))
+        parts = max(int(before[changed[1]]), -(-tiles.count() // PAIRS))
+        bounded = cut(tiles.repartition(parts, "_t").mapInPandas(bounds, f"{schema}, _r array<double>"))
+        near = cut(_tile_pairs(bounded, ["feature", "_y"], dims).select("_t", "o_t"))
+        found = opened(near, bounded, neighbours, "_t string, _i int, _d array<double>")
         nearest = found.groupBy("_t", "_i").agg(F.sort_array(F.flatten(F.collect_list("_d"))).alias("_d"))
         nearest = nearest.join(bounded.select("_t", F.least(F.lit(k), F.col("_ny") - 1).cast("int").alias("_want")), "_t")
         radius = nearest.groupBy("_t").agg(F.sort_array(F.collect_list(F.struct("_i", F.get("_d", F.col("_want")).alias("_r"))))["_r"].alias("_r"))
         reached = cut(bounded.drop("_r").join(radius, "_t"))
         touched = cut(_tile_pairs(reached, ["feature"], dims))
         border = touched.where("NOT whole").select("_t", "o_t")
-        counts = cut(_with_points(border, reached).mapInPandas(closer, "_t string, _i int, _n bigint"))
+        counts = opened(border, reached, closer, "_t string, _i int, _n bigint")
     finally:
-        conf.set(setting, before)
+        for name, value in before.items():
+            conf.set(name, value)
     each_point = reached.select("_t", "feature", "_ny", F.posexplode(F.arrays_zip("_ws", "_r")).alias("_i", "_e"))
     inside = touched.where("whole").groupBy("_t").agg(F.sum("o_all").alias("_whole"))
     counted = each_point.join(counts.groupBy("_t", "_i").agg(F.sum("_n").alias("_n")), ["_t", "_i"], "left").join(inside, "_t", "left")

@@ -392,3 +392,21 @@ def test_archive_names_and_neighbours_of_nothing(spark):
     assert canonical_name("tbb_13") == "IRB" and archive_name("B04B") == "albedo_04" and archive_name("X") == "X"
     none = spark.createDataFrame([], "id long, row int, col int, v double")
     assert nearest_neighbours(none, 2, ["v"]).schema["neighbours"].dataType.typeName() == "array"
+
+
+def test_tile_pairs_are_spread_over_tasks(spark, monkeypatch):
+    """Few bytes, much work: pairs of tiles must not be coalesced into one task."""
+    rng = np.random.default_rng(5)
+    rows = [(i, *map(float, rng.normal(0, 1, 2)), i % 2) for i in range(400)]
+    df = spark.createDataFrame(rows, ["id", "A_t-2", "A_t-1", "y"])
+    files = []
+
+    def cut(frame, real=scoring.cut):
+        out = real(frame)
+        if "_d" in out.columns or out.columns == ["_t", "_i", "_n"]:
+            files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(scoring, "cut", cut)
+    scoring.mutual_information_joint(df, ["A"], "y", "id", offsets=(-2, -1), tile=16)
+    assert len(files) == 2 and min(files) >= 6
