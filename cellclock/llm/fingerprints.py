@@ -20,6 +20,7 @@ from cellclock.llm.common import partitions, string_bytes, written
 MINIMA = 128
 DIGITS = 4  # hexadecimal digits of a minimum
 BANDS, ROWS = 32, 4
+MEMBER = ["set_a", "set_b", "class_id", "n_links"]
 SLACK = 0.142  # four standard deviations of the estimate at a likeness of 0.8
 
 
@@ -119,9 +120,9 @@ def matches(left: DataFrame, right: DataFrame, least: float = 0.8, bands: int =
     return held.groupBy("fingerprint", "matched").agg(F.max("likeness").alias("likeness"))
 
 
-def _placed(docs: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
-    """Documents with a range number that ascends with (doc_id, text), and for each
-    range its first document, to be appended to the range before.
+def _placed(docs: DataFrame, parts: int) -> tuple[DataFrame, DataFrame, Column]:
+    """Documents with a range number that ascends with (doc_id, text), for each range its
+    first document, to be appended to the range before, and the number as a column.
 
     Range bounds are quantiles of the ids, a few numbers; they only set sizes.
     """
@@ -131,13 +132,18 @@ def _placed(docs: DataFrame, parts: int) -> tuple[DataFrame, DataFrame]:
     place = F.lit(0)
     if cuts:
         place = F.expr(f"aggregate(array({', '.join(f'{c}L' for c in cuts)}), 0, (n, c) -> n + IF(doc_id > c, 1, 0))")
-    rows = rows.withColumn("place", F.coalesce(place, F.lit(0)))
-    return rows, rows.groupBy("place").agg(F.min(F.struct("doc_id", F.xxhash64("text").alias("h"))).alias("k"))
+    place = F.coalesce(place, F.lit(0))
+    rows = rows.withColumn("place", place)
+    return rows, rows.groupBy("place").agg(F.min(F.struct("doc_id", F.xxhash64("text").alias("h"))).alias("k")), place
 
 
-def _edited(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """``edited_fingerprints`` with two hashes of each text's shingle set, set_a and set_b."""
-    rows, firsts = _placed(docs, parts or partitions(docs.sparkSession))
+def _edited(docs: DataFrame, parts: int | None = None, members: DataFrame | None = None) -> DataFrame:
+    """``edited_fingerprints``, with class_id and n_links where ``members`` are given:
+    doc_id, set_a, set_b, class_id, n_links of the documents with a link or a copy.
+
+    Members travel to the ranges of their documents and come right before them, so that
+    no second shuffle of fingerprints is needed."""
+    rows, firsts, place = _placed(docs, parts or partitions(docs.sparkSession))
     heads = sorted((r["place"], r["k"]["doc_id"], r["k"]["h"]) for r in firsts.collect())  # one for each range
     if not heads:
         heads = [(0, None, None)]
@@ -149,9 +155,13 @@ def _edited(docs: DataFrame, parts: int | None = None) -> DataFrame:
     ordered = (
         rows.withColumn("guest", F.lit(0))
         .unionByName(guests)
-        .repartitionByRange(parts or partitions(docs.sparkSession), "place")
-        .sortWithinPartitions("place", "guest", "doc_id", F.xxhash64("text"))
-        .select("place", "guest", "doc_id", "text")
+    )
+    if members is not None:
+        ordered = ordered.unionByName(members.withColumns({"place": place, "guest": F.lit(0)}), allowMissingColumns=True)
+    ordered = (
+        ordered.repartitionByRange(parts or partitions(docs.sparkSession), "place")
+        .sortWithinPartitions("place", "guest", "doc_id", F.col("text").isNotNull(), F.xxhash64("text"))
+        .select("guest", "doc_id", "text", *(MEMBER if members is not None else []))
     )
 
     schema = T.StructType(
@@ -163,37 +173,47 @@ def _edited(docs: DataFrame, parts: int | None = None) -> DataFrame:
             T.StructField("edited_fingerprint", T.StringType()),
             T.StructField("same_edited", T.DoubleType()),
             T.StructField("same_next", T.DoubleType()),
-            T.StructField("set_a", T.LongType()),
-            T.StructField("set_b", T.LongType()),
+            T.StructField("class_id", T.LongType()),
+            T.StructField("n_links", T.LongType()),
         ]
     )
 
     def run(batches):
         import hashlib
+        from itertools import repeat
 
         import numpy as np
         import pyarrow as pa
 
         from cellclock.llm.shingles import set_hashes, shingle_sets
 
-        held = None  # (doc_id, text, fingerprint, hashes of the set) that waits for its next document
+        held = None  # (doc_id, text, fingerprint, class and links) that waits for its next document
+        known_id, known = None, {}  # classes and links of one doc_id by the hashes of the set
         for batch in batches:
             if not batch.num_rows:
                 continue
-            guest = batch.column(1).to_pylist()
-            ids = batch.column(2).to_pylist()
-            texts = batch.column(3).to_pylist()
-            sets = shingle_sets([t.encode() for t in texts])
-            marks, hashes = print_of_sets(sets), zip(*set_hashes(sets))
+            guest, ids, texts, *member = (c.to_pylist() for c in batch.columns)
+            there = [t.encode() for t in texts if t is not None]
+            sets = shingle_sets(there)
+            marks = iter(print_of_sets(sets) if sets else [])
+            hashes = zip(*set_hashes(sets))
+            member = zip(*member) if member else repeat(None)
             owners, edited, nexts = [], [], []
-            for g, i, t, m, s in zip(guest, ids, texts, marks, hashes):
+            for g, i, t, about in zip(guest, ids, texts, member):
+                if t is None:
+                    if i != known_id:
+                        known_id, known = i, {}
+                    known[about[:2]] = about[2:]
+                    continue
+                m, s = next(marks), next(hashes)
                 if held is not None:
                     n = len(held[1])
                     cut = n // 4
                     owners.append(held)
                     edited.append((held[1][: n - cut] + t[:cut]).encode())
                     nexts.append(m)
-                held = None if g else (i, t, m, s)
+                alone = (i, 0)
+                held = None if g else (i, t, m, known.get(s, alone) if i == known_id else alone)
             if not owners:
                 continue
             own = np.stack([o[2] for o in owners])
@@ -222,8 +242,7 @@ def _edited(docs: DataFrame, parts: int | None = None) -> DataFrame:
         "edited_fingerprint",
         _corrected(F.col("same_edited")).alias("near_edited"),
         _corrected(F.col("same_next")).alias("near_next"),
-        "set_a",
-        "set_b",
+        *(["class_id", "n_links"] if members is not None else []),
     )
 
 
@@ -236,7 +255,7 @@ def edited_fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
     their texts; null ids come first. Tasks stream over sorted ranges and hold two
     documents at a time; the first document of a range is also sent to the range before.
     """
-    return _edited(docs, parts).drop("set_a", "set_b")
+    return _edited(docs, parts)
 
 
 def matched_fingerprints(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -251,16 +270,10 @@ def matched_fingerprints(docs: DataFrame, percent: int = 80) -> DataFrame:
     """
     from cellclock.llm.near_dedup import linked
 
-    _, classes, links, found = linked(docs, percent, BANDS, ROWS)
+    base, classes, links, found = linked(docs, percent, BANDS, ROWS)
     ends = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    member = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").join(ends, "rep", "left")
-    member = written(member.select("set_a", "set_b", F.coalesce("component", "rep").alias("_c"), "n_links"), "members")
-    named = F.col("doc_id").isNotNull()
-    return (
-        _edited(docs)
-        .join(member, ["set_a", "set_b"], "left")
-        .drop("set_a", "set_b")
-        .withColumn("class_id", F.when(named, F.coalesce("_c", "doc_id")))
-        .withColumn("n_links", F.when(named, F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)))
-        .drop("_c")
-    )
+    groups = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").join(ends, "rep", "left")
+    groups = groups.select("set_a", "set_b", F.coalesce("component", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    rows = base.where("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "set_a", "set_b")
+    members = rows.join(groups, ["set_a", "set_b"]).where("class_id <> doc_id OR n_links > 0").select("doc_id", *MEMBER).distinct()
+    return _edited(docs, members=written(members, "members"))

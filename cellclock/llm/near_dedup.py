@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellclock.llm.common import string_bytes, written
+from cellclock.llm.common import forget, perhaps_among, string_bytes, written
 
 PERCENT = 80
 BANDS, ROWS = 25, 5
@@ -179,7 +179,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     for _ in range(rounds):
         if not now[0]:
             break
-        edges = written(small_star(large_star(edges)), "links")
+        last, edges = edges, written(small_star(large_star(edges)), "links")
+        forget(last)
         before, now = now, state(edges)
         if before == now:
             break
@@ -208,21 +209,25 @@ def rarest(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def linked(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """What ``near_duplicates`` finds: signed rows, classes (set_a, set_b, rep), verified
     links (a, b) between representatives, and (node, component) of those with a link."""
-    base = written(signed(docs, bands, rows), "signed")
+    # What is kept of every document is small: buckets are made again to be joined, and
+    # signatures for the few documents that need them.
+    every = signed(docs, bands, rows)
+    base = written(every.drop("signature", "buckets"), "signed")
     usable = base.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = usable.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("rep"))
-    keys = classes.select("set_a", "set_b", F.col("rep").alias("doc_id"))
-    nodes = written(
-        usable.join(keys, ["set_a", "set_b", "doc_id"], "left_semi").dropDuplicates(["set_a", "set_b", "doc_id"]).select("doc_id", "n_shingles", "signature", "buckets"),
-        "nodes",
-    )
+    least = every.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_a", "set_b").agg(F.min(F.struct("doc_id", "n_shingles", "buckets")).alias("_l"))
 
-    placed = nodes.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("buckets").alias("bucket"))
+    placed = least.select(F.col("_l.doc_id").alias("rep"), F.col("_l.n_shingles").alias("n"), F.explode("_l.buckets").alias("bucket"))
     shared = placed.groupBy("bucket").agg(F.count("*").alias("_c")).where("_c > 1").select("bucket")
     crowded = written(placed.join(shared, "bucket", "left_semi"), "crowded")
     candidates = crowded.select(F.col("rep").alias("doc_id")).distinct()
+    texts = perhaps_among(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), candidates, "doc_id")
     # By sort and merge at every size: candidates grow with the corpus.
-    sets = written(full_sets(docs.join(candidates.hint("merge"), "doc_id", "left_semi")).dropDuplicates(["doc_id", "shingles"]), "sets")
+    few = written(texts.join(candidates.hint("merge"), "doc_id", "left_semi"), "texts")
+    keys = classes.select("set_a", "set_b", F.col("rep").alias("doc_id"))
+    nodes = signed(few, bands, rows).join(keys, ["set_a", "set_b", "doc_id"], "left_semi").dropDuplicates(["set_a", "set_b", "doc_id"])
+    nodes = written(nodes.select("doc_id", "signature"), "nodes")
+    sets = written(full_sets(few).dropDuplicates(["doc_id", "shingles"]), "sets")
 
     # Shingles that only one candidate has.
     lone = (
@@ -276,6 +281,7 @@ def linked(docs: DataFrame, percent: int = PERCENT, bands: int = BANDS, rows: in
     if more.limit(1).count():
         links = links.union(more)
         found = components(links)
+    forget(crowded, few, nodes, sets, alive, rare)
     return base, classes, links, found
 
 

@@ -1,8 +1,12 @@
 import hashlib
 import random
 import re
+import tempfile
+import time
+from pathlib import Path
 
-from cellclock.llm import fingerprints, near_dedup, shingles
+from cellclock.llm import common, fingerprints, near_dedup, shingles
+from cellclock.session import shared_folder
 
 from .conftest import ODD, WORDS, prose
 
@@ -145,3 +149,38 @@ def test_matched_fingerprints(make, odd, empty):
     assert all(got[i].asDict() | plain[i].asDict() == got[i].asDict() for i in got)
     assert fingerprints.matched_fingerprints(odd).count() == len(ODD)
     assert fingerprints.matched_fingerprints(empty).collect() == []
+
+
+def test_scratch_of_fingerprints(spark, make):
+    """Nothing as long as a signature or a text stays on disk for every document."""
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    held = lambda: sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+    texts = [(i, prose(12, 1000 + i)) for i in range(3000)] + [(5000 + i, edited(prose(60, 1), i % 3, i)) for i in range(40)]
+    docs = make(texts)
+    before = held()
+    out = fingerprints.matched_fingerprints(docs)
+    assert held() - before < 150 * len(texts)
+    got = {r.doc_id: r.class_id for r in out.collect()}
+    assert len(got) == len(texts) and all(got[i] == i for i in range(3000)) and got[5000] == got[5039] == 5000
+
+
+def test_written_leaves_no_shuffle_files(spark):
+    top = Path(spark.conf.get("spark.local.dir", tempfile.gettempdir()))
+    files = lambda: set(top.glob("blockmgr-*/*/shuffle_*.data"))
+    before = files()
+    out = common.written(spark.range(5000).repartition(7, "id"), "trial")
+    deadline = time.time() + 20
+    while files() - before and time.time() < deadline:
+        time.sleep(0.2)
+    assert not files() - before
+    assert out.count() == 5000
+    common.forget(out)
+
+
+def test_rows_perhaps_among_keys(spark):
+    rows = spark.range(20_000).selectExpr("IF(id % 100 = 7, NULL, id) AS k", "CAST(id AS STRING) AS v")
+    keys = spark.range(0, 20_000, 10).selectExpr("IF(id % 1000 = 0, NULL, id) AS k")
+    got = {r.k for r in common.perhaps_among(rows, keys, "k").collect()}
+    want = {i for i in range(0, 20_000, 10) if i % 1000}
+    assert want <= got and None not in got and len(got) < 1.05 * len(want)
+    assert common.perhaps_among(rows, keys.limit(0), "k").collect() == []
