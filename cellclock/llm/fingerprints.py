@@ -242,7 +242,7 @@ def _edited(docs: DataFrame, parts: int | None = None, members: DataFrame | None
         "edited_fingerprint",
         _corrected(F.col("same_edited")).alias("near_edited"),
         _corrected(F.col("same_next")).alias("near_next"),
-        *(["class_id", "n_links"] if members is not None else []),
+        *(["n_links", "class_id"] if members is not None else []),
     )
 
 
