@@ -130,3 +130,60 @@ def test_byte_level_vocabulary_goes_whole(library):
     assert not encoder.by_word
     for text in ("Hello  world.\n Next", ""):
         assert np.frombuffer(encoder.encode([text.encode()])[0], "<u2").tolist() == other.encode(text, add_special_tokens=False).ids
+
+
+class Counting:
+    """Passes calls on and notes the words that it was given."""
+
+    def __init__(self, inner, seen):
+        self.inner, self.seen = inner, seen
+
+    def encode(self, words, **options):
+        self.seen += words if isinstance(words, list) else [words]
+        return self.inner.encode(words, **options)
+
+    def tokenize(self, word):
+        self.seen.append(word)
+        return self.inner.tokenize(word)
+
+
+def counted(monkeypatch, kept):
+    monkeypatch.setattr(token_files, "WORDS_KEPT", kept)
+    encoder, seen = token_files.LibraryEncoder(bpe_automaton.read_definition(vocabulary())), []
+    encoder.library, encoder.model = Counting(encoder.library, seen), Counting(getattr(encoder, "model", None), seen)
+    return encoder, seen
+
+
+def test_frequent_words_are_asked_for_once(monkeypatch, library):
+    encoder, seen = counted(monkeypatch, 5)
+    for i in range(12):
+        text = f"the cat {'abcdefghijkl'[i] * 3} and"
+        assert np.frombuffer(encoder.encode([text.encode()])[0], "<u2").tolist() == expected_ids(library, text)
+    assert sorted(w for w in seen if w in ("the", "cat", "and")) == ["and", "cat", "the"]
+    assert len(encoder.known) + len(encoder.older) <= 2 * (5 + 4)
+
+
+def test_a_word_with_punctuation_is_no_new_word(monkeypatch, library):
+    encoder, seen = counted(monkeypatch, 1000)
+    text = "winter winter, winter... winter?! winter### Winter: winter) café café; CAFÉ!! café###"
+    assert np.frombuffer(encoder.encode([text.encode()])[0], "<u2").tolist() == expected_ids(library, text)
+    assert sum("winter" in w for w in seen) == 1
+    assert sum("caf" in w for w in seen) <= 2  # É is outside ASCII, so that form is a word
+
+
+def test_words_agree_with_whole_texts(monkeypatch, library):
+    monkeypatch.setattr(token_files, "WORDS_KEPT", 300)
+    encoder = token_files.LibraryEncoder(bpe_automaton.read_definition(vocabulary()))
+    assert encoder.by_word and encoder.lower and encoder.letters
+    rng = random.Random(9)
+    tricky = list("abestrz09 .,'#<|>=\n\t_-") + list("éÉßœŒ×÷ñÿŸİıſΣς²ªºµ…–«»̸́  각中ก") + ["'s", "'ll", "<|endoftext|>", "<|ENDOFTEXT|>", "\x1c", "\x85", "\x00", "the "]
+    texts = ["".join(rng.choices(tricky, k=rng.randrange(40))) for _ in range(3000)]
+    texts += ["x" * 5000 + ".", "é." * 3000, "", " ", ".", "<|startoftext|>Winter, Winter.<|endoftext|>.", "A<|STARTOFTEXT|>"]
+    for at in range(0, len(texts), 250):
+        some = texts[at : at + 250]
+        got = encoder.encode([t.encode() for t in some])
+        assert [np.frombuffer(g, "<u2").tolist() for g in got] == [expected_ids(library, t) for t in some]
+    assert encoder.encode([]) == [] and encoder.encode([b"", b" "]) == [b"", b""]
+    broken = [b"ab\xc3", b"\xa9. x\xc3.", b"\xff\xfe, a\xe2\x80."]
+    got = encoder.encode(broken)
+    assert [np.frombuffer(g, "<u2").tolist() for g in got] == [expected_ids(library, t.decode("utf-8", "replace")) for t in broken]
